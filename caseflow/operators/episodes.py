@@ -103,27 +103,19 @@ def running_approvals(df: DataFrame, id_col: str = "unique_identifier",
                       provenance: Sequence[str] = PROVENANCE, out: str = "n_approvals") -> DataFrame:
     """Running count of approvals per person in ``order_cols`` (NULL last, ties by
     provenance). NULL-sticky like R's ``cumsum``: from the first NULL decision on, NULL.
-
-    Exact without a per-person window: with ``r_all`` = position among the person's
-    rows and ``r_flag`` = position among rows with the same approved flag, the count
-    is ``r_flag`` on approved rows and ``r_all - r_flag`` on the others.
     Rows without an id get NULL (the reference never counts them).
+
+    A running frame over one person's rows: one shuffle on the person key and a
+    streaming window (no group is buffered), so a person's history costs one task's
+    sort. ``initial_renewal`` uses this; the episode flags above do not need it.
     """
-    k = order_key(order_cols, provenance)
-    base = df.withColumn("_k", k).withColumn(
-        "_appr", F.coalesce(F.col(decision_col) == F.lit(APPROVED), F.lit(False)))
-    ided = base.filter(F.col(id_col).isNotNull())
-    r = row_number_within(ided, [id_col], [F.col("_k").asc()], out="_r_all")
-    r = row_number_within(r, [id_col, "_appr"], [F.col("_k").asc()], out="_r_flag")
-    first_null = (ided.filter(F.col(decision_col).isNull())
-                  .groupBy(id_col).agg(F.min("_k").alias("_first_null")))
-    r = r.join(first_null, id_col, "left")
-    count = F.when(F.col("_appr"), F.col("_r_flag")).otherwise(F.col("_r_all") - F.col("_r_flag"))
-    sticky = F.col("_first_null").isNotNull() & (F.col("_k") >= F.col("_first_null"))
-    r = (r.withColumn(out, F.when(sticky, F.lit(None)).otherwise(count).cast("long"))
-          .drop("_r_all", "_r_flag", "_first_null"))
-    noid = base.filter(F.col(id_col).isNull()).withColumn(out, F.lit(None).cast("long"))
-    return r.unionByName(noid).drop("_k", "_appr")
+    w = (Window.partitionBy(id_col).orderBy(*[F.col(c).asc_nulls_last() for c in order_cols],
+                                            *[F.col(c).asc() for c in provenance])
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    appr = (F.col(decision_col) == F.lit(APPROVED)).cast("long")
+    seen_null = F.sum(F.col(decision_col).isNull().cast("long")).over(w) > 0
+    n = F.when(F.col(id_col).isNull() | seen_null, F.lit(None)).otherwise(F.sum(appr).over(w))
+    return df.withColumn(out, n.cast("long"))
 
 
 def initial_renewal(df: DataFrame, id_col: str = "unique_identifier", source_col: str = "data_source",

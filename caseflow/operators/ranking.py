@@ -14,6 +14,12 @@ small aggregates:
 
 ``order`` must be a total order inside each group (end it with the provenance
 columns); ties would make the numbering depend on shuffle fetch order.
+
+The positioned rows are materialised once with a reliable ``checkpoint()`` (into
+the cluster's ``spark.checkpoint.dir``): range bounds are sampled from the input,
+and an input that comes out of a shuffle has no fixed row order, so every reader
+of the positions -- and any recomputation after a lost executor -- must see the
+same copy.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.session import checkpoint_dir
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | record number
 
 
@@ -53,7 +61,10 @@ def row_number_within(df: DataFrame, group: Sequence[str], order: Sequence[Colum
            .sortWithinPartitions(*keys)
            .withColumn("_mid", F.monotonically_increasing_id())
            .withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))
-           .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(mask))))
+           .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(mask)))
+           .drop("_mid"))
+    checkpoint_dir(df.sparkSession)
+    s = s.checkpoint(eager=True)
     # one row per partition: bounded by the partition count, safe to broadcast
     sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn(
@@ -63,7 +74,7 @@ def row_number_within(df: DataFrame, group: Sequence[str], order: Sequence[Colum
     ).select("_pid", "_off")
     g = (s.join(F.broadcast(offsets), "_pid")
           .withColumn("_gpos", F.col("_off") + F.col("_pos"))
-          .drop("_mid", "_pos", "_off"))
+          .drop("_pos", "_off"))
     gk = [f"_gk{i}" for i in range(len(group))]
     starts = g.groupBy(*[F.col(c).alias(k) for c, k in zip(group, gk)]).agg(F.min("_gpos").alias("_start"))
     j = g.join(starts, null_safe_join_cond(g, starts, group, gk), "inner")

@@ -94,3 +94,110 @@ SELECT o_orderpriority AS "Country",
   {cols}
 FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'
 GROUP BY o_orderpriority"""
+
+
+MOJIBAKE_IVORY = "Côte d'Ivoire".encode("utf-8").decode("latin-1")   # "CÃ´te d'Ivoire"
+TPS_FORM_LONG = ("This is my annual registration/re-registration application",
+                 "This is my first application")
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def staged_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged-like raw records (orders x customer x nation): C3 rows carry codes
+    (base, alias, overlay, unknown, NULL), ELIS rows names (some double-encoded);
+    every 97th row is fully empty; three note columns are all-NULL, all-redacted
+    and redacted but for one value."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = o.join(c, o.o_custkey == c.c_custkey, "left").join(F.broadcast(n), F.col("c_nationkey") == n.n_nationkey, "left")
+    k = F.col("o_orderkey")
+    od = F.col("o_orderdate").cast("date")
+    nk = F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))
+    status = F.col("o_orderstatus")
+    blank = (k % 97 == 0)
+
+    def cell(e):
+        return F.when(blank, F.lit(None)).otherwise(e)
+
+    elis_name = (F.when(k % 4 == 0, F.lit(MOJIBAKE_IVORY)).when(k % 4 == 1, F.lit("Côte d'Ivoire"))
+                  .when(k % 4 == 2, F.lit(None)).otherwise(F.col("n_name")))
+    c3_code = (F.when(k % 7 == 1, F.lit("USA")).when(k % 7 == 2, F.lit("COTED")).when(k % 7 == 3, F.lit("ESAL"))
+                .when(k % 7 == 4, F.lit(None)).when(k % 7 == 5, F.concat(F.lit("XX"), F.col("c_nationkey").cast("string")))
+                .otherwise(nk))
+    form = (F.when(k % 5 == 0, F.lit(TPS_FORM_LONG[0])).when(k % 5 == 1, F.lit(TPS_FORM_LONG[1]))
+             .when(k % 5 == 2, F.lit(None)).otherwise(F.lit("TPS - Initial")))
+    return j.select(
+        cell(F.when(F.col("o_custkey") % 40 == 0, F.lit(None)).otherwise(F.col("o_custkey").cast("string")))
+        .alias("unique_alien_id"),
+        cell(F.when(k % 13 == 0, F.lit(None)).otherwise(F.trunc(od, "MM"))).alias("rec_date"),
+        cell(F.when(k % 11 == 0, F.lit(None)).otherwise(F.date_add(od, (k * 7 % 400).cast("int")))).alias("decision_date"),
+        cell(F.when(k % 17 == 0, F.lit(None)).otherwise(
+            F.when(status == "F", "Approved").when(status == "O", "Denied").otherwise("Pending"))).alias("decision"),
+        cell(F.when(k % 3 == 0, F.lit("ELIS")).otherwise(F.lit("C3"))).alias("data_source"),
+        cell(F.when(k % 3 == 0, elis_name).otherwise(c3_code)).alias("ben_country_of_birth"),
+        cell(F.element_at(F.array(F.lit("F"), F.lit("M"), F.lit("U"), F.lit("Female")), (k % 4 + 1).cast("int")))
+        .alias("ben_gender"),
+        cell(form).alias("form_type"),
+        cell((F.lit(1940) + F.col("o_custkey") % 50).cast("int")).alias("ben_year_of_birth"),
+        F.lit(None).cast("string").alias("notes_blank"),
+        F.when(k % 3 == 0, F.lit("(b)(6)")).when(k % 3 == 1, F.lit(" B(7)c ")).otherwise(F.lit("NA"))
+         .alias("notes_redacted"),
+        cell(F.when(k == 7, F.lit("kept")).otherwise(F.lit("(b)(6)"))).alias("notes_one"),
+        F.lit("orders.parquet").alias("file_original"),
+        k.alias("row_original"),
+    )
+
+
+def staged_cases_sql() -> str:
+    def cell(e):
+        return f"CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE {e} END"
+    nk = "'N' || CAST(c_nationkey AS VARCHAR)"
+    elis = (f"CASE o_orderkey % 4 WHEN 0 THEN {_q(MOJIBAKE_IVORY)} WHEN 1 THEN {_q("Côte d'Ivoire")} "
+            f"WHEN 2 THEN NULL ELSE n_name END")
+    c3 = (f"CASE o_orderkey % 7 WHEN 1 THEN 'USA' WHEN 2 THEN 'COTED' WHEN 3 THEN 'ESAL' WHEN 4 THEN NULL "
+          f"WHEN 5 THEN 'XX' || CAST(c_nationkey AS VARCHAR) ELSE {nk} END")
+    form = (f"CASE o_orderkey % 5 WHEN 0 THEN {_q(TPS_FORM_LONG[0])} WHEN 1 THEN {_q(TPS_FORM_LONG[1])} "
+            f"WHEN 2 THEN NULL ELSE 'TPS - Initial' END")
+    return f"""
+SELECT
+  {cell("CASE WHEN o_custkey % 40 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END")} AS unique_alien_id,
+  {cell("CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(date_trunc('month', o_orderdate) AS DATE) END")} AS rec_date,
+  {cell("CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey * 7 % 400 AS INTEGER) END")} AS decision_date,
+  {cell("CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Denied' ELSE 'Pending' END END")} AS decision,
+  {cell("CASE WHEN o_orderkey % 3 = 0 THEN 'ELIS' ELSE 'C3' END")} AS data_source,
+  {cell(f"CASE WHEN o_orderkey % 3 = 0 THEN {elis} ELSE {c3} END")} AS ben_country_of_birth,
+  {cell("(['F', 'M', 'U', 'Female'])[CAST(o_orderkey % 4 + 1 AS INTEGER)]")} AS ben_gender,
+  {cell(form)} AS form_type,
+  {cell("CAST(1940 + o_custkey % 50 AS INTEGER)")} AS ben_year_of_birth,
+  CAST(NULL AS VARCHAR) AS notes_blank,
+  CASE o_orderkey % 3 WHEN 0 THEN '(b)(6)' WHEN 1 THEN ' B(7)c ' ELSE 'NA' END AS notes_redacted,
+  {cell("CASE WHEN o_orderkey = 7 THEN 'kept' ELSE '(b)(6)' END")} AS notes_one,
+  'orders.parquet' AS file_original,
+  o_orderkey AS row_original
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def nation_code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-layer code table with the nation list standing in for the 2001 list."""
+    from caseflow.operators.lookup import country_code_table
+    base = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"))
+    return country_code_table(spark, base)
+
+
+def nation_code_table_sql() -> str:
+    """CTEs ``up`` (base upserted with the overlay) and ``codes`` (+ aliases)."""
+    from caseflow.operators.lookup import COUNTRY_CODE_ALIASES, COUNTRY_CODE_OVERLAY
+    ov = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in COUNTRY_CODE_OVERLAY)
+    al = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in COUNTRY_CODE_ALIASES)
+    return f"""
+base AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS code, n_name AS country FROM nation),
+ov AS (SELECT * FROM (VALUES {ov}) t(code, country)),
+up AS (SELECT * FROM base WHERE code NOT IN (SELECT code FROM ov) UNION ALL SELECT * FROM ov),
+al AS (SELECT * FROM (VALUES {al}) t(code, canonical)),
+codes AS (SELECT al.code, up.country FROM al LEFT JOIN up ON al.canonical = up.code
+          UNION ALL SELECT code, country FROM up)"""

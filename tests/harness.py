@@ -23,8 +23,9 @@ def duck(sql: str, sf_dir: str):
 def _norm(v):
     if v is None:
         return None
+    import pandas as pd
     try:
-        if v != v:  # NaN / NaT
+        if pd.isna(v):  # NaN / NaT / pd.NA
             return None
     except (TypeError, ValueError):
         pass
@@ -41,6 +42,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isinf(v):
             return v
+        if v == int(v) and abs(v) < 2**53:
+            return int(v)
         return round(v, 6)
     if isinstance(v, (bytes, bytearray)):
         return bytes(v).hex()
