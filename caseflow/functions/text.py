@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseflow.columns import ELIS, REDACTION_REGEX, SUPPRESSION_CODES
 
-_WS = r"[\t\n\x0B\f\r\p{Z}]+"
+_WS = r"[\t\n\f\r\p{Z}]+"   # ICU \s
 _NOT_LATIN1 = r"[^\x00-\xFF]"
 
 

@@ -201,3 +201,76 @@ up AS (SELECT * FROM base WHERE code NOT IN (SELECT code FROM ov) UNION ALL SELE
 al AS (SELECT * FROM (VALUES {al}) t(code, canonical)),
 codes AS (SELECT al.code, up.country FROM al LEFT JOIN up ON al.canonical = up.code
           UNION ALL SELECT code, country FROM up)"""
+
+
+# ---- published report text, built from `part` ---------------------------------------
+
+REPORT_FILES = ("i821_radp_fy22.txt", "I821_RADP_FY2023_Q4.txt")
+
+
+def _token(i: int):
+    """Spark expression for value token ``i`` of a part's report line."""
+    k = F.col("p_partkey")
+    m = (k + i) % 23
+    num = F.format_number((k * (i + 1) * 37) % 100000, 0)
+    return F.when(m == 0, F.lit("D")).when(m == 1, F.lit("H")).when(m == 2, F.lit("-")).otherwise(num)
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text line per part: the part name, then 20 value tokens. Some lines have
+    19 tokens, some 21 (a leading count, or a leading ``D`` that belongs to the
+    label); spacing varies (tabs, runs of spaces)."""
+    p = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    toks = [_token(i) for i in range(20)]
+    sep = F.when(k % 5 == 0, F.lit("  \t ")).otherwise(F.lit(" "))
+    body = F.concat_ws(" ", *toks)
+    body = (F.when(size % 10 == 0, F.concat_ws(" ", *toks[:19]))
+             .when(size % 10 == 1, F.concat_ws(" ", F.lit("7"), body))
+             .when(size % 10 == 2, F.concat_ws(" ", F.lit("D"), body))
+             .otherwise(body))
+    line = F.concat(F.when(k % 7 == 0, F.lit(" ")).otherwise(F.lit("")), F.col("p_name"), sep, body)
+    src = F.when(k % 2 == 0, F.lit(REPORT_FILES[0])).otherwise(F.lit(REPORT_FILES[1]))
+    return p.select(k.alias("p_partkey"), line.alias("line"), src.alias("source_file"))
+
+
+def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 21-cell text grid per part (as read from a sheet with no header typing):
+    data rows, plus title/header/footnote rows whose 2nd cell is not a value."""
+    p = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    second = (F.when(size % 10 == 3, F.lit("Received")).when(size % 10 == 4, F.lit(None))
+               .otherwise(_token(0)))
+    cells = [F.col("p_name").alias("c1"), second.alias("c2")] + [_token(i).alias(f"c{i + 2}") for i in range(1, 20)]
+    src = F.when(k % 2 == 0, F.lit("i821_radp_fy2024_q4.xlsx")).otherwise(F.lit("i821_radp_fy2025_q4_v1.xlsx"))
+    return p.select(k.alias("p_partkey"), *cells, src.alias("source_file"))
+
+
+def report_facts_sql(kind: str = "lines") -> str:
+    """Arithmetic oracle for the tidy facts of ``report_lines``/``report_grid``: which
+    parts yield a data row, and each cell's value/code -- no regex involved."""
+    if kind == "lines":
+        keep = "p_size % 10 NOT IN (0, 1)"
+        country = "p_name || CASE WHEN p_size % 10 = 2 THEN ' D' ELSE '' END"
+        src = f"CASE WHEN p_partkey % 2 = 0 THEN '{REPORT_FILES[0]}' ELSE '{REPORT_FILES[1]}' END"
+        fy = "CASE WHEN p_partkey % 2 = 0 THEN 2022 ELSE 2023 END"
+    else:
+        keep = "p_size % 10 NOT IN (3, 4)"
+        country = "p_name"
+        src = "CASE WHEN p_partkey % 2 = 0 THEN 'i821_radp_fy2024_q4.xlsx' ELSE 'i821_radp_fy2025_q4_v1.xlsx' END"
+        fy = "CASE WHEN p_partkey % 2 = 0 THEN 2024 ELSE 2025 END"
+    return f"""
+facts AS (
+  SELECT CAST({fy} AS INTEGER) AS fiscal_year,
+    CAST(CASE WHEN i < 16 THEN i // 4 + 1 END AS INTEGER) AS quarter,
+    (['Q1', 'Q2', 'Q3', 'Q4', 'FY'])[CAST(i // 4 + 1 AS INTEGER)] AS period,
+    {country} AS country,
+    (['received', 'approved', 'denied', 'pending'])[CAST(i % 4 + 1 AS INTEGER)] AS metric,
+    CAST(CASE (p_partkey + i) % 23 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 0
+         ELSE (p_partkey * (i + 1) * 37) % 100000 END AS DOUBLE) AS value,
+    CASE (p_partkey + i) % 23 WHEN 0 THEN 'D' WHEN 1 THEN 'H' END AS code,
+    {src} AS source_file,
+    CASE (p_partkey + i) % 23 WHEN 0 THEN 'D' WHEN 1 THEN 'H' WHEN 2 THEN '-'
+         ELSE format('{{:,}}', (p_partkey * (i + 1) * 37) % 100000) END AS cell
+  FROM part, range(0, 20) r(i)
+  WHERE {keep})"""
