@@ -1 +1,157 @@
-"""Registered queries (filled in below)."""
+"""Source/sink round trips (S3-S6, S8-S11, Q2) over data derived from the test tables.
+
+Each query writes into a fresh folder under the session's shared checkpoint
+directory (never a machine-local temp folder), then reads it back.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from caseflow.columns import FORMS
+from caseflow.operators.quality import observe_stage
+from caseflow.operators.reshape import clean_names
+from caseflow.plans.bindings import PUBLISHED_DATES, cases, cases_sql, published_wide, published_wide_sql, \
+    report_facts_sql, report_lines, staged_cases, nation_code_table
+from caseflow.plans.catalog import register
+from caseflow.plans.clean import clean_cases
+from caseflow.plans.public_facts import public_facts
+from caseflow.session import checkpoint_dir
+from caseflow.sources.sinks import write_by_fiscal_year, write_parquet
+from caseflow.sources.staging import open_dataset, read_release, stage_forms
+from caseflow.sources.text import scan_report_lines
+from caseflow.streaming.incremental import incremental_stage, text_schema
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one run under the shared checkpoint directory."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/caseflow-io/{name}-{uuid.uuid4().hex}"
+
+
+@register("roundtrip_zstd", f"WITH c AS ({cases_sql()}) SELECT * FROM c")
+def q_roundtrip_zstd(spark, sf_dir):
+    """S8 + S7: zstd Parquet write and scan give back the same rows."""
+    path = scratch(spark, "zstd")
+    write_parquet(cases(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+_I821, _I821D = FORMS["i821"][0], FORMS["i821d"][0]
+
+
+def _write_release(spark, sf_dir) -> str:
+    """A release folder: two TPS files, one DACA file and one unrelated file."""
+    root = scratch(spark, "release")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").cast("string").alias("case_number"), F.col("o_orderstatus").alias("status"),
+        F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd").alias("rec_date"),
+        F.col("o_orderkey").alias("_k"))
+    k = F.col("_k")
+    parts = {f"{_I821}1 redacted.parquet": k % 4 == 0, f"sub/{_I821}2 redacted.parquet": k % 4 == 2,
+             f"{_I821D}1 redacted.parquet": k % 4 == 1, "notes_other.parquet": k % 4 == 3}
+    for name, cond in parts.items():
+        write_parquet(o.filter(cond).drop("_k"), f"{root}/{name}")
+    return root
+
+
+_FORM_SQL = f"""SELECT CAST(o_orderkey AS VARCHAR) AS case_number,
+  CASE WHEN o_orderkey % 4 IN (0, 2) THEN 'i821' ELSE 'i821d' END AS form_id,
+  CASE WHEN o_orderkey % 4 IN (0, 2) THEN '{FORMS['i821'][1]}' ELSE '{FORMS['i821d'][1]}' END AS label
+FROM orders WHERE o_orderkey % 4 <> 3"""
+
+
+@register("route_files", _FORM_SQL)
+def q_route_files(spark, sf_dir):
+    """S3 (+U4): files found recursively, routed to a form by name prefix; unrelated
+    files dropped."""
+    return read_release(spark, _write_release(spark, sf_dir)).select("case_number", "form_id", "label")
+
+
+@register("with_provenance", f"""WITH f AS ({_FORM_SQL})
+SELECT form_id, count(*) AS n_rows, count(*) AS n_distinct_rows, 1 AS first_row FROM f GROUP BY form_id""")
+def q_with_provenance(spark, sf_dir):
+    """(file, 1-based row) from the scan's metadata is unique and starts at 1."""
+    r = read_release(spark, _write_release(spark, sf_dir))
+    return r.groupBy("form_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("file_original", "row_original").alias("n_distinct_rows"),
+        F.min("row_original").cast("int").alias("first_row"))
+
+
+@register("open_dataset", f"""SELECT CAST(o_orderkey AS VARCHAR) AS case_number, o_orderstatus AS status,
+  CAST(o_orderdate AS DATE) AS rec_date FROM orders WHERE o_orderkey % 4 IN (0, 2)""")
+def q_open_dataset(spark, sf_dir):
+    """S5 (+ the staging step): stage the release per form, reopen one form's parts
+    as one dataset without the form columns."""
+    out = scratch(spark, "staging")
+    stage_forms(spark, _write_release(spark, sf_dir), out)
+    return open_dataset(spark, f"{out}/form_id=i821").select("case_number", "status", "rec_date")
+
+
+_CLEAN_HEADER = ", ".join(['"Country" AS country'] + [f'"{d}" AS x{d.replace("-", "_")}' for d in PUBLISHED_DATES])
+
+
+@register("clean_names", f"WITH pw AS ({published_wide_sql()}) SELECT {_CLEAN_HEADER} FROM pw")
+def q_clean_names(spark, sf_dir):
+    """The published table through a header CSV; header snake_cased, dates x-prefixed."""
+    from caseflow.sources.text import read_header_csv
+    path = scratch(spark, "csv")
+    published_wide(spark, sf_dir).write.option("header", True).csv(path)
+    df = read_header_csv(spark, path)
+    return df.select("country", *[F.col(c).cast("long").alias(c) for c in df.columns if c != "country"])
+
+
+@register("report_lines", "WITH" + report_facts_sql("lines") + """
+SELECT fiscal_year, quarter, period, country, metric, value, code, source_file FROM facts""")
+def q_report_lines(spark, sf_dir):
+    """Report text files written one per source name, scanned back with their
+    file names, then parsed into facts."""
+    path = scratch(spark, "reports")
+    report_lines(spark, sf_dir).select("line", "source_file").write.partitionBy("source_file").text(path)
+    return public_facts(scan_report_lines(spark, path))
+
+
+@register("incremental_stage", """SELECT CAST(o_orderkey AS VARCHAR) AS case_number, o_orderstatus AS status,
+  CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS rec_date FROM orders""")
+def q_incremental_stage(spark, sf_dir):
+    """Two runs of the incremental stager over a growing folder; every source row
+    lands exactly once."""
+    root = scratch(spark, "incremental")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").cast("string").alias("case_number"), F.col("o_orderstatus").alias("status"),
+        F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd").alias("rec_date"),
+        F.col("o_orderkey").alias("_k"))
+    schema = text_schema(["case_number", "status", "rec_date"])
+    src, out, ckpt = f"{root}/src", f"{root}/out", f"{root}/_checkpoint"
+    o.filter(F.col("_k") % 2 == 0).drop("_k").write.option("header", True).csv(f"{src}/batch1")
+    incremental_stage(spark, src, out, ckpt, schema)
+    o.filter(F.col("_k") % 2 == 1).drop("_k").write.option("header", True).csv(f"{src}/batch2")
+    incremental_stage(spark, src, out, ckpt, schema)
+    return spark.read.parquet(out).select("case_number", "status", "rec_date")
+
+
+@register("write_by_fiscal_year", f"""WITH c AS ({cases_sql()}),
+y AS (SELECT CASE WHEN rec_date IS NULL THEN 'TPS FY unknown'
+  ELSE 'TPS FY' || CAST(year(rec_date) + CASE WHEN month(rec_date) >= 10 THEN 1 ELSE 0 END AS VARCHAR) END AS sheet FROM c)
+SELECT sheet, count(*) AS n_rows FROM y GROUP BY sheet""")
+def q_write_by_fiscal_year(spark, sf_dir):
+    """S9 sink: one output directory per fiscal-year unit; read back and counted."""
+    path = scratch(spark, "fy")
+    write_by_fiscal_year(cases(spark, sf_dir), path, label="TPS")
+    return spark.read.parquet(path).groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("stage_metrics", """SELECT 'staged' AS stage, count(*) AS n_rows FROM orders
+UNION ALL SELECT 'cleaned', count(*) FROM orders WHERE o_orderkey % 97 <> 0""")
+def q_stage_metrics(spark, sf_dir):
+    """Q2: row counts observed at stage borders while the cleaned table is written
+    (no extra pass over the data)."""
+    staged, o_in = observe_stage(staged_cases(spark, sf_dir), "staged")
+    cleaned, o_out = observe_stage(clean_cases(staged, nation_code_table(spark, sf_dir), "tps", check=False),
+                                   "cleaned")
+    write_parquet(cleaned, scratch(spark, "cleaned"))
+    rows = [("staged", o_in.get["rows"]), ("cleaned", o_out.get["rows"])]
+    return spark.createDataFrame(rows, "stage string, n_rows long")
