@@ -71,8 +71,8 @@ def to_int(c) -> Column:
 
 def suppressed_value(c) -> Column:
     """C16 value: ``-`` -> 0, thousands commas dropped, codes/junk -> NULL."""
-    s = F.regexp_replace(F.regexp_replace(_c(c), r"^-$", "0"), ",", "")
-    return s.try_cast("double")
+    c = _c(c)
+    return F.translate(F.when(c == "-", F.lit("0")).otherwise(c), ",", "").try_cast("double")
 
 
 def suppression_code(c) -> Column:

@@ -208,28 +208,30 @@ codes AS (SELECT al.code, up.country FROM al LEFT JOIN up ON al.canonical = up.c
 REPORT_FILES = ("i821_radp_fy22.txt", "I821_RADP_FY2023_Q4.txt")
 
 
-def _token(i: int):
-    """Spark expression for value token ``i`` of a part's report line."""
+def _tokens():
+    """Spark array of the 20 value tokens of a part's report line."""
     k = F.col("p_partkey")
-    m = (k + i) % 23
-    num = F.format_number((k * (i + 1) * 37) % 100000, 0)
-    return F.when(m == 0, F.lit("D")).when(m == 1, F.lit("H")).when(m == 2, F.lit("-")).otherwise(num)
+
+    def tok(i):
+        m = (k + i) % 23
+        num = F.format_number((k * (i + 1) * 37) % 100000, 0)
+        return F.when(m == 0, F.lit("D")).when(m == 1, F.lit("H")).when(m == 2, F.lit("-")).otherwise(num)
+    return F.transform(F.sequence(F.lit(0), F.lit(19)), tok)
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text line per part: the part name, then 20 value tokens. Some lines have
     19 tokens, some 21 (a leading count, or a leading ``D`` that belongs to the
     label); spacing varies (tabs, runs of spaces)."""
-    p = table(spark, sf_dir, "part")
-    k, size = F.col("p_partkey"), F.col("p_size")
-    toks = [_token(i) for i in range(20)]
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", _tokens().alias("_toks"))
+    k, size, toks = F.col("p_partkey"), F.col("p_size"), F.col("_toks")
     sep = F.when(k % 5 == 0, F.lit("  \t ")).otherwise(F.lit(" "))
-    body = F.concat_ws(" ", *toks)
-    body = (F.when(size % 10 == 0, F.concat_ws(" ", *toks[:19]))
-             .when(size % 10 == 1, F.concat_ws(" ", F.lit("7"), body))
-             .when(size % 10 == 2, F.concat_ws(" ", F.lit("D"), body))
-             .otherwise(body))
-    line = F.concat(F.when(k % 7 == 0, F.lit(" ")).otherwise(F.lit("")), F.col("p_name"), sep, body)
+    body = (F.when(size % 10 == 0, F.slice(toks, 1, 19))
+             .when(size % 10 == 1, F.concat(F.array(F.lit("7")), toks))
+             .when(size % 10 == 2, F.concat(F.array(F.lit("D")), toks))
+             .otherwise(toks))
+    line = F.concat(F.when(k % 7 == 0, F.lit(" ")).otherwise(F.lit("")), F.col("p_name"), sep,
+                    F.array_join(body, " "))
     src = F.when(k % 2 == 0, F.lit(REPORT_FILES[0])).otherwise(F.lit(REPORT_FILES[1]))
     return p.select(k.alias("p_partkey"), line.alias("line"), src.alias("source_file"))
 
@@ -237,11 +239,11 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 21-cell text grid per part (as read from a sheet with no header typing):
     data rows, plus title/header/footnote rows whose 2nd cell is not a value."""
-    p = table(spark, sf_dir, "part")
-    k, size = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", _tokens().alias("_toks"))
+    k, size, toks = F.col("p_partkey"), F.col("p_size"), F.col("_toks")
     second = (F.when(size % 10 == 3, F.lit("Received")).when(size % 10 == 4, F.lit(None))
-               .otherwise(_token(0)))
-    cells = [F.col("p_name").alias("c1"), second.alias("c2")] + [_token(i).alias(f"c{i + 2}") for i in range(1, 20)]
+               .otherwise(toks[0]))
+    cells = [F.col("p_name").alias("c1"), second.alias("c2")] + [toks[i].alias(f"c{i + 2}") for i in range(1, 20)]
     src = F.when(k % 2 == 0, F.lit("i821_radp_fy2024_q4.xlsx")).otherwise(F.lit("i821_radp_fy2025_q4_v1.xlsx"))
     return p.select(k.alias("p_partkey"), *cells, src.alias("source_file"))
 

@@ -26,11 +26,15 @@ def public_facts(lines: DataFrame | None = None, grid: DataFrame | None = None,
     if grid is not None:
         parts.append(grid_data_rows(grid, grid_cols or [f"c{i}" for i in range(1, 22)]))
     wide = union_by_name(parts)
-    long = unpivot_compound(wide, ["country", "source_file"], names=("period", "metric"))
+    # per-line work once per line, before one line becomes 20 rows
+    cells = [c for c in wide.columns if c not in ("country", "source_file")]
+    wide = wide.select(squish("country").alias("country"),
+                       fiscal_year_from_name("source_file").alias("fiscal_year"), "source_file",
+                       *[F.col(f"`{c}`").alias(c) for c in cells])
+    long = unpivot_compound(wide, ["country", "fiscal_year", "source_file"], names=("period", "metric"))
     facts = long.select(
-        fiscal_year_from_name("source_file").alias("fiscal_year"),
-        quarter_from_period("period").alias("quarter"),
-        "period", squish("country").alias("country"), "metric",
+        "fiscal_year", quarter_from_period("period").alias("quarter"),
+        "period", "country", "metric",
         suppressed_value("value").alias("value"), suppression_code("value").alias("code"),
         "source_file")
     return sort_nulls_last(facts, "fiscal_year", "quarter", "country", "metric") if sort else facts
