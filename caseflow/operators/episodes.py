@@ -9,7 +9,7 @@ combined map-side instead of landing in one task:
   which is bounded by the calendar, not by the person's row count);
 * last-in-episode = the row whose order key equals the group's ``max(key)``;
 * undated rows each open their own episode after all dated ones, numbered with
-  the skew-safe ``row_number_within``;
+  ``row_number_within`` (buckets bounded by one source file, never a whole person);
 * rows without an id are their own person: constants, no shuffle at all.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.columns import APPROVED, C3, DACA_INITIAL, DACA_RENEWAL, ELIS, PROVENANCE
-from caseflow.operators.ranking import row_number_within
+from caseflow.operators.ranking import row_number_within, running_within
 
 DUP_COLS = ("duplicate_identifier", "duplicate_last", "duplicate_likely", "duplicate_drop_row")
 
@@ -80,7 +80,8 @@ def flag_duplicates(df: DataFrame, id_col: str = "unique_identifier", date_col:
          .withColumn("duplicate_likely", F.col("_n") > 1)
          .drop("_n", "_last", "_ep"))
 
-    undated = row_number_within(base.filter(has_id & ~has_date), [id_col], [F.col("_k").asc()], out="_r")
+    file_col, row_col = provenance
+    undated = row_number_within(base.filter(has_id & ~has_date), [id_col], [*within, file_col], row_col, out="_r")
     b = (undated.join(n_dated, id_col, "left")
          .withColumn("duplicate_identifier", (F.coalesce(F.col("_nd"), F.lit(0)) + F.col("_r")).cast("int"))
          .withColumn("duplicate_last", F.lit(True))
@@ -105,17 +106,19 @@ def running_approvals(df: DataFrame, id_col: str = "unique_identifier",
     provenance). NULL-sticky like R's ``cumsum``: from the first NULL decision on, NULL.
     Rows without an id get NULL (the reference never counts them).
 
-    A running frame over one person's rows: one shuffle on the person key and a
-    streaming window (no group is buffered), so a person's history costs one task's
-    sort. ``initial_renewal`` uses this; the episode flags above do not need it.
+    Running sums come from ``running_within``: per (person, decision date, rec date,
+    file) bucket plus the totals of the person's earlier buckets, so one person's
+    history is never a single task.
     """
-    w = (Window.partitionBy(id_col).orderBy(*[F.col(c).asc_nulls_last() for c in order_cols],
-                                            *[F.col(c).asc() for c in provenance])
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    appr = (F.col(decision_col) == F.lit(APPROVED)).cast("long")
-    seen_null = F.sum(F.col(decision_col).isNull().cast("long")).over(w) > 0
-    n = F.when(F.col(id_col).isNull() | seen_null, F.lit(None)).otherwise(F.sum(appr).over(w))
-    return df.withColumn(out, n.cast("long"))
+    file_col, row_col = provenance
+    has_id = F.col(id_col).isNotNull()
+    r = running_within(df.filter(has_id), [id_col], [*order_cols, file_col], row_col, {
+        "_appr": F.coalesce((F.col(decision_col) == F.lit(APPROVED)).cast("long"), F.lit(0)),
+        "_nulls": F.col(decision_col).isNull().cast("long"),
+    })
+    r = (r.withColumn(out, F.when(F.col("_nulls") > 0, F.lit(None)).otherwise(F.col("_appr")).cast("long"))
+          .drop("_appr", "_nulls"))
+    return r.unionByName(df.filter(~has_id).withColumn(out, F.lit(None).cast("long")))
 
 
 def initial_renewal(df: DataFrame, id_col: str = "unique_identifier", source_col: str = "data_source",

@@ -1,44 +1,28 @@
-"""Row numbers inside groups that may be hot.
+"""Positions and running sums inside groups that may be hot.
 
-``row_number() OVER (PARTITION BY g ...)`` sends every row of a group to one
-task. When one group can hold a third of the table (a fiscal year, a person
-with a huge history), that task is the whole job. ``row_number_within``
-range-partitions on ``(group, order)`` instead, so a hot group is spread over
-many tasks, and turns per-partition positions into group positions with two
-small aggregates:
+``row_number() OVER (PARTITION BY g ORDER BY ...)`` sends every row of a group to
+one task. When one group can hold a third of the table (a fiscal year, one
+person's history), that task is the whole job.
 
-1. position inside the partition (sorted), from ``monotonically_increasing_id``;
-2. partition start offsets (one row per partition, so a proven-small broadcast);
-3. each group's first global position (one row per group; joined back with a
-   shuffle join that AQE may split or broadcast by measured size).
+Every order used in this engine ends with the row's provenance -- source file,
+then row within the file -- and a source file is a bounded unit. So the order is
+cut into *buckets*: (group, leading order keys..., file). Inside a bucket rows are
+numbered (or summed) by their row number with a window that never holds more
+than one file's rows; each bucket is then shifted by the totals of the group's
+earlier buckets, read from a table of one row per bucket (an aggregate with
+map-side combine; its window per group is bounded by the group's bucket count).
 
-``order`` must be a total order inside each group (end it with the provenance
-columns); ties would make the numbering depend on shuffle fetch order.
-
-The positioned rows are materialised once with a reliable ``checkpoint()`` (into
-the cluster's ``spark.checkpoint.dir``): range bounds are sampled from the input,
-and an input that comes out of a shuffle has no fixed row order, so every reader
-of the positions -- and any recomputation after a lost executor -- must see the
-same copy.
+Everything is deterministic (no sampling, no ``monotonically_increasing_id``),
+so a lost executor recomputes exactly the same values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.session import checkpoint_dir
-
-_LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | record number
-
-
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
 
 def null_safe_join_cond(left: DataFrame, right: DataFrame, left_cols: Sequence[str],
                         right_cols: Sequence[str]) -> Column:
@@ -50,33 +34,32 @@ def null_safe_join_cond(left: DataFrame, right: DataFrame, left_cols: Sequence[s
     return cond
 
 
-def row_number_within(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                      out: str = "rn", num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 1-based position of the row in its ``group`` by ``order``."""
-    group = list(group)
-    keys = [F.col(g).asc_nulls_last() for g in group] + list(order)
-    n = _num_partitions(df, num_partitions)
-    mask = (1 << _LOCAL_BITS) - 1
-    s = (df.repartitionByRange(n, *keys)
-           .sortWithinPartitions(*keys)
-           .withColumn("_mid", F.monotonically_increasing_id())
-           .withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))
-           .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(mask)))
-           .drop("_mid"))
-    checkpoint_dir(df.sparkSession)
-    s = s.checkpoint(eager=True)
-    # one row per partition: bounded by the partition count, safe to broadcast
-    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn(
-        "_off",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)),
-    ).select("_pid", "_off")
-    g = (s.join(F.broadcast(offsets), "_pid")
-          .withColumn("_gpos", F.col("_off") + F.col("_pos"))
-          .drop("_pos", "_off"))
-    gk = [f"_gk{i}" for i in range(len(group))]
-    starts = g.groupBy(*[F.col(c).alias(k) for c, k in zip(group, gk)]).agg(F.min("_gpos").alias("_start"))
-    j = g.join(starts, null_safe_join_cond(g, starts, group, gk), "inner")
-    return (j.withColumn(out, F.col("_gpos") - F.col("_start") + 1)
-             .drop("_gpos", "_pid", "_start", *gk))
+def running_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str], row_col: str,
+                   measures: Mapping[str, Column]) -> DataFrame:
+    """Add, for each ``name -> expr`` in ``measures``, the running (inclusive) sum of
+    ``expr`` inside ``group`` in the order (``buckets`` ascending NULLs last, then
+    ``row_col``). ``buckets`` must end with the source-file column so a bucket is
+    bounded; (buckets, row_col) must be unique inside a group."""
+    group, buckets = list(group), list(buckets)
+    keys = group + buckets
+    named = df.select("*", *[e.alias(f"_m_{n}") for n, e in measures.items()])
+    inside = Window.partitionBy(*keys).orderBy(F.col(row_col).asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = named.select("*", *[F.sum(f"_m_{n}").over(inside).alias(f"_l_{n}") for n in measures])
+    bk = [f"_b{i}" for i in range(len(keys))]
+    totals = named.groupBy(*[F.col(c).alias(b) for c, b in zip(keys, bk)]).agg(
+        *[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
+    earlier = (Window.partitionBy(*bk[:len(group)])
+               .orderBy(*[F.col(b).asc_nulls_last() for b in bk[len(group):]])
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*bk, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}")
+                                   for n in measures])
+    j = local.join(offsets, null_safe_join_cond(local, offsets, keys, bk), "inner")
+    return j.select(*[local[c] for c in df.columns],
+                    *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in measures])
+
+
+def row_number_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str], row_col: str,
+                      out: str = "rn") -> DataFrame:
+    """1-based position of each row in ``group`` by (``buckets`` NULLs last, ``row_col``)."""
+    return running_within(df, group, buckets, row_col, {out: F.lit(1).cast("long")})

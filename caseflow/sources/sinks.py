@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseflow.columns import MAX_ROWS_PER_UNIT, PROVENANCE
 from caseflow.functions.dates import fiscal_year
+from caseflow.operators.ranking import row_number_within
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
@@ -26,28 +27,20 @@ def fiscal_year_units(df: DataFrame, date_col: str = "rec_date", label: str | No
     each, in provenance order) and the unit name ``sheet`` ("<label> FY2024 (2)").
 
     A fiscal year is a hot group by design (a handful of keys for the whole table),
-    so a year is never one window partition: rows are numbered inside each
-    (year, source file) -- bounded by one file -- and shifted by the row counts of
-    the year's earlier files (a table of one row per (year, file)).
+    so a year is never one window partition: ``row_number_within`` numbers rows
+    inside each (year, source file) -- bounded by one file -- and shifts them by the
+    row counts of the year's earlier files.
     """
     file_col, row_col = provenance
-    x = df.withColumn("fy", fiscal_year(date_col))
-    local = F.row_number().over(Window.partitionBy("fy", file_col).orderBy(F.col(row_col).asc_nulls_last()))
-    per_file = x.groupBy("fy", file_col).agg(F.count(F.lit(1)).alias("_nf"))
-    before = Window.partitionBy("fy").orderBy(F.col(file_col).asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = per_file.select("fy", file_col, F.coalesce(F.sum("_nf").over(before), F.lit(0)).alias("_off"))
-    x = (x.withColumn("_rf", local)
-          .join(offsets, x["fy"].eqNullSafe(offsets["fy"]) & (x[file_col] == offsets[file_col]), "inner")
-          .select(x["*"], "_rf", "_off"))
-    chunk = F.ceil((F.col("_off") + F.col("_rf")) / F.lit(max_rows)).cast("int")
+    x = row_number_within(df.withColumn("fy", fiscal_year(date_col)), ["fy"], [file_col], row_col, out="_rn")
+    chunk = F.ceil(F.col("_rn") / F.lit(max_rows)).cast("int")
     prefix = f"{label} " if label else ""
     name = F.concat(F.lit(prefix),
                     F.when(F.col("fy").isNull(), F.lit("FY unknown"))
                      .otherwise(F.concat(F.lit("FY"), F.col("fy").cast("string"))),
                     F.when(F.col("chunk") > 1, F.concat(F.lit(" ("), F.col("chunk").cast("string"), F.lit(")")))
                      .otherwise(F.lit("")))
-    return x.withColumn("chunk", chunk).withColumn("sheet", name).drop("_rf", "_off")
+    return x.withColumn("chunk", chunk).withColumn("sheet", name).drop("_rn")
 
 
 def unit_names(units: DataFrame) -> DataFrame:

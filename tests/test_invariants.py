@@ -49,12 +49,14 @@ def test_repair_inverts_corruption(spark):
     assert d.filter(repair_mojibake(broken) != F.col("text")).count() == 0
 
 
-@pytest.mark.parametrize("n_parts", [1, 3, 8])
-def test_row_number_within_matches_window(spark, n_parts):
-    o = table(spark, SF, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    a = row_number_within(o, ["o_orderstatus"], [F.col("o_orderkey").asc()], out="rn", num_partitions=n_parts)
-    b = o.withColumn("rn", F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")))
-    assert a.select(b.columns).exceptAll(b).count() == 0
+@pytest.mark.parametrize("buckets", [["f"], ["o_orderpriority", "f"]])
+def test_row_number_within_matches_window(spark, buckets):
+    o = table(spark, SF, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority",
+                                         (F.col("o_custkey") % 7).cast("string").alias("f"))
+    a = row_number_within(o, ["o_orderstatus"], buckets, "o_orderkey", out="rn")
+    w = Window.partitionBy("o_orderstatus").orderBy(*[F.col(b).asc_nulls_last() for b in buckets], "o_orderkey")
+    b = o.withColumn("rn", F.row_number().over(w))
+    assert a.count() == b.count() and a.select(b.columns).exceptAll(b).count() == 0
 
 
 def test_fiscal_chunks_match_window(spark):
