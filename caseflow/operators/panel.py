@@ -180,15 +180,14 @@ def _panel_sweep(ev: DataFrame, dates: DataFrame, id_col, country_col, date_col,
         end = F.when(F.col("_to").isNull(), end).otherwise(F.least(F.col("_to"), end))
         ivs.append(F.when(F.col("latest_approved_decision").isNotNull(),
                           F.struct(F.lit(name).alias("m"), F.col("_from").alias("s"), end.alias("e"))))
-    iv = (st.select(F.col(country_col), F.explode(F.array(*ivs)).alias("iv"))
-            .select(country_col, "iv.*")
+    iv = (st.select(F.col(country_col), F.inline(F.array(*ivs)))
             .filter(F.col("m").isNotNull() & (F.col("e").isNull() | (F.col("s") < F.col("e")))))
+    # +1 where an interval starts, -1 where it ends; summed per (country, measure, day)
     ends = F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")),
                    F.when(F.col("e").isNotNull(), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d"))))
-    deltas = (iv.select(country_col, "m", F.explode(ends).alias("x"))
-                .filter(F.col("x").isNotNull())
-                .groupBy(country_col, "m", F.col("x.t").alias("t"))
-                .agg(F.sum("x.d").alias("d")))
+    deltas = (iv.select(country_col, "m", F.inline(ends))
+                .filter(F.col("t").isNotNull())
+                .groupBy(country_col, "m", "t").agg(F.sum("d").alias("d")))
     w = Window.partitionBy(country_col, "m").orderBy("t")
     steps = deltas.select(country_col, "m", "t", F.lead("t").over(w).alias("t_next"),
                           F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
