@@ -22,12 +22,13 @@ def null_markers(c, markers: Sequence[str] = NULL_MARKERS) -> Column:
 
 
 def parse_datetime(c) -> Column:
-    """Text or spreadsheet serial -> TIMESTAMP (a serial's fraction is the time of day)."""
+    """Text or spreadsheet serial -> TIMESTAMP_NTZ (wall-clock, independent of the
+    session time zone); a serial's fraction is the time of day."""
     s = F.col(c) if isinstance(c, str) else c
     num = s.try_cast("double")
-    origin = F.unix_seconds(F.lit(SERIAL_DATE_ORIGIN).cast("timestamp"))
-    from_serial = F.timestamp_seconds(origin + F.round(num * 86400).cast("long"))
-    return F.when(num.isNotNull(), from_serial).otherwise(F.try_to_timestamp(s))
+    origin = F.lit(SERIAL_DATE_ORIGIN).cast("timestamp_ntz")
+    from_serial = F.timestamp_add("SECOND", F.round(num * 86400).cast("long"), origin)
+    return F.when(num.isNotNull(), from_serial).otherwise(s.try_cast("timestamp_ntz"))
 
 
 def stage_typed(df: DataFrame, date_cols: Sequence[str] = DATE_COLS, year_cols: Sequence[str] = YEAR_COLS,
