@@ -40,10 +40,16 @@ def redaction_flag(c) -> Column:
     return F.coalesce(_c(c).rlike(REDACTION_REGEX), F.lit(False))
 
 
+# blank or exactly "NA" once whitespace is squished; or a redaction code anywhere
+_UNINFORMATIVE = r"^[\t\n\f\r\p{Z}]*(?:NA)?[\t\n\f\r\p{Z}]*$|(?i:\(b\)|b\([0-9]\))"
+
+
 def is_informative(c) -> Column:
-    """Text cell that is not NULL, blank, the literal ``NA`` or redacted (after squish)."""
-    s = squish(c)
-    return ~(_c(c).isNull() | (s == "") | (s == "NA") | redaction_flag(s))
+    """Text cell that is not NULL, blank, the literal ``NA`` or redacted (after squish).
+    One regex per cell: squish only changes whitespace, which neither the ``NA``
+    test (whitespace allowed around it) nor the redaction codes depend on."""
+    c = _c(c)
+    return c.isNotNull() & ~c.rlike(_UNINFORMATIVE)
 
 
 def recode_values(c, mapping: Mapping[str, str]) -> Column:

@@ -10,7 +10,8 @@ combined map-side instead of landing in one task:
 * last-in-episode = the row whose order key equals the group's ``max(key)``;
 * undated rows each open their own episode after all dated ones, numbered with
   ``row_number_within`` (buckets bounded by one source file, never a whole person);
-* rows without an id are their own person: constants, no shuffle at all.
+  rows without an id ride along as one-row persons of the surrogate key;
+* so the input is read twice (dated rows, the rest) and shuffled once in total.
 """
 
 from __future__ import annotations
@@ -63,37 +64,35 @@ def flag_duplicates(df: DataFrame, id_col: str = "unique_identifier", date_col:
     within = ["decision_date"] if order == "tps" else []
     if order not in ("tps", "daca"):
         raise ValueError(f"order must be 'tps' or 'daca', got {order!r}")
-    base = df.withColumn("_k", order_key(within, provenance))
+    file_col, row_col = provenance
+    base = surrogate_key(df, id_col, "_nona", provenance)
     has_id = F.col(id_col).isNotNull()
     has_date = F.col(date_col).isNotNull()
 
-    dated = base.filter(has_id & has_date)
+    dated = base.filter(has_id & has_date).withColumn("_k", order_key(within, provenance))
     # one row per (person, date): partial aggregation absorbs hot groups map-side
     episodes = (dated.groupBy(id_col, date_col)
                 .agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_last"))
                 .withColumn("_ep", F.row_number().over(Window.partitionBy(id_col).orderBy(date_col))))
-    n_dated = episodes.groupBy(id_col).agg(F.max("_ep").alias("_nd"))
+    n_dated = episodes.groupBy(F.col(id_col).alias("_nona")).agg(F.max("_ep").alias("_nd"))
 
     a = (dated.join(episodes, [id_col, date_col], "inner")
          .withColumn("duplicate_identifier", F.col("_ep").cast("int"))
          .withColumn("duplicate_last", F.col("_k") == F.col("_last"))
          .withColumn("duplicate_likely", F.col("_n") > 1)
-         .drop("_n", "_last", "_ep"))
+         .drop("_n", "_last", "_ep", "_k"))
 
-    file_col, row_col = provenance
-    undated = row_number_within(base.filter(has_id & ~has_date), [id_col], [*within, file_col], row_col, out="_r")
-    b = (undated.join(n_dated, id_col, "left")
+    # undated rows and id-less rows (each its own person via the surrogate key) each
+    # open their own episode, numbered after the person's dated ones
+    undated = row_number_within(base.filter(~(has_id & has_date)), ["_nona"], [*within, file_col], row_col,
+                                out="_r")
+    b = (undated.join(n_dated, "_nona", "left")
          .withColumn("duplicate_identifier", (F.coalesce(F.col("_nd"), F.lit(0)) + F.col("_r")).cast("int"))
          .withColumn("duplicate_last", F.lit(True))
          .withColumn("duplicate_likely", F.lit(None).cast("boolean"))
          .drop("_nd", "_r"))
 
-    c = (base.filter(~has_id)
-         .withColumn("duplicate_identifier", F.lit(1))
-         .withColumn("duplicate_last", F.lit(True))
-         .withColumn("duplicate_likely", F.lit(None).cast("boolean")))
-
-    out = a.unionByName(b).unionByName(c).drop("_k")
+    out = a.unionByName(b).drop("_nona")
     return out.withColumn(
         "duplicate_drop_row",
         F.coalesce(F.col("duplicate_likely"), F.lit(False)) & ~F.col("duplicate_last"))

@@ -100,9 +100,13 @@ def cross_section(df: DataFrame, as_of: str, id_col: str = "unique_identifier",
     if bound:
         rows = rows.filter(F.col(date_col) <= F.lit(as_of).cast("date"))
     k = _person_key(provenance)
-    summary = person_summary(rows, id_col, decision_col, date_col, mode, provenance)
-    country = rows.groupBy(id_col).agg(F.min_by(F.col(country_col), k).alias(country_col))
-    per = country.join(summary, id_col)
+    appr = _approved(decision_col)
+    if mode == "faithful":
+        latest = F.when(F.bool_or(appr), F.max_by(F.col(date_col), k))
+    else:
+        latest = F.max_by(F.col(date_col), F.when(appr, k))
+    per = rows.groupBy(id_col).agg(F.min_by(F.col(country_col), k).alias(country_col),
+                                   latest.alias("latest_approved_decision"))
     return within_counts(per, as_of, [country_col])
 
 
