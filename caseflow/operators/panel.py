@@ -13,9 +13,9 @@ The snapshot panel has two plans:
   per (person, date). Work is rows x dates.
 * ``sweep`` (default) -- one aggregate per (person, day), running state over the
   person's distinct decision days (bounded by the calendar), +1/-1 deltas per
-  (country, measure, day), pre-aggregated, then a running sum looked up at each
-  snapshot date. Work is linear in rows; only the tiny delta table meets the
-  dates.
+  (country, measure, day), pre-aggregated; the value at a snapshot date is the
+  sum of the deltas on or before it. Work is linear in rows; only the small delta
+  table (countries x measures x days) meets the dates.
 """
 
 from __future__ import annotations
@@ -192,15 +192,13 @@ def _panel_sweep(ev: DataFrame, dates: DataFrame, id_col, country_col, date_col,
     deltas = (iv.select(country_col, "m", F.inline(ends))
                 .filter(F.col("t").isNotNull())
                 .groupBy(country_col, "m", "t").agg(F.sum("d").alias("d")))
-    w = Window.partitionBy(country_col, "m").orderBy("t")
-    steps = deltas.select(country_col, "m", "t", F.lead("t").over(w).alias("t_next"),
-                          F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                          .alias("value"))
+    # value at v = sum of the deltas dated on or before v: the pre-aggregated delta
+    # table (countries x measures x days) meets the bounded date list once
     d = F.broadcast(dates.distinct())
-    at = steps.join(d, (steps["t"] <= d[v]) & (steps["t_next"].isNull() | (d[v] < steps["t_next"])))
-    aggs = [F.coalesce(F.max(F.when(F.col("m") == name, F.col("value"))), F.lit(0)).cast("long").alias(name)
+    at = deltas.join(d, deltas["t"] <= d[v])
+    aggs = [F.coalesce(F.sum(F.when(F.col("m") == name, F.col("d"))), F.lit(0)).cast("long").alias(name)
             for name, _ in thresholds]
-    present = F.max(F.when(F.col("m") == "_present", F.col("value")))
+    present = F.sum(F.when(F.col("m") == "_present", F.col("d")))
     return (at.groupBy(country_col, v).agg(present.alias("_present"), *aggs)
               .filter(F.col("_present") > 0).drop("_present"))
 

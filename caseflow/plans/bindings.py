@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from caseflow.sources.staging import scan_parquet
+    return scan_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def cases(spark: SparkSession, sf_dir: str, monthly: bool = False) -> DataFrame:

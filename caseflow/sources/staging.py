@@ -54,6 +54,18 @@ def stage_typed(df: DataFrame, date_cols: Sequence[str] = DATE_COLS, year_cols:
     return narrow_datetime(typed, present) if narrow and present else typed
 
 
+def scan_parquet(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
+    """Columnar scan. When the files give fewer scan tasks than the cluster has
+    cores (a single small file, one row group), rows are spread round-robin first so
+    the work before the first shuffle is not one task; on a large input this is a
+    no-op. Filters and projections still reach the scan."""
+    df = spark.read.parquet(path)
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
+
+
 def with_provenance(df: DataFrame, file_col: str = "file_original", row_col: str = "row_original") -> DataFrame:
     """Source file and 1-based row within it, from the Parquet scan's hidden
     ``_metadata`` (row_index is exact per file and needs no shuffle)."""
