@@ -41,15 +41,22 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
-
-    Only when the session names none (local tests) do we make a scratch folder.
-    """
+    """Shared folder for lineage cuts and scratch outputs: the cluster's
+    ``spark.checkpoint.dir``. Only when the session names none (local tests) do we
+    make a scratch folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    sc = None
+    try:
+        sc = spark.sparkContext
+        d = d or sc.getCheckpointDir()
+    except Exception:  # noqa: BLE001 -- Spark Connect has no SparkContext
+        pass
     if not d:
         d = tempfile.mkdtemp(prefix="caseflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 -- static conf in some deployments
+            pass
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d

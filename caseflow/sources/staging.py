@@ -60,10 +60,12 @@ def scan_parquet(spark: SparkSession, path: str, min_partitions: int | None = No
     the work before the first shuffle is not one task; on a large input this is a
     no-op. Filters and projections still reach the scan."""
     df = spark.read.parquet(path)
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- no RDD API (Spark Connect): keep the plain scan
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def with_provenance(df: DataFrame, file_col: str = "file_original", row_col: str = "row_original") -> DataFrame:
