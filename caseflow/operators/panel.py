@@ -24,6 +24,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.columns import APPROVED, OTHER_COUNTRIES, PROVENANCE, THRESHOLDS
 from caseflow.operators.episodes import order_key
@@ -221,8 +222,15 @@ def snapshot_panel(df: DataFrame, dates: DataFrame, id_col: str = "unique_identi
 
 def lump_other(panel: DataFrame, keep: DataFrame, country_col: str = "ben_country_of_birth",
                group_cols: Sequence[str] = ("report_date",), out_col: str = "country",
-               other: str = OTHER_COUNTRIES, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """A8 (+J5): countries outside ``keep`` (and NULL) become ``other``; re-sum."""
+               other: str = OTHER_COUNTRIES, measures: Sequence[str] | None = None) -> DataFrame:
+    """A8 (+J5, A2): countries outside ``keep`` (and NULL) become ``other``; then every
+    integer measure is re-summed (NULLs ignored). ``measures`` defaults to all
+    integral columns that are not keys, chosen from the schema."""
+    if measures is None:
+        keys = {country_col, *group_cols}
+        measures = [f.name for f in panel.schema.fields
+                    if f.name not in keys and isinstance(f.dataType, (T.IntegerType, T.LongType,
+                                                                      T.ShortType, T.ByteType))]
     k = keep.select(F.col(keep.columns[0]).alias("_keep")).filter(F.col("_keep").isNotNull()).distinct()
     j = panel.join(k, panel[country_col] == k["_keep"], "left")
     country = F.when(F.col("_keep").isNotNull(), F.col(country_col)).otherwise(F.lit(other))
@@ -231,6 +239,18 @@ def lump_other(panel: DataFrame, keep: DataFrame, country_col: str = "ben_countr
              .agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in measures]))
 
 
+def person_profile(df: DataFrame, cols: Sequence[str], id_col: str = "unique_identifier",
+                   decision_col: str = "decision", provenance: Sequence[str] = PROVENANCE) -> DataFrame:
+    """W9 generalised: per person, ``first_<c>`` and ``latest_<c>`` for each column in
+    person order (values may be NULL), and ``ever_approved``. One aggregate."""
+    k = _person_key(provenance)
+    aggs = []
+    for c in cols:
+        aggs += [F.min_by(F.col(c), k).alias(f"first_{c}"), F.max_by(F.col(c), k).alias(f"latest_{c}")]
+    aggs.append(F.bool_or(_approved(decision_col)).alias("ever_approved"))
+    return df.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(*aggs)
+
+
 def panel_vs_published(lumped: DataFrame, published_long: DataFrame, date_col: str = "report_date",
                        measures: Sequence[str] = MEASURES) -> DataFrame:
     """Estimates unpivoted to (country, date, source, value) and stacked on the

@@ -314,3 +314,23 @@ def q_semi_filter(spark, sf_dir):
     pub = _pub_long(spark, sf_dir)
     return semi_filter(_cases(spark, sf_dir), PP.published_countries(pub), "ben_country_of_birth") \
         .select("row_original", "ben_country_of_birth")
+
+
+_PROFILE_COLS = ("form_type", "decision", "rec_date", "decision_date")
+
+
+@register("person_summary", f"""
+WITH c AS ({cases_sql()}),
+p AS (SELECT * FROM c WHERE unique_identifier IS NOT NULL),
+r AS (SELECT *,
+        row_number() OVER (PARTITION BY unique_identifier ORDER BY {_ORDER}) AS rf,
+        row_number() OVER (PARTITION BY unique_identifier ORDER BY {_ORDER_DESC}) AS rl
+      FROM p)
+SELECT unique_identifier,
+""" + ",\n".join(f"  max(CASE WHEN rf = 1 THEN {c} END) AS first_{c}, max(CASE WHEN rl = 1 THEN {c} END) AS latest_{c}"
+                  for c in _PROFILE_COLS) + """,
+  coalesce(bool_or(decision = 'Approved'), false) AS ever_approved
+FROM r GROUP BY unique_identifier""")
+def q_person_summary(spark, sf_dir):
+    """W9 generalised: first/latest form type, decision and dates per person, ever approved."""
+    return P.person_profile(_cases(spark, sf_dir), _PROFILE_COLS)
