@@ -28,6 +28,13 @@ def published_long(published_wide: DataFrame) -> DataFrame:
     return unpivot_dates(clean_names(published_wide), "country")
 
 
+def published_from_csv(spark, path: str) -> DataFrame:
+    """The published-counts CSV (``Country`` + one column per ISO date, blanks for
+    not reported) as the long (country, report_date, value, source) table."""
+    from caseflow.sources.text import read_header_csv
+    return published_long(read_header_csv(spark, path, clean=False))
+
+
 def published_dates(pub_long: DataFrame, out: str = "report_date") -> DataFrame:
     return pub_long.select(F.col("report_date").alias(out)).distinct()
 

@@ -236,3 +236,15 @@ def test_report_lines_token_counts(spark):
     ], "line string, source_file string")
     got = {r["country"]: r["Q1.received"] for r in parse_report_line(lines).collect()}
     assert got == {"El Salvador": "1,200", "Sudan D": "1,200", "Syria": "1,200"}
+
+
+def test_published_csv_to_long(spark, tmp_path):
+    from caseflow.plans.person_panel import published_from_csv
+    p = tmp_path / "published.csv"
+    p.write_text("Country,2015-07-01,2016-02-18\n"
+                 "El Salvador,204000,204000\n"
+                 '"Korea, South",,7\n')
+    got = sorted((r["country"], str(r["report_date"]), r["value"], r["source"])
+                 for r in published_from_csv(spark, str(p)).collect())
+    assert got == [("El Salvador", "2015-07-01", 204000.0, "CRS"), ("El Salvador", "2016-02-18", 204000.0, "CRS"),
+                   ("Korea, South", "2015-07-01", 0.0, "CRS"), ("Korea, South", "2016-02-18", 7.0, "CRS")]
