@@ -48,14 +48,27 @@ def unit_names(units: DataFrame) -> DataFrame:
     return units.select("fy", "chunk", "sheet").distinct()
 
 
+def unit_name(label: str | None, fy: int | None, chunk: int) -> str:
+    """The name of one output unit, as ``fiscal_year_units`` spells it."""
+    prefix = f"{label} " if label else ""
+    year = "FY unknown" if fy is None else f"FY{fy}"
+    return prefix + year + (f" ({chunk})" if chunk > 1 else "")
+
+
 def write_by_fiscal_year(df: DataFrame, path: str, date_col: str = "rec_date", label: str | None = None,
                          max_rows: int = MAX_ROWS_PER_UNIT) -> list[str]:
     """One output directory per fiscal-year unit (``sheet=<name>``), zstd Parquet.
-    Returns the unit names in order (fy, unknown last; chunk) -- a handful of rows."""
+    Returns the unit names in order (fy, unknown last; chunk). The names follow from
+    the row count per fiscal year -- one row per year, read from a date-only scan --
+    so the ranked units are computed once, by the write."""
     units = fiscal_year_units(df, date_col, label, max_rows)
     write_parquet(units.drop("fy", "chunk"), path, partition_by=["sheet"])
-    names = unit_names(units).orderBy(F.col("fy").asc_nulls_last(), "chunk")
-    return [r["sheet"] for r in names.collect()]
+    per_year = df.groupBy(fiscal_year(date_col).alias("fy")).agg(F.count(F.lit(1)).alias("n")).collect()
+    names = []
+    for r in sorted(per_year, key=lambda r: (r["fy"] is None, r["fy"] or 0)):
+        n_chunks = -(-r["n"] // max_rows)
+        names += [unit_name(label, r["fy"], c) for c in range(1, n_chunks + 1)]
+    return names
 
 
 def chunk_window_reference(df: DataFrame, date_col: str = "rec_date", max_rows: int = MAX_ROWS_PER_UNIT,

@@ -248,3 +248,13 @@ def test_published_csv_to_long(spark, tmp_path):
                  for r in published_from_csv(spark, str(p)).collect())
     assert got == [("El Salvador", "2015-07-01", 204000.0, "CRS"), ("El Salvador", "2016-02-18", 204000.0, "CRS"),
                    ("Korea, South", "2015-07-01", 0.0, "CRS"), ("Korea, South", "2016-02-18", 7.0, "CRS")]
+
+
+def test_write_by_fiscal_year_names(spark, tmp_path):
+    from caseflow.sources.sinks import write_by_fiscal_year
+    rows = [("a", D("2023-09-30"), "f", i) for i in range(1, 6)] + [("b", D("2023-10-01"), "f", 6), ("c", None, "f", 7)]
+    df = spark.createDataFrame(rows, "unique_identifier string, rec_date date, file_original string, row_original long")
+    names = write_by_fiscal_year(df, str(tmp_path / "out"), label="TPS", max_rows=2)
+    assert names == ["TPS FY2023", "TPS FY2023 (2)", "TPS FY2023 (3)", "TPS FY2024", "TPS FY unknown"]
+    back = {r["sheet"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("sheet").count().collect()}
+    assert back == {"TPS FY2023": 2, "TPS FY2023 (2)": 2, "TPS FY2023 (3)": 1, "TPS FY2024": 1, "TPS FY unknown": 1}
