@@ -18,28 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf_dir: str, monthly: bool = False) -> DataFrame:
     """One application row per order; ``monthly`` truncates rec_date to the month so
-    that same-person same-date duplicates are common."""
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    od = F.col("o_orderdate").cast("date")
-    rec = F.trunc(od, "MM") if monthly else od
-    status = F.col("o_orderstatus")
-    decision = F.when(status == "F", "Approved").when(status == "O", "Denied").otherwise("Pending")
-    return o.select(
-        F.when(F.col("o_custkey") % 40 == 0, F.lit(None)).otherwise(F.col("o_custkey").cast("string"))
-         .alias("unique_identifier"),
-        F.when(k % 13 == 0, F.lit(None)).otherwise(rec).alias("rec_date"),
-        F.when(k % 11 == 0, F.lit(None)).otherwise(F.date_add(od, (k * 7 % 400).cast("int")))
-         .alias("decision_date"),
-        F.when(k % 17 == 0, F.lit(None)).otherwise(decision).alias("decision"),
-        F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("ben_country_of_birth"),
-        F.when(k % 3 == 0, F.lit("ELIS")).otherwise(F.lit("C3")).alias("data_source"),
-        F.when(k % 3 != 0, F.lit(None))
-         .when(k % 2 == 0, F.lit("DACA - Initial")).otherwise(F.lit("DACA - Renewal")).alias("form_type"),
-        F.element_at(F.array(F.lit("F"), F.lit("M"), F.lit("U"), F.lit("Female")),
-                     (k % 4 + 1).cast("int")).alias("ben_gender"),
-        F.lit("orders.parquet").alias("file_original"),
-        k.alias("row_original"),
+    that same-person same-date duplicates are common. (One SQL projection: the
+    expressions are parsed JVM-side in a single call.)"""
+    rec = "trunc(CAST(o_orderdate AS DATE), 'MM')" if monthly else "CAST(o_orderdate AS DATE)"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "CASE WHEN o_custkey % 40 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END AS unique_identifier",
+        f"CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE {rec} END AS rec_date",
+        "CASE WHEN o_orderkey % 11 = 0 THEN NULL "
+        "ELSE date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey * 7 % 400 AS INT)) END AS decision_date",
+        "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CASE o_orderstatus WHEN 'F' THEN 'Approved' "
+        "WHEN 'O' THEN 'Denied' ELSE 'Pending' END END AS decision",
+        "nullif(o_orderpriority, '5-LOW') AS ben_country_of_birth",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'ELIS' ELSE 'C3' END AS data_source",
+        "CASE WHEN o_orderkey % 3 <> 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'DACA - Initial' "
+        "ELSE 'DACA - Renewal' END AS form_type",
+        "element_at(array('F', 'M', 'U', 'Female'), CAST(o_orderkey % 4 + 1 AS INT)) AS ben_gender",
+        "'orders.parquet' AS file_original",
+        "o_orderkey AS row_original",
     )
 
 
