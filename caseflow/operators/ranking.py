@@ -47,8 +47,10 @@ def running_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str],
         Window.unboundedPreceding, Window.currentRow)
     local = named.select("*", *[F.sum(f"_m_{n}").over(inside).alias(f"_l_{n}") for n in measures])
     bk = [f"_b{i}" for i in range(len(keys))]
-    totals = named.groupBy(*[F.col(c).alias(b) for c, b in zip(keys, bk)]).agg(
-        *[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
+    # bucket totals from the windowed rows: already partitioned by the bucket keys, so
+    # no second pass over the input and no extra exchange
+    totals = (local.groupBy(*keys).agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
+                   .select(*[F.col(c).alias(b) for c, b in zip(keys, bk)], *[f"_t_{n}" for n in measures]))
     earlier = (Window.partitionBy(*bk[:len(group)])
                .orderBy(*[F.col(b).asc_nulls_last() for b in bk[len(group):]])
                .rowsBetween(Window.unboundedPreceding, -1))
