@@ -271,13 +271,25 @@ SELECT * EXCLUDE (n_appr, n_null), CASE WHEN n_null > 0 THEN NULL WHEN n_appr <=
 UNION ALL SELECT *, form_type AS form_type_filled_in FROM g WHERE data_source = 'ELIS' OR unique_identifier IS NULL"""
 
 
+def _staged_on_disk(spark, sf_dir):
+    """The staging boundary, as in the real workflow: staged records are written once
+    as zstd Parquet and the cleaner reads them back (profile, checks and the plan
+    then scan Parquet instead of re-deriving the fixture)."""
+    from caseflow.plans.queries_io import scratch
+    from caseflow.sources.sinks import write_parquet
+    from caseflow.sources.staging import scan_parquet
+    path = scratch(spark, "staged")
+    write_parquet(staged_cases(spark, sf_dir), path)
+    return scan_parquet(spark, path)
+
+
 @register("clean_tps", _clean_sql("tps"))
 def q_clean_tps(spark, sf_dir):
-    """The TPS cleaning plan end to end."""
-    return clean_cases(staged_cases(spark, sf_dir), nation_code_table(spark, sf_dir), form="tps")
+    """The TPS cleaning plan end to end (P1, P2, J3, C1, C2, W0-W4, Q1) on staged Parquet."""
+    return clean_cases(_staged_on_disk(spark, sf_dir), nation_code_table(spark, sf_dir), form="tps")
 
 
 @register("clean_daca", _clean_sql("daca"))
 def q_clean_daca(spark, sf_dir):
-    """The DACA cleaning plan end to end (adds W5/W6 initial vs renewal)."""
-    return clean_cases(staged_cases(spark, sf_dir), nation_code_table(spark, sf_dir), form="daca")
+    """The DACA cleaning plan end to end (adds W5/W6 initial vs renewal) on staged Parquet."""
+    return clean_cases(_staged_on_disk(spark, sf_dir), nation_code_table(spark, sf_dir), form="daca")
