@@ -10,7 +10,8 @@ from caseflow.operators.lookup import lookup_left
 from caseflow.operators.ranking import row_number_within
 from caseflow.plans import person_panel as PP
 from caseflow.plans.bindings import cases, nation_code_table, staged_cases, table
-from caseflow.sources.sinks import chunk_window_reference, fiscal_year_units
+from caseflow.functions.dates import fiscal_year
+from caseflow.sources.sinks import fiscal_year_units
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +60,13 @@ def test_row_number_within_matches_window(spark, buckets):
     assert a.count() == b.count() and a.select(b.columns).exceptAll(b).count() == 0
 
 
+def chunk_window_reference(df, max_rows):
+    """The single-window form of W8 (one task per fiscal year): an oracle only."""
+    w = Window.partitionBy("fy").orderBy("file_original", "row_original")
+    return (df.withColumn("fy", fiscal_year("rec_date"))
+              .withColumn("chunk", F.ceil(F.row_number().over(w) / F.lit(max_rows)).cast("int")))
+
+
 def test_fiscal_chunks_match_window(spark):
     c = cases(spark, SF)
     a = fiscal_year_units(c, max_rows=100).select("row_original", "fy", "chunk")
