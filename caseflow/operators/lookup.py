@@ -1,8 +1,8 @@
 """Layered code lookup (J1-J4): base table, upserted overlay, aliases, left lookup.
 
 Lookup tables are small by nature (hundreds of codes) but the engine never
-assumes it: ``lookup_left`` broadcasts only after checking the row count, and
-falls back to a shuffle join beyond the limit.
+assumes it: ``lookup_left`` broadcasts only after checking the row count (reading
+at most limit + 1 rows), and falls back to a shuffle join beyond the limit.
 """
 
 from __future__ import annotations
@@ -125,18 +125,20 @@ def lookup_left(df: DataFrame, table: DataFrame, left_col: str, code_col: str =
                 max_broadcast_rows: int = BROADCAST_MAX_ROWS, check_unique: bool = False) -> DataFrame:
     """Row-count preserving equi left join to a code table.
 
-    The table side is broadcast only when its row count is at most
-    ``max_broadcast_rows`` (one count job on the small side); otherwise a shuffle join.
+    One job reads at most ``max_broadcast_rows + 1`` rows of the table. Within the
+    limit the table becomes a local relation and is broadcast (its plan is not
+    re-run in every branch that uses the result); beyond it, a shuffle join.
     ``check_unique`` raises if a code repeats (the join would fan out).
     """
     t = table.withColumnRenamed(code_col, "_code")
-    if check_unique:
-        dup = t.groupBy("_code").count().filter("count > 1").limit(1).count()
-        if dup:
+    rows = t.limit(max_broadcast_rows + 1).collect()
+    if len(rows) <= max_broadcast_rows:
+        codes = [r["_code"] for r in rows]
+        if check_unique and len(codes) != len(set(codes)):
             raise ValueError("lookup table has repeated codes; the join would duplicate rows")
-    n = t.count()
-    if n <= max_broadcast_rows:
-        t = F.broadcast(t)
+        t = F.broadcast(df.sparkSession.createDataFrame(rows, t.schema))
+    elif check_unique and t.groupBy("_code").count().filter("count > 1").limit(1).count():
+        raise ValueError("lookup table has repeated codes; the join would duplicate rows")
     return df.join(t, df[left_col] == t["_code"], "left").drop("_code")
 
 

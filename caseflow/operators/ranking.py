@@ -39,24 +39,28 @@ def running_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str],
     """Add, for each ``name -> expr`` in ``measures``, the running (inclusive) sum of
     ``expr`` inside ``group`` in the order (``buckets`` ascending NULLs last, then
     ``row_col``). ``buckets`` must end with the source-file column so a bucket is
-    bounded; (buckets, row_col) must be unique inside a group."""
+    bounded; (buckets, row_col) must be unique inside a group.
+
+    The bucket is one struct key (never NULL itself; NULL fields compare equal), so
+    the window, the bucket totals and the join back all use the same hash
+    partitioning: the rows are shuffled once.
+    """
     group, buckets = list(group), list(buckets)
-    keys = group + buckets
-    named = df.select("*", *[e.alias(f"_m_{n}") for n, e in measures.items()])
-    inside = Window.partitionBy(*keys).orderBy(F.col(row_col).asc_nulls_last()).rowsBetween(
+    gkey = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])
+    bkey = F.struct(gkey.alias("g"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(buckets)])
+    named = df.select("*", bkey.alias("_bkey"), *[e.alias(f"_m_{n}") for n, e in measures.items()])
+    inside = Window.partitionBy("_bkey").orderBy(F.col(row_col).asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = named.select("*", *[F.sum(f"_m_{n}").over(inside).alias(f"_l_{n}") for n in measures])
-    bk = [f"_b{i}" for i in range(len(keys))]
-    # bucket totals from the windowed rows: already partitioned by the bucket keys, so
-    # no second pass over the input and no extra exchange
-    totals = (local.groupBy(*keys).agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
-                   .select(*[F.col(c).alias(b) for c, b in zip(keys, bk)], *[f"_t_{n}" for n in measures]))
-    earlier = (Window.partitionBy(*bk[:len(group)])
-               .orderBy(*[F.col(b).asc_nulls_last() for b in bk[len(group):]])
+    # totals per bucket from the windowed rows: same partitioning, no second pass
+    totals = local.groupBy("_bkey").agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
+    earlier = (Window.partitionBy(F.col("_bkey.g"))
+               .orderBy(*[F.col(f"_bkey.b{i}").asc_nulls_last() for i in range(len(buckets))])
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*bk, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}")
-                                   for n in measures])
-    j = local.join(offsets, null_safe_join_cond(local, offsets, keys, bk), "inner")
+    offsets = totals.select(F.col("_bkey").alias("_okey"),
+                            *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}")
+                              for n in measures])
+    j = local.join(offsets, local["_bkey"] == offsets["_okey"], "inner")
     return j.select(*[local[c] for c in df.columns],
                     *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in measures])
 
