@@ -14,6 +14,7 @@ from caseflow.operators.episodes import flag_duplicates, initial_renewal, no_bra
 from caseflow.operators.lookup import lookup_left
 from caseflow.operators.profile import drop_uninformative, flag_empty_rows
 from caseflow.operators.quality import reconcile_counts
+from caseflow.sources.sinks import materialize
 
 # columns later steps name; kept even when the profile finds them empty (defect D6)
 REQUIRED = ("unique_alien_id", "ben_country_of_birth", "data_source", "ben_gender", "form_type",
@@ -54,6 +55,8 @@ def clean_cases(staged: DataFrame, codes: DataFrame, form: str = "tps", raw_id:
     df = flag_duplicates(df, order=form)
     df = df.filter(~F.col("row_redacted")).drop("row_redacted")
     if form == "daca":
-        df = initial_renewal(df)
+        # initial_renewal reads the flagged rows in three branches; without a cut the
+        # episode shuffles above would run once per branch
+        df = initial_renewal(materialize(df, "daca-flagged"))
     tail = list(PROVENANCE)
     return df.select(*[c for c in df.columns if c not in tail], *tail)

@@ -21,6 +21,21 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage at a point several branches read: write ``df`` once as zstd Parquet
+    into the cluster's shared ``spark.checkpoint.dir`` (a new folder per call) and
+    continue from the scan. Later branches re-scan columnar files (with pruning)
+    instead of re-running the shuffles above; a lost executor re-reads, not re-computes."""
+    import uuid
+
+    from caseflow.session import checkpoint_dir
+    from caseflow.sources.staging import scan_parquet
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/caseflow-stage/{name}-{uuid.uuid4().hex}"
+    write_parquet(df, path)
+    return scan_parquet(spark, path)
+
+
 def fiscal_year_units(df: DataFrame, date_col: str = "rec_date", label: str | None = None,
                       max_rows: int = MAX_ROWS_PER_UNIT, provenance: Sequence[str] = PROVENANCE) -> DataFrame:
     """Add ``fy`` (NULL = unknown), ``chunk`` (1-based, at most ``max_rows`` rows
