@@ -178,11 +178,15 @@ FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_na
 
 
 def nation_code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three-layer code table with the nation list standing in for the 2001 list."""
+    """The three-layer code table with a base list of nation codes plus one code per
+    customer (so it grows with the data; beyond the broadcast limit the lookup
+    switches to a shuffle join)."""
     from caseflow.operators.lookup import country_code_table
-    base = table(spark, sf_dir, "nation").select(
+    nations = table(spark, sf_dir, "nation").select(
         F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"))
-    return country_code_table(spark, base)
+    customers = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("code"), F.col("c_name").alias("name"))
+    return country_code_table(spark, nations.unionByName(customers))
 
 
 def nation_code_table_sql() -> str:
@@ -191,7 +195,8 @@ def nation_code_table_sql() -> str:
     ov = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in COUNTRY_CODE_OVERLAY)
     al = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in COUNTRY_CODE_ALIASES)
     return f"""
-base AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS code, n_name AS country FROM nation),
+base AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS code, n_name AS country FROM nation
+         UNION ALL SELECT 'C' || CAST(c_custkey AS VARCHAR), c_name FROM customer),
 ov AS (SELECT * FROM (VALUES {ov}) t(code, country)),
 up AS (SELECT * FROM base WHERE code NOT IN (SELECT code FROM ov) UNION ALL SELECT * FROM ov),
 al AS (SELECT * FROM (VALUES {al}) t(code, canonical)),

@@ -258,3 +258,14 @@ def test_write_by_fiscal_year_names(spark, tmp_path):
     assert names == ["TPS FY2023", "TPS FY2023 (2)", "TPS FY2023 (3)", "TPS FY2024", "TPS FY unknown"]
     back = {r["sheet"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("sheet").count().collect()}
     assert back == {"TPS FY2023": 2, "TPS FY2023 (2)": 2, "TPS FY2023 (3)": 1, "TPS FY2024": 1, "TPS FY unknown": 1}
+
+
+def test_lookup_fallback_without_broadcast(spark):
+    base = spark.createDataFrame([("ELSAL", "El Salvador"), ("US", "USA"), ("HAITI", "Haiti")],
+                                 "code string, name string")
+    codes = country_code_table(spark, base)
+    rows = spark.createDataFrame([(1, "US"), (2, "ESAL"), (3, "ZZ"), (4, None)], "row_original long, raw string")
+    small = lookup_left(rows, codes, "raw", check_unique=True)
+    big = lookup_left(rows, codes, "raw", max_broadcast_rows=2, check_unique=True)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+    assert "BroadcastHashJoin" not in big._jdf.queryExecution().sparkPlan().toString()
