@@ -269,3 +269,18 @@ def test_lookup_fallback_without_broadcast(spark):
     big = lookup_left(rows, codes, "raw", max_broadcast_rows=2, check_unique=True)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
     assert "BroadcastHashJoin" not in big._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_changed_since_picks_only_newer_files(spark, tmp_path):
+    import time
+    from caseflow.streaming.incremental import changed_since, text_schema
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "old.csv").write_text("case_number,status\n1,F\n2,O\n")
+    time.sleep(1.5)
+    cut = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    time.sleep(1.5)
+    (src / "new.csv").write_text("case_number,status\n3,P\n")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    got = changed_since(spark, str(src), cut, text_schema(["case_number", "status"]))
+    assert [r["case_number"] for r in got.collect()] == ["3"]
