@@ -9,7 +9,7 @@ combined map-side instead of landing in one task:
   which is bounded by the calendar, not by the person's row count);
 * last-in-episode = the row whose order key equals the group's ``max(key)``;
 * undated rows each open their own episode after all dated ones, numbered with
-  ``row_number_within`` (buckets bounded by one source file, never a whole person);
+  ``row_number_within`` (buckets of at most 1M rows, never a whole person);
   rows without an id ride along as one-row persons of the surrogate key;
 * so the input is read twice (dated rows, the rest) and shuffled once in total.
 """
@@ -106,8 +106,8 @@ def running_approvals(df: DataFrame, id_col: str = "unique_identifier",
     Rows without an id get NULL (the reference never counts them).
 
     Running sums come from ``running_within``: per (person, decision date, rec date,
-    file) bucket plus the totals of the person's earlier buckets, so one person's
-    history is never a single task.
+    file, row range) bucket plus the totals of the person's earlier buckets, so one
+    person's history is never a single task.
     """
     file_col, row_col = provenance
     has_id = F.col(id_col).isNotNull()

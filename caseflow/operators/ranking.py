@@ -5,12 +5,13 @@ one task. When one group can hold a third of the table (a fiscal year, one
 person's history), that task is the whole job.
 
 Every order used in this engine ends with the row's provenance -- source file,
-then row within the file -- and a source file is a bounded unit. So the order is
-cut into *buckets*: (group, leading order keys..., file). Inside a bucket rows are
+then row within the file. So the order is cut into *buckets*: (group, leading
+order keys..., file, row range), where a row range is ``floor(row / R)`` -- at
+most R rows, however large one file, key or group is. Inside a bucket rows are
 numbered (or summed) by their row number with a window that never holds more
-than one file's rows; each bucket is then shifted by the totals of the group's
-earlier buckets, read from a table of one row per bucket (an aggregate with
-map-side combine; its window per group is bounded by the group's bucket count).
+than R rows; each bucket is then shifted by the totals of the group's earlier
+buckets, read from a table of one row per bucket (an aggregate with map-side
+combine; its window per group holds one row per bucket, i.e. rows / R).
 
 Everything is deterministic (no sampling, no ``monotonically_increasing_id``),
 so a lost executor recomputes exactly the same values.
@@ -34,12 +35,16 @@ def null_safe_join_cond(left: DataFrame, right: DataFrame, left_cols: Sequence[s
     return cond
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
 def running_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str], row_col: str,
-                   measures: Mapping[str, Column]) -> DataFrame:
+                   measures: Mapping[str, Column], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add, for each ``name -> expr`` in ``measures``, the running (inclusive) sum of
     ``expr`` inside ``group`` in the order (``buckets`` ascending NULLs last, then
-    ``row_col``). ``buckets`` must end with the source-file column so a bucket is
-    bounded; (buckets, row_col) must be unique inside a group.
+    ``row_col``); (buckets, row_col) must be unique inside a group (end ``buckets``
+    with the source file). Buckets are further cut into ``row_col`` ranges of
+    ``rows_per_bucket``, so no window ever holds more rows than that.
 
     The bucket is one struct key (never NULL itself; NULL fields compare equal), so
     the window, the bucket totals and the join back all use the same hash
@@ -47,7 +52,8 @@ def running_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str],
     """
     group, buckets = list(group), list(buckets)
     gkey = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])
-    bkey = F.struct(gkey.alias("g"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(buckets)])
+    cut = [*[F.col(c) for c in buckets], F.floor(F.col(row_col) / F.lit(rows_per_bucket))]
+    bkey = F.struct(gkey.alias("g"), *[c.alias(f"b{i}") for i, c in enumerate(cut)])
     named = df.select("*", bkey.alias("_bkey"), *[e.alias(f"_m_{n}") for n, e in measures.items()])
     inside = Window.partitionBy("_bkey").orderBy(F.col(row_col).asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -55,7 +61,7 @@ def running_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str],
     # totals per bucket from the windowed rows: same partitioning, no second pass
     totals = local.groupBy("_bkey").agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
     earlier = (Window.partitionBy(F.col("_bkey.g"))
-               .orderBy(*[F.col(f"_bkey.b{i}").asc_nulls_last() for i in range(len(buckets))])
+               .orderBy(*[F.col(f"_bkey.b{i}").asc_nulls_last() for i in range(len(cut))])
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(F.col("_bkey").alias("_okey"),
                             *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}")
@@ -66,6 +72,6 @@ def running_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str],
 
 
 def row_number_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str], row_col: str,
-                      out: str = "rn") -> DataFrame:
+                      out: str = "rn", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """1-based position of each row in ``group`` by (``buckets`` NULLs last, ``row_col``)."""
-    return running_within(df, group, buckets, row_col, {out: F.lit(1).cast("long")})
+    return running_within(df, group, buckets, row_col, {out: F.lit(1).cast("long")}, rows_per_bucket)

@@ -43,8 +43,8 @@ def fiscal_year_units(df: DataFrame, date_col: str = "rec_date", label: str | No
 
     A fiscal year is a hot group by design (a handful of keys for the whole table),
     so a year is never one window partition: ``row_number_within`` numbers rows
-    inside each (year, source file) -- bounded by one file -- and shifts them by the
-    row counts of the year's earlier files.
+    inside (year, source file, row range) buckets of bounded size and shifts them
+    by the row counts of the year's earlier buckets.
     """
     file_col, row_col = provenance
     x = row_number_within(df.withColumn("fy", fiscal_year(date_col)), ["fy"], [file_col], row_col, out="_rn")

@@ -50,11 +50,12 @@ def test_repair_inverts_corruption(spark):
     assert d.filter(repair_mojibake(broken) != F.col("text")).count() == 0
 
 
-@pytest.mark.parametrize("buckets", [["f"], ["o_orderpriority", "f"]])
-def test_row_number_within_matches_window(spark, buckets):
+@pytest.mark.parametrize("buckets,rows_per_bucket", [(["f"], 1_000_000), (["o_orderpriority", "f"], 1_000_000),
+                                                     (["f"], 7), (["o_orderpriority", "f"], 3)])
+def test_row_number_within_matches_window(spark, buckets, rows_per_bucket):
     o = table(spark, SF, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority",
                                          (F.col("o_custkey") % 7).cast("string").alias("f"))
-    a = row_number_within(o, ["o_orderstatus"], buckets, "o_orderkey", out="rn")
+    a = row_number_within(o, ["o_orderstatus"], buckets, "o_orderkey", out="rn", rows_per_bucket=rows_per_bucket)
     w = Window.partitionBy("o_orderstatus").orderBy(*[F.col(b).asc_nulls_last() for b in buckets], "o_orderkey")
     b = o.withColumn("rn", F.row_number().over(w))
     assert a.count() == b.count() and a.select(b.columns).exceptAll(b).count() == 0
