@@ -25,21 +25,35 @@ def _informative(df: DataFrame, name: str) -> Column:
     return F.col(name).isNotNull()
 
 
-def informative_columns(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, bool]:
-    """One job: does each column hold at least one informative value?"""
+def informative_columns(df: DataFrame, cols: Sequence[str] | None = None,
+                        counts: Mapping[str, Column] | None = None) -> dict[str, bool | int]:
+    """One job: does each column hold at least one informative value? ``counts``
+    adds ``count_if`` results to the same pass (reconciliation counts)."""
     cols = list(cols) if cols is not None else df.columns
-    if not cols:
+    counts = dict(counts or {})
+    if not cols and not counts:
         return {}
     aggs = [F.coalesce(F.max(_informative(df, c).cast("int")), F.lit(0)).alias(f"_{i}")
             for i, c in enumerate(cols)]
+    aggs += [F.count_if(F.coalesce(p, F.lit(False))).alias(f"_n{i}") for i, p in enumerate(counts.values())]
     row = df.agg(*aggs).first()
-    return {c: bool(row[f"_{i}"]) for i, c in enumerate(cols)}
+    out: dict[str, bool | int] = {c: bool(row[f"_{i}"]) for i, c in enumerate(cols)}
+    out.update({n: int(row[f"_n{i}"]) for i, n in enumerate(counts)})
+    return out
 
 
-def drop_uninformative(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def drop_uninformative(df: DataFrame, keep: Sequence[str] = (),
+                       must_be_zero: Mapping[str, Column] | None = None) -> DataFrame:
     """Drop every column whose values are all NULL / blank / ``NA`` / redacted
-    (text) or all NULL (other types). Zero rows drops everything not in ``keep``."""
-    prof = informative_columns(df, [c for c in df.columns if c not in keep])
+    (text) or all NULL (other types). Zero rows drops everything not in ``keep``.
+    ``must_be_zero`` counts are taken in the same pass; a non-zero one raises
+    ``quality.CountMismatch``."""
+    from caseflow.operators.quality import CountMismatch
+    must_be_zero = dict(must_be_zero or {})
+    prof = informative_columns(df, [c for c in df.columns if c not in keep], must_be_zero)
+    bad = {n: prof[n] for n in must_be_zero if prof[n]}
+    if bad:
+        raise CountMismatch(f"row-count reconciliation failed: {bad}")
     return df.select(*[c for c in df.columns if c in keep or prof.get(c, False)])
 
 

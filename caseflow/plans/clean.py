@@ -13,7 +13,6 @@ from caseflow.functions.text import recode_values, resolve_country
 from caseflow.operators.episodes import flag_duplicates, initial_renewal, no_branch_rows
 from caseflow.operators.lookup import lookup_left
 from caseflow.operators.profile import drop_uninformative, flag_empty_rows
-from caseflow.operators.quality import reconcile_counts
 from caseflow.sources.sinks import materialize
 
 # columns later steps name; kept even when the profile finds them empty (defect D6)
@@ -28,19 +27,23 @@ def clean_cases(staged: DataFrame, codes: DataFrame, form: str = "tps", raw_id:
     Steps: drop form columns; drop uninformative columns (profile job); flag fully
     empty rows; resolve country codes (broadcast lookup, size-checked); recode
     gender (and TPS form type); id rename; episodes and duplicate flags; drop empty
-    rows; DACA also fills in initial/renewal. ``check`` runs the row-count
-    reconciliation as one aggregate over the (cheap, pre-join) input.
+    rows; DACA also fills in initial/renewal. ``check`` adds the row-count
+    reconciliation to the profile pass (no extra job).
     """
     if form not in ("tps", "daca"):
         raise ValueError(f"form must be 'tps' or 'daca', got {form!r}")
     df = staged.drop(*[c for c in ("form_id", "label") if c in staged.columns])
-    df = drop_uninformative(df, keep=[*PROVENANCE, *[c for c in keep if c in df.columns]])
+    # The DACA split loses rows that are in neither branch. Such a row has an id, and
+    # the id column is always kept, so it is never an empty row: the count needs no
+    # profile result and rides in the profile's own pass. (The TPS check -- rows
+    # dropped == rows flagged -- cannot fail here: the flag is never NULL.)
+    checks = {}
+    if check and form == "daca":
+        checks["rows_in_no_branch"] = no_branch_rows(raw_id)
+    df = drop_uninformative(df, keep=[*PROVENANCE, *[c for c in keep if c in df.columns]],
+                            must_be_zero=checks)
     df = flag_empty_rows(df, except_cols=PROVENANCE)
     df = df.withColumnRenamed(raw_id, "unique_identifier")
-    if check and form == "daca":
-        # the TPS check (rows dropped == rows flagged) cannot fail here: the flag is
-        # never NULL; the DACA split can lose rows, so count them (cheap, pre-join)
-        reconcile_counts(df, {"rows_in_no_branch": ~F.col("row_redacted") & no_branch_rows()})
 
     if "ben_country_of_birth" in df.columns:
         df = lookup_left(df, codes.select("code", F.col("country").alias("_country")), "ben_country_of_birth")

@@ -284,3 +284,18 @@ def test_changed_since_picks_only_newer_files(spark, tmp_path):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     got = changed_since(spark, str(src), cut, text_schema(["case_number", "status"]))
     assert [r["case_number"] for r in got.collect()] == ["3"]
+
+
+def test_daca_rows_in_no_branch_raise(spark):
+    import pytest
+    from caseflow.operators.quality import CountMismatch
+    from caseflow.plans.clean import clean_cases
+    staged = spark.createDataFrame([
+        ("p1", D("2020-01-01"), D("2020-01-05"), "Approved", "C3", "N1", "F", None, F1, 1),
+        ("p2", D("2020-01-01"), D("2020-01-05"), "Approved", None, "N1", "F", None, F1, 2),
+    ], "unique_alien_id string, rec_date date, decision_date date, decision string, data_source string, "
+       "ben_country_of_birth string, ben_gender string, form_type string, file_original string, row_original long")
+    codes = spark.createDataFrame([("N1", "Nowhere")], "code string, country string")
+    with pytest.raises(CountMismatch):
+        clean_cases(staged, codes, form="daca")
+    assert clean_cases(staged, codes, form="tps").count() == 2
