@@ -1,4 +1,7 @@
-"""CLI: python tests/check_oracles.py [sf_dir] [name ...] -- Spark vs DuckDB per query."""
+"""CLI: python tests/check_oracles.py [--plain] [sf_dir] [name ...] -- Spark vs DuckDB per query.
+
+``--plain`` uses a bare session like an external driver would (no caseflow defaults:
+session time zone +05:30, ANSI off, default shuffle partitions, no checkpoint dir)."""
 import os
 import sys
 import time
@@ -13,10 +16,18 @@ from caseflow.session import get_session  # noqa: E402
 
 
 def main():
-    args = sys.argv[1:]
+    args = [a for a in sys.argv[1:] if a != "--plain"]
+    plain = "--plain" in sys.argv[1:]
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
-    spark = get_session("local[8]", 8)
+    if plain:
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false")
+                 .config("spark.sql.session.timeZone", "Asia/Kolkata")
+                 .config("spark.sql.ansi.enabled", "false").getOrCreate())
+    else:
+        spark = get_session("local[8]", 8)
     qs, orc = E.queries(), E.oracle_sql()
     bad = 0
     for name in names or sorted(qs):
