@@ -299,3 +299,21 @@ def test_daca_rows_in_no_branch_raise(spark):
     with pytest.raises(CountMismatch):
         clean_cases(staged, codes, form="daca")
     assert clean_cases(staged, codes, form="tps").count() == 2
+
+
+def test_narrow_datetime_precondition_and_all_null(spark):
+    import pytest
+    from caseflow.operators.profile import narrow_datetime
+    df = spark.createDataFrame([(dt.datetime(2020, 1, 1), None, "x")], "a timestamp_ntz, b timestamp_ntz, c string")
+    with pytest.raises(TypeError):
+        narrow_datetime(df, ["c"])
+    out = narrow_datetime(df)
+    assert dict(out.dtypes) == {"a": "date", "b": "date", "c": "string"}   # all-NULL narrows too
+
+
+def test_clean_names_headers(spark):
+    from caseflow.operators.reshape import clean_name, clean_names
+    assert [clean_name(c) for c in ("Country", "2015-07-01", "Ben Country of Birth", "caseNumber", " x ")] == [
+        "country", "x2015_07_01", "ben_country_of_birth", "case_number", "x"]
+    df = spark.createDataFrame([(1, 2)], "`A b` int, `a_b` int")
+    assert clean_names(df).columns == ["a_b", "a_b_2"]
