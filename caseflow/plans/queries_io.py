@@ -6,8 +6,6 @@ directory (never a machine-local temp folder), then reads it back.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from caseflow.plans.bindings import PUBLISHED_DATES, cases, cases_sql, published
 from caseflow.plans.catalog import register
 from caseflow.plans.clean import clean_cases
 from caseflow.plans.public_facts import public_facts
-from caseflow.session import checkpoint_dir
+from caseflow.session import scratch_folder
 from caseflow.sources.sinks import write_by_fiscal_year, write_parquet
 from caseflow.sources.staging import open_dataset, read_release, stage_forms
 from caseflow.sources.text import scan_report_lines
@@ -28,7 +26,7 @@ from caseflow.streaming.incremental import incremental_stage, text_schema
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for one run under the shared checkpoint directory."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/caseflow-io/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, name)
 
 
 @register("roundtrip_zstd", f"WITH c AS ({cases_sql()}) SELECT * FROM c")

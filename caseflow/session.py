@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,14 +36,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and scratch outputs: the cluster's
-    ``spark.checkpoint.dir``. Only when the session names none (local tests) do we
-    make a scratch folder."""
+    ``spark.checkpoint.dir``. Where none is set, a local session (``local[N]``: one host,
+    as in tests) uses a folder under its warehouse, which every task can reach; any other
+    master raises. Never a machine-local temporary folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
     try:
@@ -52,11 +52,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 -- Spark Connect has no SparkContext
         pass
     if not d:
-        d = tempfile.mkdtemp(prefix="caseflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 -- static conf in some deployments
-            pass
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        d = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, uniquely named folder under the shared folder; removed when the program ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/caseflow/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 -- the session has ended already; the cluster's own clean-up applies
+        pass

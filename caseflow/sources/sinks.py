@@ -26,12 +26,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     into the cluster's shared ``spark.checkpoint.dir`` (a new folder per call) and
     continue from the scan. Later branches re-scan columnar files (with pruning)
     instead of re-running the shuffles above; a lost executor re-reads, not re-computes."""
-    import uuid
-
-    from caseflow.session import checkpoint_dir
+    from caseflow.session import scratch_folder
     from caseflow.sources.staging import scan_parquet
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/caseflow-stage/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     write_parquet(df, path)
     return scan_parquet(spark, path)
 
