@@ -49,3 +49,38 @@ def op5(spark, sf_dir):
     from caseflow.llm import robust_rules
     return robust_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op7_qgram_filter")
+def op7(spark, sf_dir):
+    from caseflow.llm import qgram_filter
+    return qgram_filter.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP9 = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+p AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id <> b.doc_id
+   AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, pairs.b FROM r JOIN pairs ON r.b = pairs.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM s JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, s.g"""
+
+
+@register("op9_ngram_join", _OP9)
+def op9(spark, sf_dir):
+    from caseflow.llm import ngram_join
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op10_sp_tokens")
+def op10(spark, sf_dir):
+    from caseflow.llm import sp_tokens
+    return sp_tokens.tokenize(table(spark, sf_dir, "documents"), sp_tokens.read_model())

@@ -35,11 +35,12 @@ _FWD = _powers(_P, 4096)
 _COL = _powers(_Q, 8)
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hash of every word of ``data``, in order."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first byte's place) of every word of ``data``, in order."""
     a = np.frombuffer(data, np.uint8)
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
     if not a.size:
-        return np.empty(0, np.uint64)
+        return none
     ws = _WS[a]
     edge = np.flatnonzero(ws[1:] != ws[:-1]) + 1
     if not ws[0]:
@@ -48,19 +49,16 @@ def word_hashes(data: bytes) -> np.ndarray:
         edge = np.concatenate((edge, [a.size]))
     start, end = edge[0::2], edge[1::2]
     if not start.size:
-        return np.empty(0, np.uint64)
+        return none
     n = end - start
-    # position of every byte inside its word, wrapped at 4096 (longer words fold, with the block
-    # number mixed in, so they stay distinguishable)
-    first = np.repeat(start, n)
+    # a byte's weight goes by its place inside its word; places wrap at 4096, with the round mixed in
     at = np.flatnonzero(~ws)
-    pos = at - first
+    pos = at - np.repeat(start, n)
     val = (a[at].astype(np.uint64) + np.uint64(1)) * _FWD[pos & 4095]
     if n.max() > 4096:
         val = val * (np.uint64(2) * (pos >> 12).astype(np.uint64) + np.uint64(1))
-    seg = np.concatenate(([0], np.cumsum(n)[:-1]))
-    h = np.add.reduceat(val, seg)
-    return mix(h + n.astype(np.uint64) * np.uint64(_Q))
+    h = np.add.reduceat(val, np.cumsum(n) - n)
+    return mix(h + n.astype(np.uint64) * np.uint64(_Q)), start
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -76,11 +74,21 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
-def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's k-word shingles (A-Z lower-cased)."""
-    if not text:
-        return np.empty(0, np.uint64)
-    return np.unique(windows(word_hashes(text.encode("utf-8", "surrogatepass").lower()), k))
+def shingle_sets(texts: list[bytes | None], k: int = 5) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each UTF-8 text's k-word shingles (A-Z lower-cased)."""
+    data = b"\n".join(t or b"" for t in texts).lower()        # bytes.lower() changes A-Z only
+    h, start = word_hashes(data)
+    begin = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
+    cut = np.searchsorted(start, begin)
+    w = windows(h, k) if h.size >= k else np.empty(0, np.uint64)
+    out = []
+    for i, j in zip(cut[:-1], cut[1:]):
+        if j - i >= k:
+            s = np.sort(w[i:j - k + 1])
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        else:
+            out.append(windows(h[i:j], k))                    # one shingle, or none without words
+    return out
 
 
 def codepoints(text: str) -> np.ndarray:
