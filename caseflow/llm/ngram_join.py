@@ -9,7 +9,10 @@ sets form one class (a *node*); classes are joined exactly:
 2. Rare prefix tokens are indexed alone. If linked sets share no rare prefix token, all tokens shared
    by their extended prefixes are frequent; so frequent tokens are indexed as combinations of two. A
    set with more than ``LIGHT`` of them indexes them alone, and meets every other set there.
-3. In every list of the index all members are first paired with one pivot. Verified pairs make
+   At the first token they share, linked sets have enough tokens left on both sides; pairs of a list
+   that don't are left out there (they come up again at their first common token).
+3. In every list of the index all members are first paired with one pivot (the one with the smallest
+   share of rare tokens, so in a group of near copies about the original). Verified pairs make
    components; a list whose members are then in one component is done, in the others the members
    outside the largest component are paired with those of other components. A pair left out lies
    within a component already, so no link between components is lost, and a large group of near
@@ -38,9 +41,9 @@ from caseflow.llm.textops import mix, shingle_sets
 SHINGLE = 5
 K = 2
 LIGHT = 32
-BLOCK = 1 << 21           # tokens whose counts are taken together
-LOCAL = 3                 # a token counts towards being frequent where a block has so many sets with it
-FREQUENT = 24
+BLOCK = 1 << 22           # tokens whose counts are taken together
+LOCAL = 2                 # a token counts towards being frequent where a block has so many sets with it
+FREQUENT = 16
 MAX_FREQUENT = 200_000    # the most frequent tokens are put last; the bound only affects the order
 SLOTS = 22                # bits of the table of frequent tokens (a byte a slot)
 RARE, PAIR, SINGLE = 0, 1, 2
@@ -134,29 +137,34 @@ def frequency_classes(prof: DataFrame) -> np.ndarray:
     return out
 
 
-def index_keys(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(keys, their kinds, whether the set is heavy) under which a set is indexed."""
+def index_keys(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a set is indexed, and for each key: set size (from bit 37), the key's place in
+    the set's order (26 bits), share of rare tokens (8), whether the set is heavy, the key's kind (2)."""
     n = s.size
     if n < 2:                       # a single token links with equal sets only
-        return s[:0], np.empty(0, np.int64), False
+        return s[:0], np.empty(0, np.int64)
     cls = classes[s >> np.uint64(64 - SLOTS)]
     rare, often = s[cls == 0], s[cls > 0]
     prefix = n - -(-3 * n // 4) + 1
-    keys, kinds, heavy = [rare[:prefix]], [np.full(min(prefix, rare.size), RARE)], False
+    alone = rare[:prefix]
+    keys, kinds, places, heavy = [alone], [np.full(alone.size, RARE)], [np.arange(alone.size)], False
     g = often[np.lexsort((often, cls[cls > 0]))][:max(0, prefix + K - 1 - rare.size)]
     if g.size:
         heavy = g.size > LIGHT
         keys.append(mix(g + _C1))
         kinds.append(np.full(g.size, SINGLE))
+        places.append(rare.size + np.arange(g.size))
         if not heavy and g.size > 1:
             i, j = np.triu_indices(g.size, 1)
             keys.append(mix(mix(g[i] ^ _C1) + g[j] * _C1))
             kinds.append(np.full(i.size, PAIR))
-    return np.concatenate(keys), np.concatenate(kinds), heavy
+            places.append(rare.size + i)
+    return np.concatenate(keys), ((n << 37) + (np.concatenate(places) << 11) + (255 * rare.size // n << 3)
+                                  + (int(heavy) << 2) + np.concatenate(kinds))
 
 
 def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """key, node, meta (set size * 8 + heavy * 4 + kind): the index; rare keys of one node are left out."""
+    """key, node, meta (see ``index_keys``): the index; rare keys of one node are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)      # a fixed size
 
     def run(batches):
@@ -169,10 +177,10 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 if node in seen:
                     continue
                 seen.add(node)
-                k, kind, heavy = index_keys(s, cls)
+                k, m = index_keys(s, cls)
                 keys.append(k)
                 nodes.append(np.full(k.size, node, np.int64))
-                meta.append(s.size * 8 + 4 * heavy + kind)
+                meta.append(m)
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)),
@@ -211,8 +219,10 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
 
 
 def _as_pairs(df: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of columns x, y whose set sizes nx, ny allow a link."""
-    return (df.filter((F.col("x") != F.col("y")) & (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny")))
+    """Distinct pairs a < b of columns x, y whose set sizes nx, ny, and tokens left from the shared one
+    on (rx, ry), allow a link: sets of nx and ny tokens link only with 3/7 of nx + ny in common."""
+    return (df.filter((F.col("x") != F.col("y")) & (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny"))
+                      & (7 * F.least("rx", "ry") >= 3 * (F.col("nx") + F.col("ny"))))
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
@@ -308,15 +318,20 @@ def nodes_of(prof: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, prof: DataFrame) -> DataFrame:
     """node, label of every class that links with another."""
     nodes = keep(nodes_of(prof), "nodes")
+    meta = F.col("meta")
+    size = F.shiftright(meta, 37)
     index = keep(postings(docs, frequency_classes(prof)), "postings").select(
-        "key", "node", F.shiftright("meta", 3).alias("n"), F.col("meta").bitwiseAND(3).alias("kind"),
-        (F.col("meta").bitwiseAND(4) > 0).alias("heavy"))
+        "key", "node", size.alias("n"), (size - F.shiftright(meta, 11).bitwiseAND((1 << 26) - 1)).alias("left"),
+        F.shiftright(meta, 3).bitwiseAND(255).alias("share"), meta.bitwiseAND(3).alias("kind"),
+        (meta.bitwiseAND(4) > 0).alias("heavy"))
     # a list of single frequent tokens serves its heavy members only
     pivot = (index.groupBy("key").agg(
-        F.min(F.when((F.col("kind") != SINGLE) | F.col("heavy"), F.struct("node", "n"))).alias("p"),
+        F.min(F.when((F.col("kind") != SINGLE) | F.col("heavy"), F.struct("share", "n", "node", "left"))).alias("p"),
         F.min("node").alias("least"), F.max("node").alias("most"))
-        .filter("p is not null and least != most").select("key", F.col("p.node").alias("y"), F.col("p.n").alias("ny")))
-    star = _as_pairs(index.join(pivot, "key").select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny"))
+        .filter("p is not null and least != most")
+        .select("key", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.left").alias("ry")))
+    star = _as_pairs(index.join(pivot, "key").select(F.col("node").alias("x"), F.col("n").alias("nx"),
+                                                     F.col("left").alias("rx"), "y", "ny", "ry"))
     first = keep(_verified(star, nodes, docs), "links")
     label = components(first)
     now = keep(index.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
@@ -325,12 +340,10 @@ def link_components(docs: DataFrame, prof: DataFrame) -> DataFrame:
                                      F.max("h").alias("h"), F.max("kind").alias("kind"))
             .filter(f"groups > 1 and (kind != {SINGLE} or h)").select("key", "main"))
     open_lists = now.join(main, "key")
-    x = open_lists.filter("label != main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"),
-                                                  F.col("label").alias("lx"), F.col("heavy").alias("hx"))
-    y = open_lists.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"),
-                          F.col("heavy").alias("hy"), "kind")
-    rest = _as_pairs(x.join(y, "key").filter(
-        (F.col("lx") != F.col("ly")) & ((F.col("kind") != SINGLE) | F.col("hx") | F.col("hy"))))
+    side = lambda df, c: df.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("left").alias(f"r{c}"),
+                                   F.col("label").alias(f"l{c}"), F.col("heavy").alias(f"h{c}"), F.col("kind").alias(f"k{c}"))
+    rest = _as_pairs(side(open_lists.filter("label != main"), "x").join(side(open_lists, "y"), "key").filter(
+        (F.col("lx") != F.col("ly")) & ((F.col("kx") != SINGLE) | F.col("hx") | F.col("hy"))))
     second = _verified(keep(rest, "rest"), nodes, docs)
     return components(first.unionAll(second))
 
