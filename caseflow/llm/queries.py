@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseflow.llm import secret_links, url_templates
 from caseflow.llm.frames import fold, table
 
 QUERIES: dict = {}
@@ -30,7 +31,7 @@ def op1(spark, sf_dir):
     from caseflow.llm import langid
     docs = table(spark, sf_dir, "documents")
     model = language_model(docs)
-    rows = docs.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
     return langid.identify(rows, model, ["doc_id", "held_out"],
                            "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
@@ -84,3 +85,38 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     from caseflow.llm import sp_tokens
     return sp_tokens.tokenize(table(spark, sf_dir, "documents"), sp_tokens.read_model())
+
+
+@register("op6_pii_tagger")
+def op6(spark, sf_dir):
+    from caseflow.llm import pii_tagger
+    docs = table(spark, sf_dir, "documents")
+    return pii_tagger.find(docs, pii_tagger.fit(docs)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+_OP2 = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND row_number() OVER w > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND row_number() OVER w > 1 THEN first(page_id) OVER w END AS refers_to
+FROM pages WINDOW w AS (PARTITION BY sha1(coalesce(html, '')) ORDER BY page_id DESC)"""
+
+
+@register("op2_warc_writer", _OP2)
+def op2(spark, sf_dir):
+    from caseflow.llm import warc_writer
+    from caseflow.session import scratch_folder
+    folder = scratch_folder(spark, "warc")
+    warc_writer.write(table(spark, sf_dir, "pages"), folder)
+    return warc_writer.read(spark, folder)
+
+
+@register("op4_secret_links", secret_links.oracle())
+def op4(spark, sf_dir):
+    return secret_links.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@register("op8_url_templates", url_templates.oracle())
+def op8(spark, sf_dir):
+    return url_templates.judge(table(spark, sf_dir, "pages"))
