@@ -16,9 +16,11 @@ with the same id and content are scanned alike, each row gets its result; null i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.llm.frames import keep
+
 SCOPE = 200
 
 
@@ -43,27 +45,30 @@ ORDER = {k: i for i, k in enumerate(PATTERNS)}
 PART = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "id": "id", "endpoint": "endpoint"}
 
 
-def _matches(docs: DataFrame, kind: str) -> DataFrame:
-    """id, h, kind, start, end of a pattern's matches that pass its test."""
+def _matches(kind: str) -> Column:
+    """Array of (kind, at, gap, size, ok) of a pattern's matches in ``text``; ``gap`` code points stand
+    before a match. The piece after the last match is one more entry, of size 0."""
     pattern = PATTERNS[kind]
-    lit = F.lit(pattern)
-    found = docs.filter(F.col("text").rlike(pattern))            # most texts stop here
-    zipped = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", lit, 0).alias("hit"),
-                          *([F.regexp_extract_all("text", lit, 2).alias("value")] if kind == "assign" else []))
-    rows = found.select("id", "h", F.posexplode(zipped).alias("at", "z"))
-    hit = F.coalesce(F.col("z.hit"), F.lit(""))
-    ok = {"assign": F.length("z.value") >= 12, "key": hit.rlike("[a-z]") & hit.rlike("[A-Z]") & hit.rlike("[0-9]")}.get(kind, F.lit(True))
-    rows = rows.select("id", "h", F.lit(kind).alias("kind"), "at", F.length("z.gap").alias("gap"), F.length(hit).alias("size"),
-                       ((F.length(hit) > 0) & F.coalesce(ok, F.lit(False))).alias("ok"))
-    return rows
+    hits = lambda group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    zipped = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), hits(0).alias("hit"),
+                          hits(2 if kind == "assign" else 0).alias("value"))
+
+    def entry(z, at):
+        hit = F.coalesce(z["hit"], F.lit(""))
+        ok = {"assign": F.length(z["value"]) >= 12,
+              "key": hit.rlike("[a-z]") & hit.rlike("[A-Z]") & hit.rlike("[0-9]")}.get(kind, F.lit(True))
+        return F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.length(z["gap"]).alias("gap"), F.length(hit).alias("size"),
+                        ((F.length(hit) > 0) & F.coalesce(ok, F.lit(False))).alias("ok"))
+
+    return F.when(F.col("text").rlike(pattern), F.transform(zipped, entry))       # most texts stop at the test
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """id, h, kind, start, end: all matches. One text's matches of a kind are one window group."""
-    rows = None
-    for kind in PATTERNS:
-        r = _matches(docs, kind)
-        rows = r if rows is None else rows.unionAll(r)
+    """id, h, kind, start, end: all matches, from one pass over the texts. One text's matches of a kind
+    are one window group."""
+    none = F.array().cast("array<struct<kind:string,at:int,gap:int,size:int,ok:boolean>>")
+    found = [F.coalesce(_matches(kind), none) for kind in PATTERNS]
+    rows = docs.select("id", "h", F.explode(F.concat(*found)).alias("m")).select("id", "h", "m.*")
     rows = rows.distinct()                                        # rows that repeat an id and a text
     by = Window.partitionBy("id", "h", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(by)
@@ -98,7 +103,6 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base and spans (kind:start:end by start, then kind) of every row."""
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text")
-    from caseflow.llm.frames import keep
     found = keep(spans(rows), "spans")
     all_spans = found.filter(F.col("kind").isin(*BASE)).unionAll(linked(found))
     order = F.create_map(*[F.lit(x) for kv in ORDER.items() for x in kv])[F.col("kind")]
