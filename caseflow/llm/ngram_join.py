@@ -94,8 +94,11 @@ def profile(docs: DataFrame) -> DataFrame:
                                            pa.array(sigs, pa.binary())], names=names)
 
     def frequent(parts):
-        u, c = np.unique(np.concatenate(parts), return_counts=True)
-        u, c = u[c >= LOCAL], c[c >= LOCAL]
+        u = np.concatenate(parts)
+        parts.clear()
+        u.sort()
+        u, c = np.unique(u[1:][u[1:] == u[:-1]], return_counts=True)      # the repeats only: few
+        u, c = u[c + 1 >= LOCAL], c[c + 1 >= LOCAL] + 1
         return table(1, u.view(np.int64), [None] * u.size, c, [None] * u.size)
 
     def run(batches):

@@ -141,12 +141,10 @@ class Encoder:
 
     def __init__(self, data: bytes, cached_words: int = 1 << 18):
         self.spec = parse(data)
-        self.whole = build(self.spec)
-        self.splits = self.whole.pre_tokenizer is not None
-        if self.splits:
-            self.word = build(self.spec)           # for words that are normalised already
-            self.word.normalizer = None
-            self.word.pre_tokenizer = None
+        self.library = build(self.spec)
+        self.splits = self.library.pre_tokenizer is not None
+        self.library.normalizer = None             # texts are normalised here, then cut into words
+        self.library.pre_tokenizer = None
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.charsmap = None
         if self.spec.charsmap:
@@ -168,19 +166,18 @@ class Encoder:
     def encode(self, normal: list[str]) -> list[list[int]]:
         """Ids of normalised texts."""
         if not self.splits:
-            self.whole.normalizer = None
-            return [e.ids for e in self.whole.encode_batch_fast(normal, add_special_tokens=False)]
+            return [e.ids for e in self.library.encode_batch_fast(normal, add_special_tokens=False)]
         cache = self.cache
         if len(cache) > self.cached_words:
             cache.clear()
         words = [self.cut.findall(x) for x in normal]
         new = list({w for text in words for w in text if w not in cache})
-        for w, e in zip(new, self.word.encode_batch_fast(new, add_special_tokens=False)):
+        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             cache[w] = e.ids
         return [list(chain.from_iterable(map(cache.__getitem__, text))) for text in words]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        return self.library.decode_batch(ids, skip_special_tokens=False)
 
     def expected(self, normal: str) -> str:
         """What decoding gives back: the normalised text with markers as spaces."""
@@ -222,6 +219,7 @@ def tokenize(df: DataFrame, model: bytes, id_col: str = "doc_id", slice_bytes: i
                     [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
                      pa.array(ids, pa.list_(pa.int32())), pa.array(ok), pa.array([len(b) for b in back], pa.int64())],
                     names=[id_col, "n_tokens", "ids", "round_trip", "n_decoded"])
+        model_of.cache.clear()                     # an idle worker holds no words
 
     return df.select(id_col, "text").mapInArrow(
         run, f"{id_col} long, n_tokens long, ids array<int>, round_trip boolean, n_decoded long")
