@@ -18,15 +18,22 @@ def fiscal_year(d) -> Column:
     return (F.year(d) + (F.month(d) >= 10).cast("int")).cast("int")
 
 
+def serial_number(x) -> Column:
+    """A text cell's spreadsheet serial day number; NULL unless it is a number from 0 up to the last
+    day of the year 9999 (so NaN, infinities and other junk numbers are NULL)."""
+    num = _c(x).try_cast("double")
+    return F.when((num >= 0) & (num < 2958466), num)
+
+
 def serial_to_date(x) -> Column:
     """A spreadsheet serial day number (days since 1899-12-30, fraction dropped)
-    or an ISO text date -> DATE. Unparseable -> NULL."""
+    or an ISO text date -> DATE. Unparseable or out of the calendar -> NULL."""
     x = _c(x).cast("string")
-    num = x.try_cast("double")
+    num = serial_number(x)
     from_serial = F.date_add(F.lit(SERIAL_DATE_ORIGIN).cast("date"), F.floor(num).cast("int"))
     from_text = F.coalesce(F.try_to_date(x, "yyyy-MM-dd"), F.try_to_date(x, "yyyy/MM/dd"),
                            F.to_date(F.try_to_timestamp(x, F.lit("yyyy-MM-dd HH:mm:ss"))))
-    return F.when(num.isNotNull(), from_serial).otherwise(from_text)
+    return F.when(num.isNotNull(), from_serial).when(x.try_cast("double").isNull(), from_text)
 
 
 def days_before(v, n: int) -> Column:

@@ -1,8 +1,6 @@
 """Layered code lookup (J1-J4): base table, upserted overlay, aliases, left lookup.
 
-Lookup tables are small by nature (hundreds of codes) but the engine never
-assumes it: ``lookup_left`` broadcasts only after checking the row count (reading
-at most limit + 1 rows), and falls back to a shuffle join beyond the limit.
+A lookup is a plain equi join: no size is assumed, and keys are checked to be unique.
 """
 
 from __future__ import annotations
@@ -12,9 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest lookup table we broadcast (rows). Country-code tables are ~500 rows.
-BROADCAST_MAX_ROWS = 100_000
-
 # ---- FIXED VALUES: country-code corrections layered over the 2001 code list ----
 # (code, country): codes missing from the list, or whose listed name is wrong or
 # not the spelling the ELIS records use. Applied with rows_upsert.
@@ -98,8 +93,10 @@ COUNTRY_CODE_ALIASES = [
 
 def rows_upsert(base: DataFrame, overlay: DataFrame, key: Sequence[str] | str) -> DataFrame:
     """Overlay rows replace base rows with the same key; new keys are appended.
+    An overlay that repeats a key raises.
     (For a table at rest this is a MERGE; here the result is a new frame.)"""
     key = [key] if isinstance(key, str) else list(key)
+    require_unique(overlay, key, "overlay")
     kept = base.join(overlay.select(*key), key, "left_anti")
     return kept.unionByName(overlay.select(*base.columns))
 
@@ -121,24 +118,19 @@ def semi_filter(df: DataFrame, values: DataFrame, col: str, values_col: str | No
     return df.join(v, df[col] == v["_v"], "left_semi")
 
 
+def require_unique(df: DataFrame, key: Sequence[str], what: str) -> None:
+    """Raise if a key repeats (one aggregate; stops at the first repeated key)."""
+    if not df.groupBy(*key).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{what} has repeated keys; the join would duplicate rows")
+
+
 def lookup_left(df: DataFrame, table: DataFrame, left_col: str, code_col: str = "code",
-                max_broadcast_rows: int = BROADCAST_MAX_ROWS, check_unique: bool = False) -> DataFrame:
-    """Row-count preserving equi left join to a code table.
-
-    One job reads at most ``max_broadcast_rows + 1`` rows of the table. Within the
-    limit the table becomes a local relation and is broadcast (its plan is not
-    re-run in every branch that uses the result); beyond it, a shuffle join.
-    ``check_unique`` raises if a code repeats (the join would fan out).
-    """
+                check_unique: bool = True) -> DataFrame:
+    """Row-count preserving equi left join to a code table. The optimiser chooses the join by the
+    table's size at run time. ``check_unique`` raises if a code repeats (the join would fan out)."""
+    if check_unique:
+        require_unique(table.filter(F.col(code_col).isNotNull()), [code_col], "lookup table")
     t = table.withColumnRenamed(code_col, "_code")
-    rows = t.limit(max_broadcast_rows + 1).collect()
-    if len(rows) <= max_broadcast_rows:
-        codes = [r["_code"] for r in rows]
-        if check_unique and len(codes) != len(set(codes)):
-            raise ValueError("lookup table has repeated codes; the join would duplicate rows")
-        t = F.broadcast(df.sparkSession.createDataFrame(rows, t.schema))
-    elif check_unique and t.groupBy("_code").count().filter("count > 1").limit(1).count():
-        raise ValueError("lookup table has repeated codes; the join would duplicate rows")
     return df.join(t, df[left_col] == t["_code"], "left").drop("_code")
 
 

@@ -117,27 +117,18 @@ def _events(df: DataFrame, id_col, country_col, decision_col, date_col, provenan
                       _approved(decision_col).alias("_appr"), _person_key(provenance).alias("_k")))
 
 
-# More snapshot dates than this is a mistake (274 years of daily snapshots).
-MAX_SNAPSHOT_DATES = 100_000
-
-
-def bounded_dates(dates: DataFrame, max_rows: int = MAX_SNAPSHOT_DATES) -> DataFrame:
-    """The distinct snapshot dates as a broadcast local relation, after proving the
-    size bound: one job reads at most ``max_rows + 1`` dates (and the main plan no
-    longer recomputes how they were derived)."""
-    v = dates.columns[0]
-    rows = dates.select(v).distinct().limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} snapshot dates")
-    return F.broadcast(dates.sparkSession.createDataFrame(rows, dates.select(v).schema))
+def snapshot_dates(dates: DataFrame) -> DataFrame:
+    """The distinct snapshot dates, sent to every task: DATE values, so the calendar bounds their
+    number (a century of daily snapshots is 36,525 rows of 4 bytes)."""
+    return F.broadcast(dates.select(F.col(dates.columns[0]).cast("date")).distinct())
 
 
 def snapshot_join(df: DataFrame, dates: DataFrame, date_col: str = "decision_date") -> DataFrame:
     """Every row paired with each snapshot date on or after its decision date
-    (NULL dates never pair). ``dates`` is size-checked and broadcast, so the join
-    never shuffles the rows."""
+    (NULL dates never pair). ``dates`` are broadcast (the calendar bounds them), so the
+    join never shuffles the rows."""
     v = dates.columns[0]
-    d = bounded_dates(dates)
+    d = snapshot_dates(dates)
     return df.join(d, F.col(date_col) <= d[v], "inner")
 
 
@@ -172,7 +163,7 @@ def asof_state(df: DataFrame, dates: DataFrame, id_col: str = "unique_identifier
     v = dates.columns[0]
     states = _day_states(_events(df, id_col, country_col, decision_col, date_col, provenance),
                          id_col, country_col, date_col, mode)
-    d = bounded_dates(dates)
+    d = snapshot_dates(dates)
     cond = (states["_from"] <= d[v]) & (states["_to"].isNull() | (d[v] < states["_to"]))
     return states.join(d, cond).drop("_from", "_to")
 
@@ -210,7 +201,7 @@ def _panel_sweep(ev: DataFrame, dates: DataFrame, id_col, country_col, date_col,
                 .groupBy(country_col, "m", "t").agg(F.sum("d").alias("d")))
     # value at v = sum of the deltas dated on or before v: the pre-aggregated delta
     # table (countries x measures x days) meets the bounded date list once
-    d = bounded_dates(dates)
+    d = snapshot_dates(dates)
     at = deltas.join(d, deltas["t"] <= d[v])
     aggs = [F.coalesce(F.sum(F.when(F.col("m") == name, F.col("d"))), F.lit(0)).cast("long").alias(name)
             for name, _ in thresholds]
@@ -279,13 +270,16 @@ def panel_vs_published(lumped: DataFrame, published_long: DataFrame, date_col: s
 
 def reconcile_published(lumped: DataFrame, published_long: DataFrame, date_col: str = "report_date",
                         measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Estimates paired with the published value for the same country and
-    date: ``published`` (NULL when not published) and ``difference``."""
+    """Estimates beside the published value for the same country and date, and those that stand
+    on one side only: ``estimate``, ``published``, ``difference`` and ``ratio`` (estimate / published;
+    NULL where either is missing or published is 0)."""
     est = lumped.unpivot(["country", date_col], list(measures), "source", "estimate")
     pub = published_long.select("country", F.col("report_date").alias(date_col),
                                 F.col("value").cast("double").alias("published"))
-    return (est.join(pub, ["country", date_col], "left")
-               .withColumn("difference", F.col("estimate").cast("double") - F.col("published")))
+    e = F.col("estimate").cast("double")
+    return (est.join(pub, ["country", date_col], "full")
+               .withColumn("difference", e - F.col("published"))
+               .withColumn("ratio", F.try_divide(e, F.col("published"))))
 
 
 def daily_counts(df: DataFrame, country: str, country_col: str = "ben_country_of_birth",

@@ -109,7 +109,7 @@ def staged_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    j = o.join(c, o.o_custkey == c.c_custkey, "left").join(F.broadcast(n), F.col("c_nationkey") == n.n_nationkey, "left")
+    j = o.join(c, o.o_custkey == c.c_custkey, "left").join(n, F.col("c_nationkey") == n.n_nationkey, "left")
     k = F.col("o_orderkey")
     od = F.col("o_orderdate").cast("date")
     nk = F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))

@@ -143,9 +143,10 @@ def q_panel_vs_published(spark, sf_dir):
 
 
 @register("reconcile_published", _LUMPED_SQL + "," + _EST_LONG + """
-SELECT est.country, est.report_date, est.source, CAST(est.v AS BIGINT) AS estimate, pub.value AS published,
-       CAST(est.v AS DOUBLE) - pub.value AS difference
-FROM est LEFT JOIN pub ON est.country = pub.country AND est.report_date = pub.report_date""")
+SELECT coalesce(est.country, pub.country) AS country, coalesce(est.report_date, pub.report_date) AS report_date, est.source,
+       CAST(est.v AS BIGINT) AS estimate, pub.value AS published, CAST(est.v AS DOUBLE) - pub.value AS difference,
+       CAST(est.v AS DOUBLE) / nullif(pub.value, 0) AS ratio
+FROM est FULL OUTER JOIN pub ON est.country = pub.country AND est.report_date = pub.report_date""")
 def q_reconcile_published(spark, sf_dir):
     """Each estimate next to the published value for its country and date."""
     pub = _pub_long(spark, sf_dir)

@@ -11,24 +11,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.columns import DATE_COLS, FORMS, NULL_MARKERS, SERIAL_DATE_ORIGIN, YEAR_COLS
+from caseflow.functions.dates import serial_number
 from caseflow.functions.text import to_int
 from caseflow.operators.profile import narrow_datetime
 
 
 def null_markers(c, markers: Sequence[str] = NULL_MARKERS) -> Column:
-    """Trimmed cell; NULL when blank or exactly one of ``markers``."""
-    t = F.trim(F.col(c) if isinstance(c, str) else c)
+    """Cell without surrounding white space (tabs and line ends too); NULL when blank or exactly
+    one of ``markers``."""
+    t = F.regexp_replace(F.col(c) if isinstance(c, str) else c, "^\\s+|\\s+$", "")
     return F.when((t == "") | t.isin(*markers), F.lit(None).cast("string")).otherwise(t)
 
 
 def parse_datetime(c) -> Column:
     """Text or spreadsheet serial -> TIMESTAMP_NTZ (wall-clock, independent of the
-    session time zone); a serial's fraction is the time of day."""
+    session time zone); a serial's fraction is the time of day. Numbers that are no day of the
+    calendar (see ``serial_number``) -> NULL."""
     s = F.col(c) if isinstance(c, str) else c
-    num = s.try_cast("double")
+    num = serial_number(s)
     origin = F.lit(SERIAL_DATE_ORIGIN).cast("timestamp_ntz")
     from_serial = F.timestamp_add("SECOND", F.round(num * 86400).cast("long"), origin)
-    return F.when(num.isNotNull(), from_serial).otherwise(s.try_cast("timestamp_ntz"))
+    return F.when(num.isNotNull(), from_serial).when(s.try_cast("double").isNull(), s.try_cast("timestamp_ntz"))
 
 
 def stage_typed(df: DataFrame, date_cols: Sequence[str] = DATE_COLS, year_cols: Sequence[str] = YEAR_COLS,
@@ -54,18 +57,9 @@ def stage_typed(df: DataFrame, date_cols: Sequence[str] = DATE_COLS, year_cols:
     return narrow_datetime(typed, present) if narrow and present else typed
 
 
-def scan_parquet(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    """Columnar scan. When the files give fewer scan tasks than the cluster has
-    cores (a single small file, one row group), rows are spread round-robin first so
-    the work before the first shuffle is not one task; on a large input this is a
-    no-op. Filters and projections still reach the scan."""
-    df = spark.read.parquet(path)
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- no RDD API (Spark Connect): keep the plain scan
-        return df
-    return df.repartition(want) if have < want else df
+def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Columnar scan; filters and projections reach it."""
+    return spark.read.parquet(path)
 
 
 def with_provenance(df: DataFrame, file_col: str = "file_original", row_col: str = "row_original") -> DataFrame:

@@ -39,13 +39,24 @@ def incremental_stage(spark: SparkSession, src_dir: str, out_dir: str, checkpoin
     keep = [c for c in ("file_original", "form_id", "label") if c in raw.columns]
     # no narrowing in a stream (it needs the whole dataset); readers narrow instead
     typed = stage_typed(raw, DATE_COLS, YEAR_COLS, narrow=False, keep=keep)
+    before = committed_batches(spark, checkpoint)
     q = (typed.writeStream.format("parquet").option("compression", "zstd")
               .option("checkpointLocation", checkpoint)
               .trigger(availableNow=True).start(out_dir))
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return len(q.recentProgress)
+    return committed_batches(spark, checkpoint) - before
+
+
+def committed_batches(spark: SparkSession, checkpoint: str) -> int:
+    """Batches that the checkpoint's commit log names (0 before the first run)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/commits")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return max((int(n) for n in names if n.isdigit()), default=-1) + 1
 
 
 def changed_since(spark: SparkSession, src_dir: str, last_run: str, schema: T.StructType,

@@ -260,15 +260,30 @@ def test_write_by_fiscal_year_names(spark, tmp_path):
     assert back == {"TPS FY2023": 2, "TPS FY2023 (2)": 2, "TPS FY2023 (3)": 1, "TPS FY2024": 1, "TPS FY unknown": 1}
 
 
-def test_lookup_fallback_without_broadcast(spark):
+def test_lookup_keys_must_be_unique(spark):
+    import pytest
+    from caseflow.operators.lookup import rows_upsert
     base = spark.createDataFrame([("ELSAL", "El Salvador"), ("US", "USA"), ("HAITI", "Haiti")],
                                  "code string, name string")
     codes = country_code_table(spark, base)
     rows = spark.createDataFrame([(1, "US"), (2, "ESAL"), (3, "ZZ"), (4, None)], "row_original long, raw string")
-    small = lookup_left(rows, codes, "raw", check_unique=True)
-    big = lookup_left(rows, codes, "raw", max_broadcast_rows=2, check_unique=True)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
-    assert "BroadcastHashJoin" not in big._jdf.queryExecution().sparkPlan().toString()
+    assert lookup_left(rows, codes, "raw").count() == 4
+    with pytest.raises(ValueError):
+        lookup_left(rows, codes.unionAll(codes), "raw")
+    with pytest.raises(ValueError):
+        rows_upsert(base, base.unionAll(base), "code")
+
+
+def test_junk_cells_become_null(spark):
+    from caseflow.functions.dates import serial_to_date
+    from caseflow.sources.staging import null_markers, parse_datetime
+    cells = ["20240101120000", "1e20", "3e9", "NaN", "Infinity", "-1", "45292", "2024-01-01", "\t(b)(6)\n", " \t"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = df.select(serial_to_date("c").cast("string").alias("d"), parse_datetime("c").cast("string").alias("t"),
+                    null_markers("c", ["(b)(6)"]).alias("m")).collect()
+    assert [r.d for r in got] == [None] * 6 + ["2024-01-01"] * 2 + [None] * 2
+    assert [r.t and r.t[:10] for r in got] == [None] * 6 + ["2024-01-01"] * 2 + [None] * 2
+    assert [r.m for r in got] == cells[:8] + [None, None]
 
 
 def test_changed_since_picks_only_newer_files(spark, tmp_path):
