@@ -152,6 +152,8 @@ class Encoder:
             self.charsmap = normalizers.Precompiled(self.spec.charsmap)
         self.cache: dict[str, list[int]] = {}
         self.cached_words = cached_words
+        self.bytes_of = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode()
+                         for p, _, kind in self.spec.pieces]
 
     def normalise(self, text: str | None) -> str:
         text = text or ""
@@ -177,7 +179,13 @@ class Encoder:
         return [list(chain.from_iterable(map(cache.__getitem__, text))) for text in words]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.library.decode_batch(ids, skip_special_tokens=False)
+        """The texts of lists of ids: the bytes of their pieces; the library decodes all lists if the
+        byte pieces of one are no valid text (it shows each such byte as a replacement character)."""
+        try:
+            texts = [b"".join(map(self.bytes_of.__getitem__, x)).decode() for x in ids]
+        except UnicodeDecodeError:
+            return self.library.decode_batch(ids, skip_special_tokens=False)
+        return [x[1:] if self.spec.dummy_prefix and x.startswith(" ") else x for x in texts]
 
     def expected(self, normal: str) -> str:
         """What decoding gives back: the normalised text with markers as spaces."""

@@ -412,3 +412,16 @@ def test_unigram_parity(squeeze):
     ids = ours.encode(normal)
     assert ids == [theirs.encode(t) for t in texts]
     assert ours.decode(ids) == [theirs.decode(i) for i in ids] == [ours.expected(n) for n in normal]
+
+
+def test_decode_equals_the_library():
+    """Any ids, among them byte pieces that are no valid text, the unknown piece and markers in a row."""
+    ours = sp_tokens.Encoder(sp_tokens.read_model())
+    rng = random.Random(4)
+    n = len(ours.spec.pieces)
+    lists = [[rng.choice([rng.randrange(n), rng.randrange(260), rng.randrange(3, 259)]) for _ in range(rng.randrange(9))]
+             for _ in range(400)] + [[], [0], [ours.library.token_to_id(sp_tokens.SPACE)] * 3]
+    lists += ours.encode([ours.normalise(t) for t in ("a\nb", "  x  ", "漢字 ▁ é", "")])
+    for x in lists:
+        assert ours.decode([x]) == ours.library.decode_batch([x], skip_special_tokens=False)
+    assert ours.decode(lists) == ours.library.decode_batch(lists, skip_special_tokens=False)
