@@ -25,16 +25,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def null_safe_join_cond(left: DataFrame, right: DataFrame, left_cols: Sequence[str],
-                        right_cols: Sequence[str]) -> Column:
-    """``left.l1 <=> right.r1 AND ...`` (NULL keys match each other, as in dplyr joins)."""
-    cond = None
-    for lc, rc in zip(left_cols, right_cols):
-        c = left[lc].eqNullSafe(right[rc])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 ROWS_PER_BUCKET = 1_000_000
 
 

@@ -89,6 +89,64 @@ def q_open_dataset(spark, sf_dir):
     return open_dataset(spark, f"{out}/form_id=i821").select("case_number", "status", "rec_date")
 
 
+def _orders_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").cast("string").alias("case_number"), F.col("o_orderstatus").alias("status"),
+        F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd").alias("rec_date"),
+        F.col("o_orderpriority").alias("extra"), F.col("o_orderkey").alias("_k"))
+
+
+def _staged_forms(spark, staging: str):
+    """Both staged datasets, each with its own columns, as one frame."""
+    a, b = (open_dataset(spark, f"{staging}/form_id={f}").withColumn("form_id", F.lit(f)) for f in ("i821", "i821d"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@register("stage_two_layouts", """SELECT CASE WHEN o_orderkey % 3 = 2 THEN 'i821d' ELSE 'i821' END AS form_id,
+  CAST(o_orderkey AS VARCHAR) AS case_number,
+  CASE WHEN o_orderkey % 3 <> 2 THEN o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS tps_only,
+  CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS daca_only FROM orders""")
+def q_stage_two_layouts(spark, sf_dir):
+    """S1+S3: forms, and files of one form, with different columns; none is lost."""
+    root, o, k = scratch(spark, "layouts"), _orders_text(spark, sf_dir), F.col("_k") % 3
+    write_parquet(o.filter(k == 0).select("case_number", "status", F.col("extra").alias("tps_only")),
+                  f"{root}/in/{_I821}1 redacted.parquet")
+    write_parquet(o.filter(k == 1).select("status", "case_number"), f"{root}/in/{_I821}2 redacted.parquet")
+    write_parquet(o.filter(k == 2).select("case_number", F.col("extra").alias("daca_only")),
+                  f"{root}/in/{_I821D}1 redacted.parquet")
+    stage_forms(spark, f"{root}/in", f"{root}/out")
+    return _staged_forms(spark, f"{root}/out").select("form_id", "case_number", "status", "tps_only", "daca_only")
+
+
+@register("stage_csv_reordered", """SELECT CASE WHEN o_orderkey % 3 = 2 THEN 'i821d' ELSE 'i821' END AS form_id,
+  CAST(o_orderkey AS VARCHAR) AS case_number, o_orderstatus AS status,
+  CASE WHEN o_orderkey % 3 <> 1 THEN CAST(o_orderdate AS DATE) END AS rec_date FROM orders""")
+def q_stage_csv_reordered(spark, sf_dir):
+    """S1+S3 over CSV: each file under its own header, whatever the order of its columns; a copy with
+    another extension is not read."""
+    root, o, k = scratch(spark, "reordered"), _orders_text(spark, sf_dir), F.col("_k") % 3
+    files = {f"{_I821}1 redacted.csv": (k == 0, ["case_number", "status", "rec_date"]),
+             f"{_I821}2 redacted.csv": (k == 1, ["status", "case_number"]),
+             f"{_I821D}1 redacted.csv": (k == 2, ["rec_date", "case_number", "status"])}
+    for name, (cond, cols) in files.items():
+        o.filter(cond).select(*cols).write.option("header", True).csv(f"{root}/in/{name}")
+    o.select("case_number").write.text(f"{root}/in/{_I821}1 redacted.csv.bak")
+    stage_forms(spark, f"{root}/in", f"{root}/out", "csv")
+    return _staged_forms(spark, f"{root}/out").select("form_id", "case_number", "status", "rec_date")
+
+
+@register("csv_row_index", """SELECT CAST(o_orderkey AS VARCHAR) AS case_number,
+  row_number() OVER (PARTITION BY o_orderkey // 20000 ORDER BY o_orderkey) AS row_original FROM orders""")
+def q_csv_row_index(spark, sf_dir):
+    """S4 over CSV: the 1-based data row within each file (files of 20,000 consecutive keys)."""
+    root = scratch(spark, "csvrows")
+    o = _orders_text(spark, sf_dir).withColumn("part", F.floor(F.col("_k") / 20000))
+    (o.repartition("part").sortWithinPartitions("part", "_k").select("case_number", "status", "part")
+      .write.option("header", True).partitionBy("part").csv(f"{root}/{_I821}1 redacted.csv"))
+    return read_release(spark, root, "csv").select("case_number", "row_original")
+
+
 _CLEAN_HEADER = ", ".join(['"Country" AS country'] + [f'"{d}" AS x{d.replace("-", "_")}' for d in PUBLISHED_DATES])
 
 

@@ -56,11 +56,6 @@ def fiscal_year_units(df: DataFrame, date_col: str = "rec_date", label: str | No
     return x.withColumn("chunk", chunk).withColumn("sheet", name).drop("_rn")
 
 
-def unit_names(units: DataFrame) -> DataFrame:
-    """Distinct unit names with their sort keys (fy NULL last, then chunk)."""
-    return units.select("fy", "chunk", "sheet").distinct()
-
-
 def unit_name(label: str | None, fy: int | None, chunk: int) -> str:
     """The name of one output unit, as ``fiscal_year_units`` spells it."""
     prefix = f"{label} " if label else ""

@@ -4,13 +4,15 @@ binaries are converted upstream (see README)."""
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseflow.columns import DATE_COLS, FORMS, NULL_MARKERS, SERIAL_DATE_ORIGIN, YEAR_COLS
+from caseflow.columns import DATE_COLS, FORMS, NULL_MARKERS, PROVENANCE, SERIAL_DATE_ORIGIN, YEAR_COLS
 from caseflow.functions.dates import serial_number
 from caseflow.functions.text import to_int
 from caseflow.operators.profile import narrow_datetime
@@ -69,12 +71,6 @@ def with_provenance(df: DataFrame, file_col: str = "file_original", row_col: str
                      (F.col("_metadata.row_index") + 1).alias(row_col))
 
 
-def form_catalog(spark: SparkSession, forms: Mapping[str, tuple[str, str]] = FORMS) -> DataFrame:
-    """The (form_id, prefix, label) catalog as a frame (a handful of rows)."""
-    return spark.createDataFrame([(k, p, lab) for k, (p, lab) in forms.items()],
-                                 "form_id string, prefix string, label string")
-
-
 def route_files(df: DataFrame, forms: Mapping[str, tuple[str, str]] = FORMS,
                 path_col: str = "file_original") -> DataFrame:
     """S3: tag each row with the form whose file-name prefix starts a segment of its
@@ -99,24 +95,97 @@ def open_dataset(spark: SparkSession, path: str, drop: Sequence[str] = ("form_id
     return df.drop(*[c for c in drop if c in df.columns])
 
 
+def form_files(spark: SparkSession, release_dir: str, fmt: str = "parquet",
+               forms: Mapping[str, tuple[str, str]] = FORMS) -> dict[str, dict[str, str]]:
+    """S3: per form, the files below ``release_dir`` with extension ``fmt`` (a ``.bak`` sibling is not
+    read) whose form's prefix starts a segment of their path: scan name -> path. File names only, which
+    any scan lists on the driver."""
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", f"*.{fmt}").load(release_dir)
+                  .select("path", F.col("_metadata.file_path").alias("uri")))
+    out: dict[str, dict[str, str]] = {}
+    for r in route_files(found, forms, "path").select("form_id", "uri", "path").collect():
+        out.setdefault(r["form_id"], {})[r["uri"]] = r["path"]
+    return {k: dict(sorted(out[k].items())) for k in forms if k in out}
+
+
+def _literal(paths: Iterable[str]) -> list[str]:
+    """Paths escaped for readers, which take some characters for patterns."""
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+
+
+def _split_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """Non-blank lines, their file, the start of their split in it, and an id that follows the order of
+    lines inside one split (it is compared nowhere else)."""
+    return (spark.read.text(_literal(paths)).filter(F.trim("value") != "")
+            .select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("file_original"),
+                    F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")))
+
+
+def read_csv_files(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
+    """S1/S4 for CSV exports: each of ``files`` (scan name -> path) is read under its own header and
+    columns are bound by name (NULL where a file lacks one), all text, with ``file_original`` and the
+    1-based data row of the file in ``row_original``.
+
+    One aggregate takes the headers (one row per file). A row's number is the count of lines in earlier
+    splits of its file plus its place in its own, so it does not depend on where files are split; the
+    counts are one row per split. Blank lines are not rows; a quoted cell must not hold a line end."""
+    lines = _split_lines(spark, files.values())
+    first = lines.filter(F.col("_start") == 0).groupBy("file_original").agg(F.min_by("_line", "_at").alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for r in first.collect():
+        by_header.setdefault(r["header"], []).append(r["file_original"])
+    parts = []
+    for header, own in sorted(by_header.items()):
+        names = [c.strip() for c in next(csv.reader([header.lstrip("﻿")]))]
+        if "" in names or len({c.lower() for c in names}) < len(names):
+            raise ValueError(f"a header repeats a column or leaves one without a name: {header!r}")
+        rows = _split_lines(spark, [files[u] for u in sorted(own)])
+        earlier = Window.partitionBy("file_original").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+        splits = (rows.groupBy("file_original", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+                      .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+        schema = ", ".join(f"`{c.replace('`', '``')}` STRING" for c in names)
+        parts.append(rows.join(splits, ["file_original", "_start"])
+                         .withColumn("row_original", F.col("_before") + F.col("_at") - F.col("_first"))
+                         .filter(F.col("row_original") > 0)          # line 0 is the header
+                         .select(F.from_csv("_line", schema).alias("_r"), "file_original", "row_original")
+                         .select("_r.*", "file_original", "row_original"))
+    if not parts:
+        raise ValueError(f"no file has a header: {sorted(files)}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_forms(spark: SparkSession, release_dir: str, fmt: str = "parquet",
+               forms: Mapping[str, tuple[str, str]] = FORMS) -> dict[str, DataFrame]:
+    """S3+S4: the raw rows of each form in a release, with provenance. Files of one form may differ in
+    their columns and in the order of these: columns are bound by name, and one missing from a file is NULL
+    there. Parquet files that give one column different types raise."""
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
+    out = {}
+    for form_id, files in form_files(spark, release_dir, fmt, forms).items():
+        if fmt == "parquet":
+            out[form_id] = with_provenance(spark.read.option("mergeSchema", "true").parquet(*_literal(files.values())))
+        else:
+            out[form_id] = read_csv_files(spark, files)
+    if not out:
+        raise FileNotFoundError(f"no {fmt} file of a known form below {release_dir}")
+    return out
+
+
 def read_release(spark: SparkSession, release_dir: str, fmt: str = "parquet",
                  forms: Mapping[str, tuple[str, str]] = FORMS) -> DataFrame:
-    """S3+S4 over a release folder: every file below it (recursively), with provenance
-    and its form. Text formats are read all-string (``inferSchema`` off)."""
-    r = spark.read.option("recursiveFileLookup", "true")
-    if fmt == "parquet":
-        df = with_provenance(r.parquet(release_dir))
-    else:
-        df = (r.option("header", True).option("inferSchema", False).format(fmt).load(release_dir)
-               .select("*", F.col("_metadata.file_path").alias("file_original"),
-                       F.monotonically_increasing_id().alias("row_original")))
-    return route_files(df, forms)
+    """The forms of ``read_forms`` as one frame with ``form_id`` and ``label``; a column that only one
+    form has is NULL in the other's rows."""
+    parts = [df.withColumn("form_id", F.lit(k)).withColumn("label", F.lit(forms[k][1]))
+             for k, df in read_forms(spark, release_dir, fmt, forms).items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def stage_forms(spark: SparkSession, release_dir: str, out_dir: str, fmt: str = "parquet") -> None:
-    """The staging step end to end: route, type by name, keep provenance, write one
-    dataset per form under ``out_dir/form_id=<id>/`` (partition pruning by form)."""
+    """The staging step end to end, form by form: read, type by name (datetimes are narrowed per form),
+    keep provenance, write one dataset per form to ``out_dir/form_id=<id>/`` (pruned by form)."""
     from caseflow.sources.sinks import write_parquet
-    raw = read_release(spark, release_dir, fmt)
-    staged = stage_typed(raw, keep=("form_id", "label", "file_original", "row_original"))
-    write_parquet(staged, out_dir, partition_by=["form_id"])
+    for form_id, raw in read_forms(spark, release_dir, fmt).items():
+        staged = stage_typed(raw, keep=PROVENANCE).withColumn("label", F.lit(FORMS[form_id][1]))
+        write_parquet(staged, f"{out_dir}/form_id={form_id}")
