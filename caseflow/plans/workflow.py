@@ -49,10 +49,13 @@ def clean(spark: SparkSession, staging_dir: str, form_id: str, codes_csv: str, o
 
 def panel(spark: SparkSession, cleaned: str, published_csv: str, out_dir: str) -> None:
     """Cleaned records + published counts -> quarterly and published-date panels, and
-    the estimates stacked on the published series (``<out_dir>/...``)."""
+    the estimates of both stacked on the published series (``<out_dir>/...``)."""
     cases = spark.read.parquet(cleaned)
     pub = PP.published_from_csv(spark, published_csv)
     write_parquet(PP.quarterly_panel(cases), f"{out_dir}/panel_quarterly")
+    quarters = lump_other(spark.read.parquet(f"{out_dir}/panel_quarterly"), PP.published_countries(pub),
+                          group_cols=["quarter"]).withColumnRenamed("quarter", "report_date")
+    write_parquet(panel_vs_published(quarters, pub), f"{out_dir}/quarterly_vs_published")
     published = PP.published_panel(cases, pub)
     write_parquet(published, f"{out_dir}/panel_published")
     lumped = lump_other(published, PP.published_countries(pub))

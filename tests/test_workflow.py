@@ -47,6 +47,14 @@ def test_stage_clean_panel_facts(spark, tmp_path):
     sources = {r[0] for r in spark.read.parquet(f"{root}/panel/panel_vs_published").select("source").distinct().collect()}
     assert sources == {"CRS", "approved_within_6", "approved_within_12", "approved_within_18"}
 
+    quarterly = spark.read.parquet(f"{root}/panel/quarterly_vs_published")
+    panel = spark.read.parquet(f"{root}/panel/panel_quarterly")
+    total = F.sum("approved_within_12").cast("double")
+    want = {r[0]: r[1] for r in panel.groupBy("quarter").agg(total).collect()}
+    got = {r[0]: r[1] for r in quarterly.filter("source = 'approved_within_12'").groupBy("report_date")
+           .agg(F.sum("value")).collect()}
+    assert got == want and quarterly.filter("source = 'CRS'").count() > 0
+
     report_lines(spark, SF).select("line", "source_file").write.partitionBy("source_file").text(f"{root}/reports")
     W.facts(spark, f"{root}/reports", f"{root}/facts")
     f = spark.read.parquet(f"{root}/facts")
