@@ -13,9 +13,12 @@ The snapshot panel has two plans:
   per (person, date). Work is rows x dates.
 * ``sweep`` (default) -- one aggregate per (person, day), running state over the
   person's distinct decision days (bounded by the calendar), +1/-1 deltas per
-  (country, measure, day), pre-aggregated; the value at a snapshot date is the
-  sum of the deltas on or before it. Work is linear in rows; only the small delta
-  table (countries x measures x days) meets the dates.
+  (country, measure, day), pre-aggregated; their running sums per country hold from
+  one day with a delta to the next, and each such interval is written out at the
+  snapshot dates inside it. Work is linear in rows; no join.
+
+The dates inside an interval are a slice of the sorted date array, found by two
+look-ups in a calendar (``snapshot_calendar``), so work equals output.
 """
 
 from __future__ import annotations
@@ -123,6 +126,32 @@ def snapshot_dates(dates: DataFrame) -> DataFrame:
     return F.broadcast(dates.select(F.col(dates.columns[0]).cast("date")).distinct())
 
 
+def snapshot_calendar(dates: DataFrame) -> Column:
+    """The sorted snapshot dates ``at`` and, for each day from the first of them to the last, the 1-based
+    place ``place`` of the first one on or after it: one value (a scalar subquery) of a size that the
+    calendar bounds. Without dates both are empty."""
+    v = F.col(dates.columns[0]).cast("date")
+    at = dates.agg(F.sort_array(F.collect_set(v)).alias("at"))
+    n = F.size("at")
+    # the k-th date answers for the days after the date before it
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.array_repeat(
+        k, F.when(n == 0, 0).when(k == 1, 1).otherwise(F.datediff(F.get("at", k - 1), F.get("at", k - 2)))))
+    return at.select(F.struct("at", F.flatten(runs).alias("place"))).scalar()
+
+
+def dates_between(calendar: Column, start: Column, end: Column) -> Column:
+    """The dates of ``snapshot_calendar`` in [start, end), to the last one where ``end`` is NULL."""
+    at, place = calendar.getField("at"), calendar.getField("place")
+    first, last, n = F.get(at, F.lit(0)), F.get(at, F.size(at) - 1), F.size(at)
+
+    def place_of(day: Column) -> Column:
+        return (F.when(day <= first, F.lit(1)).when(day > last, n + 1)
+                 .otherwise(F.get(place, F.datediff(day, first))))
+
+    stop = F.when(end.isNull(), n + 1).otherwise(place_of(end))
+    return F.slice(at, place_of(start), F.greatest(stop - place_of(start), F.lit(0)))
+
+
 def snapshot_join(df: DataFrame, dates: DataFrame, date_col: str = "decision_date") -> DataFrame:
     """Every row paired with each snapshot date on or after its decision date
     (NULL dates never pair). ``dates`` are broadcast (the calendar bounds them), so the
@@ -160,12 +189,11 @@ def asof_state(df: DataFrame, dates: DataFrame, id_col: str = "unique_identifier
                provenance: Sequence[str] = PROVENANCE) -> DataFrame:
     """Each person's state at each snapshot date ``v`` from rows decided by ``v``:
     country of the first such row, latest decision date, ever approved."""
-    v = dates.columns[0]
     states = _day_states(_events(df, id_col, country_col, decision_col, date_col, provenance),
                          id_col, country_col, date_col, mode)
-    d = snapshot_dates(dates)
-    cond = (states["_from"] <= d[v]) & (states["_to"].isNull() | (d[v] < states["_to"]))
-    return states.join(d, cond).drop("_from", "_to")
+    at = dates_between(snapshot_calendar(dates), F.col("_from"), F.col("_to"))
+    return states.select(*[c for c in states.columns if c not in ("_from", "_to")],
+                         F.explode(at).alias(dates.columns[0]))
 
 
 def _panel_explode(ev: DataFrame, dates: DataFrame, id_col, country_col, date_col, mode, thresholds):
@@ -199,15 +227,17 @@ def _panel_sweep(ev: DataFrame, dates: DataFrame, id_col, country_col, date_col,
     deltas = (iv.select(country_col, "m", F.inline(ends))
                 .filter(F.col("t").isNotNull())
                 .groupBy(country_col, "m", "t").agg(F.sum("d").alias("d")))
-    # value at v = sum of the deltas dated on or before v: the pre-aggregated delta
-    # table (countries x measures x days) meets the bounded date list once
-    d = snapshot_dates(dates)
-    at = deltas.join(d, deltas["t"] <= d[v])
-    aggs = [F.coalesce(F.sum(F.when(F.col("m") == name, F.col("d"))), F.lit(0)).cast("long").alias(name)
-            for name, _ in thresholds]
-    present = F.sum(F.when(F.col("m") == "_present", F.col("d")))
-    return (at.groupBy(country_col, v).agg(present.alias("_present"), *aggs)
-              .filter(F.col("_present") > 0).drop("_present"))
+    # one row per (country, day with a delta), its running sums hold until the country's next such day
+    names = ["_present", *[name for name, _ in thresholds]]
+    days = deltas.groupBy(country_col, "t").agg(
+        *[F.sum(F.when(F.col("m") == name, F.col("d"))).alias(name) for name in names])
+    w = Window.partitionBy(country_col).orderBy("t")          # a country's days: the calendar bounds them
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = days.select(F.col(country_col), F.col("t"), F.lead("t").over(w).alias("_next"),
+                       *[F.coalesce(F.sum(name).over(run), F.lit(0)).cast("long").alias(name) for name in names])
+    at = dates_between(snapshot_calendar(dates), F.col("t"), F.col("_next"))
+    return (held.filter(F.col("_present") > 0)
+                .select(country_col, F.explode(at).alias(v), *[name for name, _ in thresholds]))
 
 
 def snapshot_panel(df: DataFrame, dates: DataFrame, id_col: str = "unique_identifier",
@@ -268,6 +298,19 @@ def panel_vs_published(lumped: DataFrame, published_long: DataFrame, date_col: s
     return est.unionByName(pub)
 
 
+def point_in_time_vs_published(estimate: DataFrame, published_long: DataFrame, as_of: str,
+                               country_col: str = "ben_country_of_birth",
+                               measures: Sequence[str] = MEASURES) -> DataFrame:
+    """(country, source, value) at one date: the published counts above zero, and the estimates of a
+    cross-section at that date (``cross_section``) for the countries that have one."""
+    pub = (published_long.filter((F.col("report_date") == F.lit(as_of).cast("date")) & (F.col("value") > 0))
+                         .select("country", "source", F.col("value").cast("double").alias("value")))
+    est = (estimate.withColumnRenamed(country_col, "country").join(pub.select("country"), "country", "left_semi")
+                   .unpivot(["country"], list(measures), "source", "value")
+                   .withColumn("value", F.col("value").cast("double")))
+    return pub.unionByName(est)
+
+
 def reconcile_published(lumped: DataFrame, published_long: DataFrame, date_col: str = "report_date",
                         measures: Sequence[str] = MEASURES) -> DataFrame:
     """Estimates beside the published value for the same country and date, and those that stand

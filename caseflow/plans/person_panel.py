@@ -59,3 +59,14 @@ def compare_to_published(cases: DataFrame, published_wide: DataFrame, method: st
     pub = published_long(published_wide)
     lumped = P.lump_other(published_panel(cases, pub, method), published_countries(pub))
     return P.panel_vs_published(lumped, pub)
+
+
+def compare_quarters_to_published(quarters: DataFrame, pub_long: DataFrame) -> DataFrame:
+    """The quarterly panel (others lumped), its dates named ``report_date``, stacked on the published series."""
+    lumped = P.lump_other(quarters, published_countries(pub_long), group_cols=["quarter"])
+    return P.panel_vs_published(lumped.withColumnRenamed("quarter", "report_date"), pub_long)
+
+
+def compare_at_date(cases: DataFrame, pub_long: DataFrame, as_of: str, mode: str = "faithful") -> DataFrame:
+    """The one-date cross-section beside the counts published for that date."""
+    return P.point_in_time_vs_published(P.cross_section(panel_input(cases), as_of, mode=mode), pub_long, as_of)

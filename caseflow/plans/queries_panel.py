@@ -142,6 +142,24 @@ def q_panel_vs_published(spark, sf_dir):
     return PP.compare_to_published(_cases(spark, sf_dir), published_wide(spark, sf_dir))
 
 
+_LUMPED_Q_SQL = f"""
+WITH pp AS ({_PANEL_Q_SQL}),
+{_pub_sql_body()[1:]},
+lumped AS (
+  SELECT CASE WHEN pubc.country IS NOT NULL THEN pp.ben_country_of_birth ELSE 'All other countries' END AS country,
+         pp.quarter AS report_date, {", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n, _ in THRESHOLDS)}
+  FROM pp LEFT JOIN pubc ON pp.ben_country_of_birth = pubc.country
+  GROUP BY 1, 2)"""
+
+
+@register("quarterly_vs_published", _LUMPED_Q_SQL + "," + _EST_LONG + """
+SELECT country, report_date, source, CAST(v AS DOUBLE) AS value FROM est
+UNION ALL SELECT country, report_date, source, value FROM pub""")
+def q_quarterly_vs_published(spark, sf_dir):
+    """The quarterly panel, lumped and unpivoted, stacked on the published series."""
+    return PP.compare_quarters_to_published(PP.quarterly_panel(_cases(spark, sf_dir)), _pub_long(spark, sf_dir))
+
+
 @register("reconcile_published", _LUMPED_SQL + "," + _EST_LONG + """
 SELECT coalesce(est.country, pub.country) AS country, coalesce(est.report_date, pub.report_date) AS report_date, est.source,
        CAST(est.v AS BIGINT) AS estimate, pub.value AS published, CAST(est.v AS DOUBLE) - pub.value AS difference,
@@ -199,6 +217,22 @@ def q_cross_section(spark, sf_dir):
     return P.cross_section(_cases(spark, sf_dir), AS_OF)
 
 
+POINT_IN_TIME = PUBLISHED_DATES[5]
+
+
+@register("point_in_time_vs_published", _PERSON + f""",
+cs AS (SELECT ben_country_of_birth AS country, {_counts('last_faithful', f"DATE '{POINT_IN_TIME}'")}
+       FROM per GROUP BY ben_country_of_birth),
+{_pub_sql_body()[1:]},
+shown AS (SELECT country, source, value FROM pub WHERE report_date = DATE '{POINT_IN_TIME}' AND value > 0),
+est AS (""" + " UNION ALL ".join(f"SELECT country, '{n}' AS source, CAST({n} AS DOUBLE) AS value FROM cs"
+                                  for n, _ in THRESHOLDS) + """)
+SELECT * FROM shown UNION ALL SELECT * FROM est WHERE country IN (SELECT country FROM shown)""")
+def q_point_in_time_vs_published(spark, sf_dir):
+    """One date: the published counts above zero and the estimates for the same countries."""
+    return PP.compare_at_date(_cases(spark, sf_dir), _pub_long(spark, sf_dir), POINT_IN_TIME)
+
+
 @register("within_counts", _PERSON + f"""
 SELECT ben_country_of_birth, {_counts('last_strict', f"DATE '{AS_OF_STRICT}'")}
 FROM per GROUP BY ben_country_of_birth""")

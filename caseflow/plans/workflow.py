@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from caseflow.columns import FORMS
 from caseflow.operators.lookup import country_code_table
@@ -53,9 +54,11 @@ def panel(spark: SparkSession, cleaned: str, published_csv: str, out_dir: str) -
     cases = spark.read.parquet(cleaned)
     pub = PP.published_from_csv(spark, published_csv)
     write_parquet(PP.quarterly_panel(cases), f"{out_dir}/panel_quarterly")
-    quarters = lump_other(spark.read.parquet(f"{out_dir}/panel_quarterly"), PP.published_countries(pub),
-                          group_cols=["quarter"]).withColumnRenamed("quarter", "report_date")
-    write_parquet(panel_vs_published(quarters, pub), f"{out_dir}/quarterly_vs_published")
+    quarters = spark.read.parquet(f"{out_dir}/panel_quarterly")
+    write_parquet(PP.compare_quarters_to_published(quarters, pub), f"{out_dir}/quarterly_vs_published")
+    last = pub.agg(F.max("report_date").cast("string")).first()[0]
+    if last is not None:                           # the latest published date, compared by itself
+        write_parquet(PP.compare_at_date(cases, pub, last), f"{out_dir}/point_in_time_vs_published")
     published = PP.published_panel(cases, pub)
     write_parquet(published, f"{out_dir}/panel_published")
     lumped = lump_other(published, PP.published_countries(pub))

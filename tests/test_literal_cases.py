@@ -332,3 +332,33 @@ def test_clean_names_headers(spark):
         "country", "x2015_07_01", "ben_country_of_birth", "case_number", "x"]
     df = spark.createDataFrame([(1, 2)], "`A b` int, `a_b` int")
     assert clean_names(df).columns == ["a_b", "a_b_2"]
+
+
+def test_sort_order_nulls_last_and_descending(spark):
+    from caseflow.operators.reshape import sort_nulls_last
+    df = spark.createDataFrame([(1, None), (None, "a"), (2, "b"), (1, "b"), (2, None), (1, "a")], "n int, s string")
+    rows = [tuple(r) for r in sort_nulls_last(df, "n", "s").collect()]
+    assert rows == [(1, "a"), (1, "b"), (1, None), (2, "b"), (2, None), (None, "a")]
+    rows = [tuple(r) for r in sort_nulls_last(df, "n", "s", descending=["n"]).collect()]
+    assert rows == [(2, "b"), (2, None), (1, "a"), (1, "b"), (1, None), (None, "a")]
+
+
+def test_panels_over_daily_and_no_dates_without_nested_loops(spark):
+    df = case_rows(spark, [
+        ("p", "2020-01-01", "2020-01-10", "Denied", "A", "C3", None, F1, 1),
+        ("p", "2020-01-02", "2020-02-10", "Approved", "B", "C3", None, F1, 2),
+        ("q", "2020-01-01", "2021-03-01", "Approved", None, "C3", None, F1, 3),
+    ])
+    days = spark.sql("SELECT explode(sequence(date'2000-01-01', date'2027-05-18')) AS day")      # 10,000 dates
+    state = P.asof_state(df, days)
+    panel = P.snapshot_panel(df, days)
+    for x in (state, panel):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    end = dt.date(2027, 5, 18)
+    assert state.count() == (end - D("2020-01-10")).days + 1 + (end - D("2021-03-01")).days + 1
+    held = {r["ben_country_of_birth"]: r["n"] for r in
+            panel.filter("approved_within_6 > 0").groupBy("ben_country_of_birth").agg(F.count("*").alias("n")).collect()}
+    assert held == {"A": 183, None: 183}
+    none = days.filter("false")
+    assert P.asof_state(df, none).count() == 0 and P.snapshot_panel(df, none).count() == 0
