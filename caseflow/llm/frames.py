@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,3 +52,15 @@ def texts_in_slices(batch: pa.RecordBatch, column: str, limit: int, binary: bool
         if not binary:
             part = part.cast(pa.large_string() if pa.types.is_large_binary(a.type) else pa.string())
         yield i, j, part.to_pylist()
+
+
+def released(run):
+    """``run``, a function over a task's batches, which at its end hands memory that its worker no longer
+    uses back to the system: glibc and Arrow keep it otherwise, in every idle worker of an executor."""
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(ctypes.util.find_library("c"))
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+    return whole

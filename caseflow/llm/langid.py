@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.frames import texts_in_slices
+from caseflow.llm.frames import released, texts_in_slices
 from caseflow.llm.textops import codepoints
 
 UNDETERMINED = "und"
@@ -197,7 +197,7 @@ def identify(df: DataFrame, model: Model, pass_through: list[str], schema: str)
                     + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok)],
                     names=pass_through + ["lang_pred", "score", "accepted"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def keep_identified(df: DataFrame, model: Model) -> DataFrame:
@@ -212,4 +212,4 @@ def keep_identified(df: DataFrame, model: Model) -> DataFrame:
             for i, j, texts in texts_in_slices(one, "text", 1 << 20):
                 yield batch.slice(i, j - i).filter(pa.array(m.predict(texts)[2]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)

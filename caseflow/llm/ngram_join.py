@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.frames import keep, texts_in_slices
+from caseflow.llm.frames import keep, released, texts_in_slices
 from caseflow.llm.textops import mix, shingle_sets
 
 SHINGLE = 5
@@ -125,7 +125,7 @@ def profile(docs: DataFrame) -> DataFrame:
             yield frequent(parts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "kind byte, id long, node long, n long, sig binary")
+        released(run), "kind byte, id long, node long, n long, sig binary")
 
 
 def frequency_classes(prof: DataFrame) -> np.ndarray:
@@ -215,10 +215,10 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in held[:3]], names=["key", "node", "meta"])
 
     schema = "key long, node long, meta long"
-    raw = docs.select("text").mapInArrow(run, schema)
+    raw = docs.select("text").mapInArrow(released(run), schema)
     # rare keys meet in one partition; those of frequent tokens are spread, as they stay in any case
     place = F.when(F.col("meta").bitwiseAND(3) == RARE, F.col("key")).otherwise(F.xxhash64("key", "node"))
-    return raw.repartition(place).sortWithinPartitions("key", "node").mapInArrow(shared_keys, schema)
+    return raw.repartition(place).sortWithinPartitions("key", "node").mapInArrow(released(shared_keys), schema)
 
 
 def _as_pairs(df: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _by_parity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             ok = [may_link(x, y, i + j) for x, y, i, j in zip(d["sa"], d["sb"], d["na"], d["nb"])]
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(released(run), "a long, b long")
 
 
 def _whole_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _whole_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
                                               pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return (ids.select(slot(ids).alias("slot"), "text").mapInArrow(run, "node long, set binary")
+    return (ids.select(slot(ids).alias("slot"), "text").mapInArrow(released(run), "node long, set binary")
             .groupBy("node").agg(F.first("set").alias("set")))
 
 
@@ -291,7 +291,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
-    return likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(released(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.frames import texts_in_slices
+from caseflow.llm.frames import released, texts_in_slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, HALF = 64, 32
@@ -430,7 +430,7 @@ def find(docs: DataFrame, model: Tagger | None) -> DataFrame:
                        pa.array([line(b + x) for b, x in zip(base, more)], pa.string())], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
+        released(run), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
 
 
 def redact(docs: DataFrame, model: Tagger | None) -> DataFrame:
@@ -466,4 +466,4 @@ def redact(docs: DataFrame, model: Tagger | None) -> DataFrame:
                                           cols[size].type)
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

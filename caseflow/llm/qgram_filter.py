@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.frames import slices, texts_in_slices
+from caseflow.llm.frames import released, slices, texts_in_slices
 from caseflow.llm.textops import codepoints
 
 Q = 12                 # q-gram length
@@ -266,7 +266,7 @@ def search(docs: DataFrame, bench: DataFrame, block_chars: int = BLOCK_CHARS) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols],
                                                  names=[x.split()[0] for x in schema.split(", ")])
 
-        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), schema)
         out = got if out is None else out.unionAll(got)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -286,5 +286,5 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, block_chars: int = BLOC
                     clean[[x[0] for x in scan(ix, texts)]] = False
                     yield batch.slice(i, j - i).filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs

@@ -5,7 +5,8 @@ rebuilt: the character map and white-space rules of the normaliser, the metaspac
 scores or, for byte-pair models, the merges implied by the scores, and byte fallback. Batches are
 encoded by the library's threads. Where no piece of the vocabulary has the marker after another
 character, no merge can cross a word's start, so texts are split there, the words not met lately
-are encoded in one multithreaded batch, and the others come from a bounded cache (same tokens).
+are encoded in multithreaded batches, and the others come from a bounded cache (same tokens). Ids are
+kept as packed 32-bit integers, and a long text is cut into words piece by piece.
 
 Defined results: a null or empty text has no tokens and decodes to the empty string. Bytes of
 characters outside the vocabulary become byte pieces where the model has them, else the unknown
@@ -17,13 +18,14 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from dataclasses import dataclass, field
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseflow.llm.frames import texts_in_slices
+from caseflow.llm.frames import released, texts_in_slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -146,11 +148,12 @@ class Encoder:
         self.library.normalizer = None             # texts are normalised here, then cut into words
         self.library.pre_tokenizer = None
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.start = re.compile(f"(?<!{SPACE}){SPACE}")
         self.charsmap = None
         if self.spec.charsmap:
             from tokenizers import normalizers
             self.charsmap = normalizers.Precompiled(self.spec.charsmap)
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}          # a word's ids, four bytes each
         self.cached_words = cached_words
         self.bytes_of = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode()
                          for p, _, kind in self.spec.pieces]
@@ -165,26 +168,44 @@ class Encoder:
             text = SPACE + text
         return text.replace(" ", SPACE)
 
+    def pieces(self, text: str, limit: int = 1 << 18):
+        """The text in pieces of about ``limit`` characters, each from a word's start."""
+        at = 0
+        while (cut := self.start.search(text, at + limit)) is not None:
+            yield text[at:cut.start()]
+            at = cut.start()
+        yield text[at:]
+
     def encode(self, normal: list[str]) -> list[list[int]]:
         """Ids of normalised texts."""
+        return [x.tolist() for x in self.packed(normal)]
+
+    def packed(self, normal: list[str], batch: int = 1 << 12) -> list[np.ndarray]:
+        """Ids of normalised texts, as arrays."""
         if not self.splits:
-            return [e.ids for e in self.library.encode_batch_fast(normal, add_special_tokens=False)]
+            return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(normal, add_special_tokens=False)]
+        return [np.frombuffer(b"".join(self._words(p, batch) for p in self.pieces(x)), np.int32) for x in normal]
+
+    def _words(self, piece: str, batch: int) -> bytes:
         cache = self.cache
-        if len(cache) > self.cached_words:
+        words = self.cut.findall(piece)
+        new = [w for w in dict.fromkeys(words) if w not in cache]
+        if len(cache) + len(new) > self.cached_words:
             cache.clear()
-        words = [self.cut.findall(x) for x in normal]
-        new = list({w for text in words for w in text if w not in cache})
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = e.ids
-        return [list(chain.from_iterable(map(cache.__getitem__, text))) for text in words]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
+            new = list(dict.fromkeys(words))
+        for k in range(0, len(new), batch):
+            part = new[k:k + batch]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                cache[w] = array("i", e.ids).tobytes()
+        return b"".join(map(cache.__getitem__, words))
+
+    def decode(self, ids: list[list[int]] | list[np.ndarray]) -> list[str]:
         """The texts of lists of ids: the bytes of their pieces; the library decodes all lists if the
         byte pieces of one are no valid text (it shows each such byte as a replacement character)."""
         try:
-            texts = [b"".join(map(self.bytes_of.__getitem__, x)).decode() for x in ids]
+            texts = [b"".join(map(self.bytes_of.__getitem__, _ints(x))).decode() for x in ids]
         except UnicodeDecodeError:
-            return self.library.decode_batch(ids, skip_special_tokens=False)
+            return self.library.decode_batch([_ints(x) for x in ids], skip_special_tokens=False)
         return [x[1:] if self.spec.dummy_prefix and x.startswith(" ") else x for x in texts]
 
     def expected(self, normal: str) -> str:
@@ -193,6 +214,10 @@ class Encoder:
         return out[1:] if self.spec.dummy_prefix and out.startswith(" ") else out
 
 
+def _ints(x: list[int] | np.ndarray) -> list[int]:
+    return x.tolist() if isinstance(x, np.ndarray) else x
+
+
 _built: dict[bytes, Encoder] = {}
 
 
@@ -220,14 +245,17 @@ def tokenize(df: DataFrame, model: bytes, id_col: str = "doc_id", slice_bytes: i
         for batch in batches:
             for i, j, texts in texts_in_slices(batch, "text", slice_bytes):
                 normal = [model_of.normalise(t) for t in texts]
-                ids = model_of.encode(normal)
+                ids = model_of.packed(normal)
                 back = model_of.decode(ids)
                 ok = [b == model_of.expected(t) for b, t in zip(back, normal)]
+                sizes = np.array([x.size for x in ids], np.int64)
+                places = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array(ids, pa.list_(pa.int32())), pa.array(ok), pa.array([len(b) for b in back], pa.int64())],
+                    [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(sizes), lists, pa.array(ok),
+                     pa.array([len(b) for b in back], pa.int64())],
                     names=[id_col, "n_tokens", "ids", "round_trip", "n_decoded"])
         model_of.cache.clear()                     # an idle worker holds no words
 
     return df.select(id_col, "text").mapInArrow(
-        run, f"{id_col} long, n_tokens long, ids array<int>, round_trip boolean, n_decoded long")
+        released(run), f"{id_col} long, n_tokens long, ids array<int>, round_trip boolean, n_decoded long")

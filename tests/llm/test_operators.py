@@ -425,3 +425,13 @@ def test_decode_equals_the_library():
     for x in lists:
         assert ours.decode([x]) == ours.library.decode_batch([x], skip_special_tokens=False)
     assert ours.decode(lists) == ours.library.decode_batch(lists, skip_special_tokens=False)
+
+
+def test_long_texts_are_cut_at_word_starts(corpus):
+    ours = sp_tokens.Encoder(sp_tokens.read_model(), cached_words=50)
+    plain = sp_tokens.Encoder(sp_tokens.read_model())
+    for t in [" ".join(t or "" for _, t in corpus)[:30000], "x" * 3000, " " * 3000, "a  b   c " * 300, ""]:
+        normal = plain.normalise(t)
+        cut = list(ours.pieces(normal, 40))
+        assert "".join(cut) == normal
+        assert sum(plain.encode(cut), []) == plain.encode([normal])[0] == ours.encode([normal])[0]
