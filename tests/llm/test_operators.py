@@ -266,6 +266,25 @@ def test_langid_learns_and_rejects(spark):
     assert empty.predict(["abc", None])[0] == ["und", "und"]
 
 
+def test_langid_rejects_unlearned_gibberish_and_mixed_texts(spark):
+    rng = random.Random(12)
+    sound = {"aa": "ka ro mi ta ne po", "bb": "sch ung icht ein ver ach", "cc": "eau oui tre ment que ion"}
+    say = lambda g, n: " ".join("".join(rng.choice(sound[g].split()) for _ in range(2)) for _ in range(n))
+    docs = [(i, say(g, rng.randrange(3, 60)), g, "s", 1, "", 0.1, 1) for i in range(900) for g in [("aa", "bb", "cc")[i % 3]]]
+    sound["dd"] = "wyk gdz szc prz olu ibj"
+    odd = [say("dd", 40) for _ in range(30)]
+    odd += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)) for _ in range(30)]
+    odd += ["мы не учили этого языка никогда " * 3] * 10
+    mixed = [say("aa", 40) + " " + say("bb", 40) + " " + say("cc", 40) for _ in range(30)]
+    df = spark.createDataFrame(docs + [(1000 + i, t, None, "s", 1, "", 0.1, 1) for i, t in enumerate(odd + mixed)], DOCS)
+    model = langid.fit(df, F.col("doc_id") % 4 != 2)
+    kept = {r.doc_id for r in langid.keep_identified(df, model).collect()}
+    held = [d[0] for d in docs if d[0] % 4 == 2]
+    assert len(kept & set(held)) / len(held) > 0.95
+    assert not any(1000 + i in kept for i in range(len(odd)))
+    assert sum(1000 + len(odd) + i in kept for i in range(len(mixed))) < len(mixed) / 2
+
+
 def test_pair_quality_ranks_and_cuts(spark):
     rng = random.Random(5)
     docs = [(i, prose(rng, 60) if i % 4 else prose(rng, 30).replace(" ", "*** ").upper(), "xx", "s", 1, "", 0.1, 1) for i in range(400)]
