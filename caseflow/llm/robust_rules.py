@@ -3,9 +3,13 @@
 Every text becomes a vector of transformed statistics. Per (language, source) group the minimum
 covariance determinant estimate is found by concentration steps that run as Spark aggregates: the
 rows' squared Mahalanobis distances fall into fixed logarithmic bins, moments are summed per
-(group, bin), and the bins up to the one that reaches the share ``H`` of the group are the next
-subset. So a step is one aggregate whose size is groups x bins, however large a group is, and no
-row is sampled. Rows whose robust distance exceeds a chi-square quantile are rejected.
+(group, start, bin), and the bins up to the one that reaches the share ``H`` of the group, that one
+in part, are the next subset. So a step is one aggregate whose size is groups x starts x bins,
+however large a group is, and no row is sampled. Four deterministic starts (quartile scales, the
+correlation of tanh scores, that of spatial signs, the covariance of all rows) go through the steps
+until their determinant falls no more; the least determinant of a group is its estimate. Rows whose
+robust distance exceeds a chi-square quantile are rejected. A statistic that does not vary in the
+subset (rates are zero in most texts) has the deviation ``FLOOR``, a resolution, instead of a smaller one.
 
 Defined results: a null text has no words. Null language or source count as the empty string.
 Groups of under ``MIN_GROUP`` usable rows use the estimate of all rows; if those are under
@@ -26,12 +30,13 @@ from pyspark.sql import functions as F
 from caseflow.llm.frames import keep, texts_in_slices
 
 H = 0.75                      # share of a group that the subset holds
-STEPS = 3                     # concentration steps
+FALL = 1e-3                   # least fall of the log determinant that a step must bring
+STEPS = 50                    # concentration steps at most; they end by themselves before
 MIN_GROUP = 50
 BINS_PER_OCTAVE = 8
-CUT_PROBABILITY = 1 - 1e-6    # of the chi-square distribution
-# least standard deviations: rates that are zero in most texts would else have none
-FLOOR = (0.50, 0.35, 0.04, 0.08, 0.08)
+CUT_PROBABILITY = 0.999       # of the chi-square distribution
+# least standard deviations, where a subset's is smaller: rates that are zero in most texts have none
+FLOOR = (0.10, 0.04, 0.04, 0.06, 0.045)
 DIM = len(FLOOR)
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(set(range(256)) - set(_SYMBOLS))
@@ -150,32 +155,69 @@ def _distance(shape: str = "shape") -> "F.Column":
     return F.greatest(out, F.lit(0.0))
 
 
-def _moments() -> list:
-    return ([F.count("*").alias("n")] + [F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)]
-            + [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}_{j}") for i, j in _XX])
+def _moments(x: list = _X, name: str = "") -> list:
+    """Sums and summed products of five columns."""
+    c = [F.col(v) if isinstance(v, str) else v for v in x]
+    return ([F.sum(v).alias(f"{name}s{i}") for i, v in enumerate(c)]
+            + [F.sum(c[i] * c[j]).alias(f"{name}q{i}_{j}") for i, j in _XX])
 
 
 _SUMS = ["n", *[f"s{i}" for i in range(DIM)], *[f"q{i}_{j}" for i, j in _XX]]
+_SHAPE = "g_lang string, g_source string, start int, mean array<double>, inverse array<double>, logdet double"
+
+
+def _mean_cov(r, name: str = "") -> tuple[np.ndarray, np.ndarray]:
+    m = np.array([getattr(r, f"{name}s{i}") for i in range(DIM)]) / r.n
+    c = np.zeros((DIM, DIM))
+    for i, j in _XX:
+        c[i, j] = c[j, i] = getattr(r, f"{name}q{i}_{j}") / r.n - m[i] * m[j]
+    return m, c
+
+
+def _shape(m: np.ndarray, c: np.ndarray) -> tuple[list, list, float]:
+    """Mean, inverse and log determinant of a scatter whose least variances are the floor's."""
+    c = c + np.diag(np.maximum(np.square(FLOOR) - np.diag(c), 0))
+    sd = np.sqrt(np.diag(c))
+    c = c + np.diag(1e-6 * sd ** 2)                     # statistics that determine one another
+    return m.tolist(), np.linalg.inv(c).ravel().tolist(), float(np.linalg.slogdet(c)[1])
 
 
 def _with_shape(sums: DataFrame, consistency: float) -> DataFrame:
-    """Mean and inverse scatter (with the floor on the diagonal) from a group's summed moments."""
+    """A concentration step's estimate from a subset's summed moments."""
+    def run(frames):
+        import pandas as pd
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False):
+                m, c = _mean_cov(r)
+                rows.append((r.g_lang, r.g_source, r.start, *_shape(m, consistency * c)))
+            yield pd.DataFrame(rows, columns=["g_lang", "g_source", "start", "mean", "inverse", "logdet"])
+    return sums.mapInPandas(run, _SHAPE)
+
+
+def _starts(sums: DataFrame) -> DataFrame:
+    """Every group's starts, from its medians, quartile scales and moments."""
+    def correlation(c):
+        sd = np.sqrt(np.maximum(np.diag(c), 0))
+        r = np.where(np.outer(sd, sd) > 1e-12, c / np.maximum(np.outer(sd, sd), 1e-12), 0.0)
+        np.fill_diagonal(r, 1.0)
+        return r
+
     def run(frames):
+        import pandas as pd
         for f in frames:
-            mean, inv = [], []
+            rows = []
             for r in f.itertuples(index=False):
-                n = float(r.n)
-                m = np.array([getattr(r, f"s{i}") for i in range(DIM)]) / n
-                c = np.zeros((DIM, DIM))
-                for i, j in _XX:
-                    c[i, j] = c[j, i] = getattr(r, f"q{i}_{j}") / n - m[i] * m[j]
-                c = consistency * c + np.diag(np.square(FLOOR))
-                mean.append(m.tolist())
-                inv.append(np.linalg.inv(c).ravel().tolist())
-            f = f[["g_lang", "g_source"]].copy()
-            f["mean"], f["inverse"] = mean, inv
-            yield f
-    return sums.mapInPandas(run, "g_lang string, g_source string, mean array<double>, inverse array<double>")
+                median, scale = np.array(r.median, float), np.array(r.scale, float)
+                by_scale = np.outer(scale, scale)
+                everything = _mean_cov(r)
+                for i, (m, c) in enumerate([(median, np.eye(DIM) * by_scale),
+                                            (median, correlation(_mean_cov(r, "t")[1]) * by_scale),
+                                            (median, correlation(_mean_cov(r, "u")[1]) * by_scale), everything]):
+                    mean, inverse, _ = _shape(m, c)
+                    rows.append((r.g_lang, r.g_source, i, mean, inverse, float("inf")))
+            yield pd.DataFrame(rows, columns=["g_lang", "g_source", "start", "mean", "inverse", "logdet"])
+    return sums.mapInPandas(run, _SHAPE)
 
 
 def estimate(stats: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -184,30 +226,56 @@ def estimate(stats: DataFrame, steps: int = STEPS) -> DataFrame:
     # the subset's scatter is too small by this factor for normal rows
     cf = H / max(1e-9, _chi2_cdf(a, DIM + 2))
     use = stats.filter(~F.col("base_failed"))
+    # aggregates of groups x starts x bins need few tasks, however many partitions a shuffle has
+    few = stats.sparkSession.sparkContext.defaultParallelism
     # every group's rows and their overall copy share one aggregate
     both = lambda df: df.withColumn("g", F.explode(F.array(
         F.struct("g_lang", "g_source"), F.struct(F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source")))))
     group = [F.col("g.g_lang").alias("g_lang"), F.col("g.g_source").alias("g_source")]
-    # start from each statistic's median, spread by its own floor and quartiles
+
+    def rows_with(shape: DataFrame, *columns: str) -> DataFrame:
+        """The rows of each group beside the group's ``columns``."""
+        s = shape.select(F.col("g_lang").alias("k_lang"), F.col("g_source").alias("k_source"), *columns)
+        return both(use).join(s, F.col("g.g_lang").eqNullSafe(F.col("k_lang")) & F.col("g.g_source").eqNullSafe(F.col("k_source")))
+
     quart = [F.percentile_approx(x, F.lit([0.25, 0.5, 0.75]).cast("array<double>"), F.lit(2000)).alias(f"m{i}") for i, x in enumerate(_X)]
     first = both(use).groupBy(*group).agg(F.count("*").alias("n"), *quart).filter(F.col("n") >= MIN_GROUP)
-    zero = F.lit(0.0)
-    inverse = F.array(*[(1.0 / (F.pow((F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) * 0.7413, 2) + FLOOR[i] ** 2) if i == j else zero)
-                        for i in range(DIM) for j in range(DIM)])
-    shape = keep(first.select("g_lang", "g_source", F.array(*[F.col(f"m{i}")[1] for i in range(DIM)]).alias("mean"),
-                              inverse.alias("inverse")), "mcd")
+    first = keep(first.select("g_lang", "g_source", F.array(*[F.col(f"m{i}")[1] for i in range(DIM)]).alias("median"),
+                              F.array(*[F.greatest((F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) * 0.7413, F.lit(FLOOR[i]))
+                                        for i in range(DIM)]).alias("scale")).coalesce(few), "mcd")
+    z = [(F.col(x) - F.col("median")[i]) / F.col("scale")[i] for i, x in enumerate(_X)]
+    scored = rows_with(first, "median", "scale").select(*group, "median", "scale", *_X, *[v.alias(f"z{i}") for i, v in enumerate(z)])
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIM)), F.lit(1e-12)))
+    scored = scored.select("*", *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(DIM)],
+                           *[(F.col(f"z{i}") / length).alias(f"u{i}") for i in range(DIM)])
+    moving = keep(_starts(scored.groupBy("g_lang", "g_source", "median", "scale").agg(
+        F.count("*").alias("n"), *_moments(), *_moments([f"t{i}" for i in range(DIM)], "t"),
+        *_moments([f"u{i}" for i in range(DIM)], "u")).coalesce(few)), "mcd")
+    done = None
+    same = ["g_lang", "g_source", "start"]
     for _ in range(steps):
-        s = shape.select(F.col("g_lang").alias("k_lang"), F.col("g_source").alias("k_source"),
-                         F.struct("mean", "inverse").alias("shape"))
-        d = (both(use).join(s, F.col("g.g_lang").eqNullSafe(F.col("k_lang")) & F.col("g.g_source").eqNullSafe(F.col("k_source")))
+        d = (rows_with(moving, "start", F.struct("mean", "inverse").alias("shape"))
              .withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * BINS_PER_OCTAVE).cast("int")))
-        sums = d.groupBy(*group, "bin").agg(*_moments())
-        by = Window.partitionBy("g_lang", "g_source")            # at most a few hundred bins a group
-        upto = sums.select("g_lang", "g_source", "bin", F.sum("n").over(by).alias("all"),
-                           F.sum("n").over(by.orderBy("bin")).alias("upto"), *_SUMS)
-        inside = upto.filter(F.col("upto") - F.col("n") < H * F.col("all"))
-        shape = keep(_with_shape(inside.groupBy("g_lang", "g_source").agg(*[F.sum(c).alias(c) for c in _SUMS]), cf), "mcd")
-    return shape
+        sums = d.groupBy(*group, "start", "bin").agg(F.count("*").alias("n"), *_moments()).coalesce(few)
+        by = Window.partitionBy(*same)                           # at most a few hundred bins a start
+        upto = sums.select(*same, "bin", F.sum("n").over(by).alias("all"), F.sum("n").over(by.orderBy("bin")).alias("upto"), *_SUMS)
+        # the bin that reaches the share counts in part, so that all subsets are of one size
+        part = F.least(F.lit(1.0), (H * F.col("all") - F.col("upto") + F.col("n")) / F.col("n"))
+        inside = upto.withColumn("part", part).filter("part > 0")
+        new = _with_shape(inside.groupBy(*same).agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in _SUMS]).coalesce(few), cf)
+        old = moving.select(*[F.col(c).alias(f"o_{c}") for c in same], F.struct("mean", "inverse", "logdet").alias("old"))
+        step = keep(new.join(old, F.col("g_lang").eqNullSafe(F.col("o_g_lang")) & F.col("g_source").eqNullSafe(F.col("o_g_source"))
+                             & (F.col("start") == F.col("o_start")))
+                    .select(*same, F.struct("mean", "inverse", "logdet").alias("new"), "old",
+                            (F.col("logdet") < F.col("old.logdet") - FALL).alias("falls")), "mcd")
+        still = step.filter(~F.col("falls")).select(*same, "old.*")
+        done = still if done is None else done.unionAll(still)
+        moving = step.filter("falls").select(*same, "new.*")
+        if moving.isEmpty():
+            break
+    found = moving if done is None else done.unionAll(moving)
+    best = found.groupBy("g_lang", "g_source").agg(F.min(F.struct("logdet", "start", "mean", "inverse")).alias("b"))
+    return keep(best.select("g_lang", "g_source", "b.mean", "b.inverse").coalesce(few), "mcd")
 
 
 def _chi2_cdf(x: float, df: int) -> float:

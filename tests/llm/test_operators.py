@@ -326,6 +326,22 @@ def test_robust_rules_counts_and_outliers(spark):
     assert robust_rules.judge(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_robust_rules_reject_a_cluster_in_each_statistic(spark):
+    """A fifth of a group are outliers; each of them in one statistic only."""
+    rng = random.Random(9)
+    lines = lambda t, n: "\n".join(" ".join(w) for w in np.array_split(t.split(), n))
+    plain = [(i, lines(prose(rng, rng.randrange(200, 400)), 10)) for i in range(200)]
+    odd = [(1000 + i, " ".join(w + "xyz" for w in prose(rng, 300).split())) for i in range(10)]        # word length
+    odd += [(1100 + i, prose(rng, 14)) for i in range(10)]                                             # size
+    odd += [(1200 + i, prose(rng, 240) + " " + " ".join([prose(rng, 27)] * 2)) for i in range(10)]     # 18% repeated
+    odd += [(1300 + i, prose(rng, 280) + "\nso\nna" * 8) for i in range(10)]                           # duplicate lines
+    odd += [(1400 + i, re.sub("r", "#", prose(rng, 300), count=70)) for i in range(10)]                # symbols
+    out = {r.doc_id: r for r in robust_rules.judge(frame(spark, plain + odd)).collect()}
+    assert sum(out[i].kept for i, _ in plain) >= 0.98 * len(plain)
+    assert not any(out[i].base_failed for i, _ in odd)
+    assert [i for i, _ in odd if out[i].kept] == []
+
+
 def test_chi_square_quantiles():
     assert abs(robust_rules.chi2_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(robust_rules.chi2_quantile(0.5, 2) - 1.38629) < 1e-4
 
