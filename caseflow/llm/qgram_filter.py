@@ -1,10 +1,12 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping segments of ``SEGMENT`` characters. A document region
-within ``k`` edits of a segment of ``m`` characters shares at least ``m - q + 1 - k*q`` character
-q-grams with it, all on diagonals (document place minus segment place) that differ by at most
-``k``. Shared q-grams are counted per segment in overlapping diagonal bands; bands that reach the
-bound are verified by a banded alignment, and the regions that pass are reported.
+Segments are the parts of ``SEGMENT`` characters of a benchmark item, at every ``stride``-th place of
+it and at its end. With ``stride`` 1, as the query and the pipeline have it, every part is one; a larger
+one is faster and misses copied regions that hold no whole segment. A document region within ``k`` edits of a segment of ``m`` characters shares at least
+``m - q + 1 - k*q`` character q-grams with it, all on diagonals (document place minus item place)
+that differ by at most ``k``. Every q-gram of an item is indexed once. Shared ones are collected per
+item in overlapping diagonal bands, and each segment that holds enough of a band's is verified by a
+banded alignment; the regions that pass are reported.
 
 Both sides are compared with A-Z lower-cased and runs of ASCII white space as one space; places
 are reported in code points of the original text. Benchmark items go to the tasks in blocks of a
@@ -30,11 +32,12 @@ from caseflow.llm.textops import codepoints
 
 Q = 12                 # q-gram length
 SEGMENT = 64           # characters of a segment
-STRIDE = 32
 EDIT_RATE = 0.05       # k = 3 edits a segment
 BLOCK_CHARS = 4 << 20  # benchmark characters per block
 PIECE = 1 << 18        # characters of document text handled at once
+STRIDE = 32            # of callers that name none
 GAP = 2 * SEGMENT      # places between texts that are handled together
+ALIGNED = 1 << 13      # segments that are aligned at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BITS = 20
@@ -81,58 +84,49 @@ def qgrams(c: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Segments of one block of items and their q-grams."""
-    chars: list[np.ndarray]        # segment text
-    owner: np.ndarray              # item number of a segment
-    offset: np.ndarray             # the segment's place in its item
-    edits: np.ndarray
-    need: np.ndarray               # q-grams that a region must share
+    """Items of one block and their q-grams."""
+    chars: np.ndarray              # the items' texts side by side, ...
+    begin: np.ndarray              # ... their first places
+    size: np.ndarray               # their lengths
+    length: np.ndarray             # of an item's segments
+    edits: np.ndarray              # that a segment's region may have
+    need: np.ndarray               # q-grams that it must share
     keys: np.ndarray               # sorted q-gram hashes, with ...
-    segment: np.ndarray            # ... their segment and place
+    item: np.ndarray               # ... their item and place
     place: np.ndarray
     probe: np.ndarray              # bit table over the hashes' top bits
 
 
 def index(texts: list[str]) -> Index:
-    chars, owner, offset, edits, need, keys, seg, place = [], [], [], [], [], [], [], []
+    chars, keys, item, place = [], [], [], []
     for i, t in enumerate(texts):
         c, _ = normalise(codepoints(t or ""))
-        n = c.size
-        if n < Q:
-            continue
-        starts = [0] if n <= SEGMENT else [*range(0, n - SEGMENT, STRIDE), n - SEGMENT]
-        for s in starts:
-            x = c[s:s + SEGMENT]
-            k = int(EDIT_RATE * x.size)
-            while k and x.size - Q + 1 - k * Q < 1:
-                k -= 1
-            g = qgrams(x)
-            seg.append(np.full(g.size, len(chars)))
-            place.append(np.arange(g.size))
-            keys.append(g)
-            chars.append(x)
-            owner.append(i)
-            offset.append(s)
-            edits.append(k)
-            need.append(x.size - Q + 1 - k * Q)
+        g = qgrams(c)
+        chars.append(c)
+        keys.append(g)
+        item.append(np.full(g.size, i))
+        place.append(np.arange(g.size))
     cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-    keys, seg, place = cat(keys, np.uint64), cat(seg, np.int64), cat(place, np.int64)
+    size = np.array([c.size for c in chars], np.int64)
+    length = np.minimum(size, SEGMENT)
+    edits = np.minimum((EDIT_RATE * length).astype(np.int64), np.maximum(length - Q, 0) // Q)
+    keys, item, place = cat(keys, np.uint64), cat(item, np.int64), cat(place, np.int64)
     o = np.argsort(keys, kind="stable")
     probe = np.zeros(1 << _BITS, bool)
     probe[keys >> np.uint64(64 - _BITS)] = True
-    return Index(chars, np.array(owner, np.int64), np.array(offset, np.int64), np.array(edits, np.int64),
-                 np.array(need, np.int64), keys[o], seg[o], place[o], probe)
+    return Index(cat(chars, np.uint32), np.cumsum(size) - size, size, length, edits, length - Q + 1 - edits * Q,
+                 keys[o], item[o], place[o], probe)
 
 
-def align(pattern: np.ndarray, regions: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of ``pattern`` against any part of each region (rows), on diagonals 0..band, and
+def align(patterns: np.ndarray, regions: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each pattern (rows) against any part of its region (rows), on diagonals 0..band, and
     the place where that part ends. Cells a diagonal apart are one array place apart."""
-    n, m = regions.shape[0], pattern.size
+    n, m = patterns.shape
     width = band + 1
     cost = np.zeros((n, width), np.int32)               # free start on every diagonal of the band
     step = np.arange(width, dtype=np.int32)
     for i in range(m):
-        stay = cost + (regions[:, i:i + width] != pattern[i])
+        stay = cost + (regions[:, i:i + width] != patterns[:, i:i + 1])
         skip = np.full_like(cost, 1 << 20)
         skip[:, :-1] = cost[:, 1:] + 1                  # a pattern character without partner
         cost = np.minimum(stay, skip)
@@ -141,8 +135,8 @@ def align(pattern: np.ndarray, regions: np.ndarray, band: int) -> tuple[np.ndarr
     return cost[np.arange(n), best], best + m
 
 
-def matches(ix: Index, c: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(segment, from, to, edits) of the verified regions in normalised text ``c``."""
+def matches(ix: Index, c: np.ndarray, stride: int = STRIDE) -> list[tuple[int, int, int, int, int]]:
+    """(item, segment's place in it, from, to, edits) of the verified regions in normalised text ``c``."""
     g = qgrams(c)
     hit = np.flatnonzero(ix.probe[g >> np.uint64(64 - _BITS)]) if g.size and ix.keys.size else np.empty(0, np.int64)
     if not hit.size:
@@ -154,41 +148,65 @@ def matches(ix: Index, c: np.ndarray) -> list[tuple[int, int, int, int]]:
         return []
     entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(hit, n)
-    seg, diagonal = ix.segment[entry], at - ix.place[entry] + SEGMENT      # never negative
+    item, place = ix.item[entry], ix.place[entry]
+    longest = int(ix.size.max())
+    diagonal = at - place + longest                     # never negative
     width = 16
     # a band holds `width` diagonals and starts every width - k: k + 1 neighbouring ones share a band
-    k = ix.edits[seg]
+    k = ix.edits[item]
     pace = width - k
     band = diagonal // pace
     lower = (diagonal - band * pace < k) & (band > 0)
-    seg2, band2, at2 = np.concatenate((seg, seg[lower])), np.concatenate((band, band[lower] - 1)), np.concatenate((at, at[lower]))
-    span = int(band2.max()) + 1
-    key = seg2 * span + band2
-    # the same q-gram of the text counts once a band
-    o = np.lexsort((at2, key))
-    key, at2 = key[o], at2[o]
+    item, band, place = (np.concatenate((item, item[lower])), np.concatenate((band, band[lower] - 1)),
+                         np.concatenate((place, place[lower])))
+    span = int(band.max()) + 1
+    key = item * span + band
+    # the same q-gram of the item counts once a band
+    o = np.lexsort((place, key))
+    key, place = key[o], place[o]
     first = np.ones(key.size, bool)
-    first[1:] = (key[1:] != key[:-1]) | (at2[1:] != at2[:-1])
-    u, count = np.unique(key[first], return_counts=True)
-    s, b = u // span, u % span
-    ok = count >= ix.need[s]
+    first[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+    key, place = key[first], place[first]
+    # places of a band that are followed by enough others within a segment's q-grams
+    i = key // span
+    reach = ix.length[i] - Q
+    last = np.arange(key.size) + ix.need[i] - 1
+    inside = np.minimum(last, key.size - 1)
+    ok = (last < key.size) & (key[inside] == key) & (place[inside] - place <= reach)
+    i, key, place, end, reach = i[ok], key[ok], place[ok], place[inside[ok]], reach[ok]
+    if not i.size:
+        return []
+    # the segments that hold such a run, each once: ranges of their places, ascending within a band
+    lo, hi = np.maximum(end - reach, 0), np.minimum(place, ix.size[i] - ix.length[i])
+    same = key[1:] == key[:-1]
+    lo[1:] = np.where(same, np.maximum(lo[1:], hi[:-1] + 1), lo[1:])
+    n = np.maximum(hi - lo + 1, 0)
+    s = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    i, band = np.repeat(i, n), np.repeat(key % span, n)
+    grid = (s % stride == 0) | (s == ix.size[i] - ix.length[i])
+    s, i, band = s[grid], i[grid], band[grid]
+    pad = SEGMENT + 2 * width
+    padded = np.concatenate((np.full(pad, 0xFFFFFFFF, np.uint32), c, np.full(2 * SEGMENT + 4 * width, 0xFFFFFFFF, np.uint32)))
     out = []
-    for si in np.unique(s[ok]):
-        bands = b[ok & (s == si)]
-        x, k = ix.chars[si], int(ix.edits[si])
-        # the band's diagonals, and k more on either side
-        begin = bands * (width - k) - SEGMENT - k
-        reach = width + 2 * k
-        padded = np.concatenate((np.full(SEGMENT + 2 * width, 0xFFFFFFFF, np.uint32), c,
-                                 np.full(2 * SEGMENT + 4 * width, 0xFFFFFFFF, np.uint32)))
-        rows = padded[(begin + SEGMENT + 2 * width)[:, None] + np.arange(x.size + reach)[None, :]]
-        edits, end = align(x, rows, reach - 1)
-        for e, t in zip(edits[edits <= k], (begin + end)[edits <= k]):
-            out.append((int(si), max(0, int(t) - x.size), min(int(t), c.size), int(e)))
+    for m in np.unique(ix.length[i]):
+        of = np.flatnonzero(ix.length[i] == m)
+        for a in range(0, of.size, ALIGNED):
+            part = of[a:a + ALIGNED]
+            own, k = i[part], int(ix.edits[i[part[0]]])
+            # the band's diagonals, and k more on either side
+            begin = band[part] * (width - k) - longest + s[part] - k
+            across = width + 2 * k
+            rows = padded[(begin + pad)[:, None] + np.arange(m + across)[None, :]]
+            patterns = ix.chars[(ix.begin[own] + s[part])[:, None] + np.arange(m)[None, :]]
+            edits, to = align(patterns, rows, across - 1)
+            good = np.flatnonzero(edits <= k)
+            to = begin[good] + to[good]
+            out += zip(own[good].tolist(), s[part][good].tolist(), np.maximum(0, to - m).tolist(),
+                       np.minimum(to, c.size).tolist(), edits[good].tolist())
     return out
 
 
-def scan(ix: Index, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
+def scan(ix: Index, texts: list[str | None], stride: int = STRIDE) -> list[tuple[int, int, int, int, int, int]]:
     """(text number, item, start, end, segments, least edits) of every matched region, in code points
     of the text. Matches of an item less than a segment apart are one region."""
     found: dict[tuple[int, int], list] = {}
@@ -198,10 +216,10 @@ def scan(ix: Index, texts: list[str | None]) -> list[tuple[int, int, int, int, i
         c, at = normalise(codepoints(("\uffff" * GAP).join(t or "" for t in texts[i:j])))
         for a in range(0, max(1, c.size), PIECE):
             part = c[a:a + PIECE + 2 * SEGMENT]
-            for s, f, t, e in matches(ix, part):
+            for item, s, f, t, e in matches(ix, part, stride):
                 f, t = int(at[a + f]), int(at[a + t - 1]) + 1
                 k = int(np.searchsorted(begin, f + SEGMENT // 2, "right")) - 1
-                found.setdefault((i + k, int(ix.owner[s])), []).append((f - int(begin[k]), t - int(begin[k]), s, e))
+                found.setdefault((i + k, item), []).append((f - int(begin[k]), t - int(begin[k]), s, e))
     out = []
     for (k, item), hits in sorted(found.items()):
         hits.sort()
@@ -245,7 +263,7 @@ class _Lazy:
         return _Lazy, (self.texts,)
 
 
-def search(docs: DataFrame, bench: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def search(docs: DataFrame, bench: DataFrame, block_chars: int = BLOCK_CHARS, stride: int = STRIDE) -> DataFrame:
     """doc_id, item_id, start_at, end_at, n_segments, edits: a row for every region that a document
     shares with a benchmark item; documents without one have no row."""
     spark = docs.sparkSession
@@ -260,7 +278,7 @@ def search(docs: DataFrame, bench: DataFrame, block_chars: int = BLOCK_CHARS) ->
                 rows = []
                 for i, j, texts in texts_in_slices(batch, "text", 1 << 22):
                     doc = batch.column(0).slice(i, j - i).to_pylist()
-                    for at, item, f, e, n, k in scan(ix, texts):
+                    for at, item, f, e, n, k in scan(ix, texts, stride):
                         rows += [(doc[at], one, f, e, n, k) for one in ids[item]]
                 cols = list(zip(*rows)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols],
@@ -271,7 +289,7 @@ def search(docs: DataFrame, bench: DataFrame, block_chars: int = BLOCK_CHARS) ->
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, bench: DataFrame, block_chars: int = BLOCK_CHARS, stride: int = STRIDE) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that share no region with any item."""
     for block in blocks(bench, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(_Lazy([b[1] for b in block]))
@@ -283,7 +301,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, block_chars: int = BLOC
                 one = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
                 for i, j, texts in texts_in_slices(one, "text", 1 << 22):
                     clean = np.ones(j - i, bool)
-                    clean[[x[0] for x in scan(ix, texts)]] = False
+                    clean[[x[0] for x in scan(ix, texts, stride)]] = False
                     yield batch.slice(i, j - i).filter(pa.array(clean))
 
         docs = docs.mapInArrow(released(run), docs.schema)

@@ -55,7 +55,7 @@ def op5(spark, sf_dir):
 @register("op7_qgram_filter")
 def op7(spark, sf_dir):
     from caseflow.llm import qgram_filter
-    return qgram_filter.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return qgram_filter.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stride=1)
 
 
 _OP9 = """

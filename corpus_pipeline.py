@@ -26,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no region with a benchmark item."""
-    return qgram_filter.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return qgram_filter.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), stride=1)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

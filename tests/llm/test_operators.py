@@ -166,6 +166,35 @@ def test_qgram_filter_finds_what_alignment_finds(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want} - {103}
 
 
+def test_qgram_filter_finds_fragments_at_every_place(spark):
+    """Fragments of a segment's length from every place of the items, exact and edited, against the alignment of every segment."""
+    rng = random.Random(21)
+    items = [(i, prose(rng, 40)) for i in range(3)] + [(3, "only a short item, " + prose(rng, 3))]
+    docs = []
+    for i, x in items[:3]:
+        for s in range(0, len(x) - 64, 7):
+            f = list(x[s:s + 64 + s % 5])
+            for _ in range(s % 6):
+                f[rng.randrange(len(f))] = rng.choice(["", "q", "zz"])
+            docs.append((len(docs), prose(rng, 12) + " " + "".join(f) + " " + prose(rng, 12)))
+    docs += [(len(docs) + i, x) for i, x in enumerate([items[3][1], prose(rng, 10) + items[3][1].upper() + "x", prose(rng, 80)])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in qgram_filter.search(frame(spark, docs), bench, stride=1).collect()}
+    clean = {r.doc_id for r in qgram_filter.drop_contaminated(frame(spark, docs), bench, stride=1).collect()}
+    assert clean == {d for d, _ in docs} - {d for d, _ in found}
+
+    def edits(k, x):
+        m, t = min(64, len(x)), docs[k][1].lower()
+        return min(least_edits(x[s:s + m], t) for s in range(len(x) - m + 1))
+    # all texts against their own item, and some against the others
+    for d, text in docs:
+        for i, x in items:
+            if any(x[s:s + 12] in text.lower() for s in range(0, len(x) - 11)) or d % 40 == 0:
+                k = min(int(0.05 * min(64, len(x))), (min(64, len(x)) - 12) // 12)
+                assert ((d, i) in found) == (edits(d, x) <= k), (d, i)
+    assert {d for d, _ in found} >= {d for d, t in docs if any(t.lower().find(x[s:s + 64]) >= 0 for _, x in items for s in range(max(1, len(x) - 63)))}
+
+
 # --- 6 ------------------------------------------------------------------------------------------------
 
 def brute_pii(t):
