@@ -84,14 +84,14 @@ def _sets(batch: pa.RecordBatch):
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """kind 0: id (document), node, n, sig (parity bitmap, once per node and task at least);
-    kind 1: id (token), n (sets of a block that have it)."""
-    names = ["kind", "id", "node", "n", "sig"]
+    """kind 0: id (document), node, n, sig (parity bitmap, once per node and task at least), hash (of the
+    text); kind 1: id (token), n (sets of a block that have it)."""
+    names = ["kind", "id", "node", "n", "sig", "hash"]
 
-    def table(kind, ids, nodes, n, sigs):
+    def table(kind, ids, nodes, n, sigs, hashes):
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int8()), pa.array(ids, pa.int64()),
                                            pa.array(nodes, pa.int64()), pa.array(n, pa.int64()),
-                                           pa.array(sigs, pa.binary())], names=names)
+                                           pa.array(sigs, pa.binary()), pa.array(hashes, pa.int64())], names=names)
 
     def frequent(parts):
         u = np.concatenate(parts)
@@ -99,7 +99,7 @@ def profile(docs: DataFrame) -> DataFrame:
         u.sort()
         u, c = np.unique(u[1:][u[1:] == u[:-1]], return_counts=True)      # the repeats only: few
         u, c = u[c + 1 >= LOCAL], c[c + 1 >= LOCAL] + 1
-        return table(1, u.view(np.int64), [None] * u.size, c, [None] * u.size)
+        return table(1, u.view(np.int64), [None] * u.size, c, [None] * u.size, [None] * u.size)
 
     def run(batches):
         seen: set[int] = set()
@@ -120,12 +120,12 @@ def profile(docs: DataFrame) -> DataFrame:
                     if size >= BLOCK:
                         yield frequent(parts)
                         parts, size = [], 0
-            yield table(0, ids, nodes, n, sigs)
+            yield table(0, ids, nodes, n, sigs, batch.column(2))
         if parts:
             yield frequent(parts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        released(run), "kind byte, id long, node long, n long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(
+        released(run), "kind byte, id long, node long, n long, sig binary, hash long")
 
 
 def frequency_classes(prof: DataFrame) -> np.ndarray:
@@ -351,12 +351,16 @@ def link_components(docs: DataFrame, prof: DataFrame) -> DataFrame:
     return components(first.unionAll(second))
 
 
+def _labelled(prof: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node, label (of the component), hash (of the text) of every document."""
+    labels = link_components(docs, prof)
+    ids = prof.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node", "hash")
+    return ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, node (equal for equal sets) of every document."""
-    prof = keep(profile(docs), "profile")
-    labels = link_components(docs, prof)
-    ids = prof.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
-    ids = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ids = _labelled(keep(profile(docs), "profile"), docs)
     least = ids.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return ids.join(least, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -365,13 +369,21 @@ def join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without all but one document of each component:
-    the one with the component's id stays. Of rows that repeat an id and its text one stays; rows with
-    a null id stay. Documents without words stay."""
-    found = keep(join(docs).filter("doc_id is not null"), "joined")
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    the one with the least id (null after all others), then the least hash of its text, stays. Of rows
+    that repeat an id and its text the least by all columns stays; rows that repeat an id with texts that
+    don't link all stay. Documents without words stay; of those that repeat an id and its text, one."""
+    ids = keep(_labelled(keep(profile(docs), "profile"), docs).filter("n_shingles > 0 or doc_id is not null")
+               .groupBy("doc_id", "hash", "n_shingles", "label").agg(F.count("*").alias("c")), "joined")
+    words = ids.filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    first = words.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("of")).filter("of > 1")
+    gone = (words.join(first, "label").filter(~order.eqNullSafe(F.col("first")))
+            .select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    out = docs.join(gone, same, "left_anti")
+    twice = ids.filter("c > 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
     if twice.isEmpty():
         return out
-    alone = out.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return alone.unionByName(out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    least = (out.join(twice, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_hash"))
+             .agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    return out.join(twice, same, "left_anti").unionByName(least)

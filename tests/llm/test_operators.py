@@ -96,6 +96,23 @@ def test_keep_one_leaves_a_row_of_each_component(spark, corpus):
     assert ids == sorted({c for d, _, c in brute_components(corpus) if d is not None and d == c})
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    rng = random.Random(31)
+    t = [prose(rng, 40) for _ in range(7)]
+    near = t[2].split()
+    near[5] = "zzz"
+    texts = [(1, t[0]), (1, t[1]), (1, t[2]), (1, t[2]),             # an id with three texts, one of them twice
+             (0, " ".join(near)),                                    # ... and one of them a copy of a lower id's
+             (2, t[3]), (None, t[3]),                                # a copy without an id goes
+             (None, t[4]), (None, t[4].upper()), (None, t[4]),       # one of several copies without an id stays
+             (None, t[5]), (None, None), (None, ""), (3, ""), (3, ""), (3, None), (4, t[6]), (5, t[6])]
+    want = sorted([(1, t[0]), (1, t[1]), (0, " ".join(near)), (2, t[3]), (None, t[4]), (None, t[5]),
+                   (None, None), (None, ""), (3, ""), (3, None), (4, t[6])], key=key)
+    for df in (frame(spark, texts), frame(spark, texts[::-1]).repartition(3)):
+        kept = ngram_join.keep_one(df).collect()
+        assert sorted(((r.doc_id, r.text and r.text.lower()) for r in kept), key=key) == want
+
+
 def test_parity_never_rules_out_a_link():
     rng = np.random.default_rng(1)
     for _ in range(200):
