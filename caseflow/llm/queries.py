@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.llm import secret_links, url_templates
+from caseflow.llm import secret_links, sliced_weights, url_templates
 from caseflow.llm.frames import fold, table
 
 QUERIES: dict = {}
@@ -120,3 +120,9 @@ def op4(spark, sf_dir):
 @register("op8_url_templates", url_templates.oracle())
 def op8(spark, sf_dir):
     return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
+@register("op11_sliced_weights", sliced_weights.oracle())
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return sliced_weights.rank(sliced_weights.weigh(docs, sliced_weights.gains(docs, table(spark, sf_dir, "benchmark"))))
