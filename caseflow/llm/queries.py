@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.llm import secret_links, sliced_weights, url_templates
+from caseflow.llm import orchard_codes, secret_links, sliced_weights, url_templates
 from caseflow.llm.frames import fold, table
 
 QUERIES: dict = {}
@@ -126,3 +126,10 @@ def op8(spark, sf_dir):
 def op11(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return sliced_weights.rank(sliced_weights.weigh(docs, sliced_weights.gains(docs, table(spark, sf_dir, "benchmark"))))
+
+
+@register("op12_orchard_codes", orchard_codes.oracle())
+def op12(spark, sf_dir):
+    codes, books = orchard_codes.compress(table(spark, sf_dir, "embeddings"))
+    return (orchard_codes.with_label_error(codes).drop("label")
+            .withColumn("codebooks_sha256", F.lit(books.sha256())))
