@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.llm import orchard_codes, secret_links, sliced_weights, url_templates
+from caseflow.llm import chat_render, orchard_codes, secret_links, sliced_weights, url_templates
 from caseflow.llm.frames import fold, table
 
 QUERIES: dict = {}
@@ -133,3 +133,8 @@ def op12(spark, sf_dir):
     codes, books = orchard_codes.compress(table(spark, sf_dir, "embeddings"))
     return (orchard_codes.with_label_error(codes).drop("label")
             .withColumn("codebooks_sha256", F.lit(books.sha256())))
+
+
+@register("op13_chat_render", chat_render.oracle())
+def op13(spark, sf_dir):
+    return chat_render.read_back(chat_render.render(chat_render.with_hostile(table(spark, sf_dir, "conversations"))))
