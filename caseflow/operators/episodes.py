@@ -1,17 +1,17 @@
 """Filing episodes, duplicate flags and running approvals per person.
 
 The reference sorts the whole table and runs grouped ``cumsum``/``row_number``.
-Here each step is an aggregate or a join, so a person with a huge history is
-combined map-side instead of landing in one task:
-
-* episode of a dated row = rank of its ``rec_date`` among the person's distinct
-  dates (an aggregate per (person, date), then a window over distinct dates,
-  which is bounded by the calendar, not by the person's row count);
-* last-in-episode = the row whose order key equals the group's ``max(key)``;
-* undated rows each open their own episode after all dated ones, numbered with
-  ``row_number_within`` (buckets of at most 1M rows, never a whole person);
-  rows without an id ride along as one-row persons of the surrogate key;
-* so the input is read twice (dated rows, the rest) and shuffled once in total.
+Here rows are joined once with a table of bucket totals, so a person with a huge history is
+combined map-side and split by row range instead of landing in one task:
+
+* a bucket is (person, rec_date, file, row range; the order columns too where rows of one
+  date are numbered), at most 1M rows; its count and greatest order key are one aggregate;
+* episode of a dated row = rank of its ``rec_date`` among the person's dates, last in the
+  episode = the row whose order key equals the greatest one: windows over buckets;
+* undated rows each open their own episode after all dated ones, numbered by the rows
+  of the buckets before and the position in their own;
+* rows without an id are one-row persons: they ride along and match no bucket;
+* so the input is read twice, once for the narrow totals, and its rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.columns import APPROVED, C3, DACA_INITIAL, DACA_RENEWAL, ELIS, PROVENANCE
-from caseflow.operators.ranking import row_number_within, running_within
+from caseflow.operators.ranking import row_range, running_within
 
 DUP_COLS = ("duplicate_identifier", "duplicate_last", "duplicate_likely", "duplicate_drop_row")
 
@@ -53,91 +53,87 @@ def surrogate_key(df: DataFrame, id_col: str = "unique_identifier",
 
 
 def flag_duplicates(df: DataFrame, id_col: str = "unique_identifier", date_col: str = "rec_date",
-                    order: str = "tps", provenance: Sequence[str] = PROVENANCE) -> DataFrame:
+                    order: str = "tps", provenance: Sequence[str] = PROVENANCE,
+                    history: DataFrame | None = None) -> DataFrame:
     """Add ``duplicate_identifier`` (episode number, 1-based), ``duplicate_last``,
     ``duplicate_likely`` (NULL when id or date is NULL) and ``duplicate_drop_row``.
 
     ``order='tps'`` breaks ties inside an episode by ``decision_date`` (NULL last)
     before provenance, so an undecided row is the last one; ``order='daca'`` uses
-    provenance only.
+    provenance only. ``history`` is a frame of the same rows that is cheaper to compute, for the totals.
     """
     within = ["decision_date"] if order == "tps" else []
     if order not in ("tps", "daca"):
         raise ValueError(f"order must be 'tps' or 'daca', got {order!r}")
     file_col, row_col = provenance
-    base = surrogate_key(df, id_col, "_nona", provenance)
-    has_id = F.col(id_col).isNotNull()
-    has_date = F.col(date_col).isNotNull()
-
-    dated = base.filter(has_id & has_date).withColumn("_k", order_key(within, provenance))
-    # one row per (person, date): partial aggregation absorbs hot groups map-side
-    episodes = (dated.groupBy(id_col, date_col)
-                .agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_last"))
-                .withColumn("_ep", F.row_number().over(Window.partitionBy(id_col).orderBy(date_col))))
-    n_dated = episodes.groupBy(F.col(id_col).alias("_nona")).agg(F.max("_ep").alias("_nd"))
-
-    a = (dated.join(episodes, [id_col, date_col], "inner")
-         .withColumn("duplicate_identifier", F.col("_ep").cast("int"))
-         .withColumn("duplicate_last", F.col("_k") == F.col("_last"))
-         .withColumn("duplicate_likely", F.col("_n") > 1)
-         .drop("_n", "_last", "_ep", "_k"))
-
-    # undated rows and id-less rows (each its own person via the surrogate key) each
-    # open their own episode, numbered after the person's dated ones
-    undated = row_number_within(base.filter(~(has_id & has_date)), ["_nona"], [*within, file_col], row_col,
-                                out="_r")
-    b = (undated.join(n_dated, "_nona", "left")
-         .withColumn("duplicate_identifier", (F.coalesce(F.col("_nd"), F.lit(0)) + F.col("_r")).cast("int"))
-         .withColumn("duplicate_last", F.lit(True))
-         .withColumn("duplicate_likely", F.lit(None).cast("boolean"))
-         .drop("_nd", "_r"))
-
-    out = a.unionByName(b).drop("_nona")
-    return out.withColumn(
-        "duplicate_drop_row",
-        F.coalesce(F.col("duplicate_likely"), F.lit(False)) & ~F.col("duplicate_last"))
+    has_id, has_date = F.col(id_col).isNotNull(), F.col(date_col).isNotNull()
+    inner = [f"w{i}" for i in range(len(within))]
+    bkey = F.struct(F.col(id_col).alias("i"), F.col(date_col).alias("d"),
+                    *[F.when(~has_date, F.col(c)).alias(n) for c, n in zip(within, inner)],
+                    F.col(file_col).alias("f"), row_range(row_col).alias("r"),
+                    F.when(~has_id, F.col(row_col)).alias("alone"))
+
+    # one row per bucket: partial aggregation absorbs hot groups map-side
+    totals = ((history if history is not None else df).filter(has_id).groupBy(bkey.alias("_okey"))
+              .agg(F.count(F.lit(1)).alias("_c"), F.max(order_key(within, provenance)).alias("_k")))
+    person = Window.partitionBy("_okey.i").orderBy(F.col("_okey.d").asc_nulls_last())
+    date = Window.partitionBy("_okey.i", "_okey.d")
+    earlier = date.orderBy(*[F.col(f"_okey.{c}").asc_nulls_last() for c in [*inner, "f", "r"]]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    buckets = (totals.withColumn("_ep", F.dense_rank().over(person))
+               .select("_okey", "_ep", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
+                       F.sum("_c").over(date).alias("_n"), F.max("_k").over(date).alias("_last")))
+
+    j = (df.withColumn("_bkey", bkey).withColumn("_key", order_key(within, provenance))
+         .join(buckets, F.col("_bkey") == F.col("_okey"), "left"))
+    dated = has_id & has_date
+    place = F.row_number().over(Window.partitionBy("_bkey").orderBy(F.col(row_col).asc_nulls_last()))
+    likely = F.when(dated, F.col("_n") > 1)
+    last = F.when(dated, F.col("_key") == F.col("_last")).otherwise(F.lit(True))
+    return j.select(
+        *df.columns,
+        F.when(dated, F.col("_ep")).when(has_id, F.col("_ep") - 1 + F.col("_before") + place)
+         .otherwise(F.lit(1)).cast("int").alias("duplicate_identifier"),
+        last.alias("duplicate_last"), likely.alias("duplicate_likely"),
+        (F.coalesce(likely, F.lit(False)) & ~last).alias("duplicate_drop_row"))
 
 
 def running_approvals(df: DataFrame, id_col: str = "unique_identifier",
                       decision_col: str = "decision", order_cols: Sequence[str] = ("decision_date", "rec_date"),
-                      provenance: Sequence[str] = PROVENANCE, out: str = "n_approvals") -> DataFrame:
+                      provenance: Sequence[str] = PROVENANCE, out: str = "n_approvals",
+                      where: Column | None = None, history: DataFrame | None = None) -> DataFrame:
     """Running count of approvals per person in ``order_cols`` (NULL last, ties by
     provenance). NULL-sticky like R's ``cumsum``: from the first NULL decision on, NULL.
-    Rows without an id get NULL (the reference never counts them).
+    Rows without an id get NULL (the reference never counts them), and so do rows outside ``where``,
+    which count for nobody.
 
-    Running sums come from ``running_within``: per (person, decision date, rec date,
-    file, row range) bucket plus the totals of the person's earlier buckets, so one
-    person's history is never a single task.
+    The state is a pair of sums (approvals, NULL decisions), so it adds up over row ranges, dates and persons:
+    see ``ranking.running_within``. No window holds one person's history.
     """
     file_col, row_col = provenance
-    has_id = F.col(id_col).isNotNull()
-    r = running_within(df.filter(has_id), [id_col], [*order_cols, file_col], row_col, {
+    own = F.col(id_col).isNotNull() if where is None else F.col(id_col).isNotNull() & F.coalesce(where, F.lit(False))
+    r = running_within(df, [id_col], [*order_cols, file_col], row_col, {
         "_appr": F.coalesce((F.col(decision_col) == F.lit(APPROVED)).cast("long"), F.lit(0)),
         "_nulls": F.col(decision_col).isNull().cast("long"),
-    })
-    r = (r.withColumn(out, F.when(F.col("_nulls") > 0, F.lit(None)).otherwise(F.col("_appr")).cast("long"))
-          .drop("_appr", "_nulls"))
-    return r.unionByName(df.filter(~has_id).withColumn(out, F.lit(None).cast("long")))
+    }, where=own, history=history)
+    return r.select(*df.columns, F.when(F.col("_nulls") == 0, F.col("_appr")).cast("long").alias(out))
 
 
 def initial_renewal(df: DataFrame, id_col: str = "unique_identifier", source_col: str = "data_source",
                     form_col: str = "form_type", out: str = "form_type_filled_in",
-                    provenance: Sequence[str] = PROVENANCE) -> DataFrame:
+                    provenance: Sequence[str] = PROVENANCE, history: DataFrame | None = None) -> DataFrame:
     """C3 rows with an id get "Initial" while their running approvals are <= 1,
     "Renewal" after; ELIS rows and id-less rows keep ``form_type``.
 
     Rows in neither branch (id present, source neither ELIS nor C3) are dropped,
-    exactly as the reference's split does; ``quality.reconcile_counts`` turns that
-    into an error.
+    exactly as the reference's split does; ``no_branch_rows`` counts them.
     """
-    is_c3 = (F.col(source_col) == F.lit(C3)) & F.col(id_col).isNotNull()
-    keep_form = (F.col(source_col) == F.lit(ELIS)) | F.col(id_col).isNull()
-    c3 = running_approvals(df.filter(is_c3), id_col=id_col, provenance=provenance, out="_n_appr")
-    c3 = (c3.withColumn(out, F.when(F.col("_n_appr") <= 1, F.lit(DACA_INITIAL))
-                        .when(F.col("_n_appr") > 1, F.lit(DACA_RENEWAL)))
-            .drop("_n_appr"))
-    other = df.filter(keep_form).withColumn(out, F.col(form_col))
-    return other.unionByName(c3)
+    c3 = F.coalesce(F.col(source_col) == F.lit(C3), F.lit(False)) & F.col(id_col).isNotNull()
+    r = running_approvals(df.filter(~no_branch_rows(id_col, source_col)), id_col=id_col, provenance=provenance,
+                          out="_n_appr", where=c3, history=history)
+    filled = (F.when(~c3, F.col(form_col)).when(F.col("_n_appr") <= 1, F.lit(DACA_INITIAL))
+              .when(F.col("_n_appr") > 1, F.lit(DACA_RENEWAL)))
+    return r.withColumn(out, filled).drop("_n_appr")
 
 
 def no_branch_rows(id_col: str = "unique_identifier", source_col: str = "data_source") -> Column:

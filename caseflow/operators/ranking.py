@@ -9,9 +9,14 @@ then row within the file. So the order is cut into *buckets*: (group, leading
 order keys..., file, row range), where a row range is ``floor(row / R)`` -- at
 most R rows, however large one file, key or group is. Inside a bucket rows are
 numbered (or summed) by their row number with a window that never holds more
-than R rows; each bucket is then shifted by the totals of the group's earlier
-buckets, read from a table of one row per bucket (an aggregate with map-side
-combine; its window per group holds one row per bucket, i.e. rows / R).
+than R rows. What comes before a bucket is a hierarchical prefix sum over a table of
+one row per bucket (an aggregate with map-side combine):
+
+* totals per (group, leading key), summed up over the group's earlier leading keys;
+* plus totals of the earlier buckets of the same (group, leading key).
+
+So no window holds a group's rows, nor all of its buckets: the first holds a group's distinct
+leading keys (for dates: bounded by the calendar), the second the buckets of one of them.
 
 Everything is deterministic (no sampling, no ``monotonically_increasing_id``),
 so a lost executor recomputes exactly the same values.
@@ -28,37 +33,57 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 1_000_000
 
 
+def row_range(row_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
+    """The part of its file a row lies in."""
+    return F.floor(F.col(row_col) / F.lit(rows_per_bucket))
+
+
+def _before(window_of: Sequence[str], order: Sequence[str], c: str) -> Column:
+    w = (Window.partitionBy(*window_of).orderBy(*[F.col(o).asc_nulls_last() for o in order])
+         .rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(F.sum(c).over(w), F.lit(0))
+
+
 def running_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str], row_col: str,
-                   measures: Mapping[str, Column], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                   measures: Mapping[str, Column], rows_per_bucket: int = ROWS_PER_BUCKET,
+                   where: Column | None = None, history: DataFrame | None = None) -> DataFrame:
     """Add, for each ``name -> expr`` in ``measures``, the running (inclusive) sum of
     ``expr`` inside ``group`` in the order (``buckets`` ascending NULLs last, then
     ``row_col``); (buckets, row_col) must be unique inside a group (end ``buckets``
-    with the source file). Buckets are further cut into ``row_col`` ranges of
-    ``rows_per_bucket``, so no window ever holds more rows than that.
+    with the source file).
+
+    ``where`` limits the sums to some rows; others get NULL and cost no more than the shuffle that
+    all rows go through. ``history`` is a frame of the same rows that is cheaper to
+    compute (before joins and windows that only add columns): bucket totals are taken from it.
 
-    The bucket is one struct key (never NULL itself; NULL fields compare equal), so
-    the window, the bucket totals and the join back all use the same hash
-    partitioning: the rows are shuffled once.
+    The bucket is one struct key (never NULL itself; NULL fields compare equal), so the window inside
+    the bucket and the join with what comes before it share one hash partitioning: the rows are
+    shuffled once, and the totals are taken from a second, narrow scan.
     """
     group, buckets = list(group), list(buckets)
-    gkey = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])
-    cut = [*[F.col(c) for c in buckets], F.floor(F.col(row_col) / F.lit(rows_per_bucket))]
-    bkey = F.struct(gkey.alias("g"), *[c.alias(f"b{i}") for i, c in enumerate(cut)])
-    named = df.select("*", bkey.alias("_bkey"), *[e.alias(f"_m_{n}") for n, e in measures.items()])
+    g, b = [f"g{i}" for i in range(len(group))], [f"b{i}" for i in range(len(buckets))]
+    own = where if where is not None else F.lit(True)
+    bkey = F.struct(*[F.col(c).alias(n) for c, n in zip(group + buckets, g + b)],
+                    row_range(row_col, rows_per_bucket).alias("r"))
+    sums = [f"_t_{n}" for n in measures]
+
+    leaf = ((history if history is not None else df).filter(own).groupBy(bkey.alias("_okey"))
+            .agg(*[F.sum(e).alias(t) for e, t in zip(measures.values(), sums)])
+            .select("_okey", "_okey.*", *sums))
+    lead = leaf.groupBy(*g, b[0]).agg(*[F.sum(t).alias(t) for t in sums])
+    lead = lead.select(F.struct(*g, b[0]).alias("_lkey"), *[_before(g, b[:1], t).alias(f"{t}_a") for t in sums])
+    leaf = leaf.select("_okey", F.struct(*g, b[0]).alias("_lead"),
+                       *[_before([*g, b[0]], [*b[1:], "r"], t).alias(f"{t}_b") for t in sums])
+    offsets = (leaf.join(lead, F.col("_lead") == F.col("_lkey"))
+               .select("_okey", *[(F.col(f"{t}_a") + F.col(f"{t}_b")).alias(t) for t in sums]))
+
+    named = df.select("*", bkey.alias("_bkey"), *[F.when(own, e).alias(f"_m_{n}") for n, e in measures.items()])
     inside = Window.partitionBy("_bkey").orderBy(F.col(row_col).asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = named.select("*", *[F.sum(f"_m_{n}").over(inside).alias(f"_l_{n}") for n in measures])
-    # totals per bucket from the windowed rows: same partitioning, no second pass
-    totals = local.groupBy("_bkey").agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
-    earlier = (Window.partitionBy(F.col("_bkey.g"))
-               .orderBy(*[F.col(f"_bkey.b{i}").asc_nulls_last() for i in range(len(cut))])
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(F.col("_bkey").alias("_okey"),
-                            *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}")
-                              for n in measures])
-    j = local.join(offsets, local["_bkey"] == offsets["_okey"], "inner")
-    return j.select(*[local[c] for c in df.columns],
-                    *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in measures])
+    j = named.join(offsets, F.col("_bkey") == F.col("_okey"), "left")
+    # outside ``where`` the measure is NULL, and so is its sum
+    return j.select(*df.columns, *[F.when(F.col(f"_m_{n}").isNotNull(),
+                                          F.col(f"_t_{n}") + F.sum(f"_m_{n}").over(inside)).alias(n) for n in measures])
 
 
 def row_number_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str], row_col: str,
