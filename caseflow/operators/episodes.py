@@ -4,8 +4,8 @@ The reference sorts the whole table and runs grouped ``cumsum``/``row_number``.
 Here rows are joined once with a table of bucket totals, so a person with a huge history is
 combined map-side and split by row range instead of landing in one task:
 
-* a bucket is (person, rec_date, file, row range; the order columns too where rows of one
-  date are numbered), at most 1M rows; its count and greatest order key are one aggregate;
+* a bucket is (person, rec_date, other order columns, file, row range), at most 1M rows; its
+  count and last row are one hash aggregate;
 * episode of a dated row = rank of its ``rec_date`` among the person's dates, last in the
   episode = the row whose order key equals the greatest one: windows over buckets;
 * undated rows each open their own episode after all dated ones, numbered by the rows
@@ -67,23 +67,23 @@ def flag_duplicates(df: DataFrame, id_col: str = "unique_identifier", date_col:
         raise ValueError(f"order must be 'tps' or 'daca', got {order!r}")
     file_col, row_col = provenance
     has_id, has_date = F.col(id_col).isNotNull(), F.col(date_col).isNotNull()
-    inner = [f"w{i}" for i in range(len(within))]
-    bkey = F.struct(F.col(id_col).alias("i"), F.col(date_col).alias("d"),
-                    *[F.when(~has_date, F.col(c)).alias(n) for c, n in zip(within, inner)],
-                    F.col(file_col).alias("f"), row_range(row_col).alias("r"),
-                    F.when(~has_id, F.col(row_col)).alias("alone"))
+    names = ["i", "d", *[f"w{i}" for i in range(len(within))], "f", "r"]
+    cut = [F.col(c) for c in (id_col, date_col, *within, file_col)] + [row_range(row_col)]
 
     # one row per bucket: partial aggregation absorbs hot groups map-side
-    totals = ((history if history is not None else df).filter(has_id).groupBy(bkey.alias("_okey"))
-              .agg(F.count(F.lit(1)).alias("_c"), F.max(order_key(within, provenance)).alias("_k")))
-    person = Window.partitionBy("_okey.i").orderBy(F.col("_okey.d").asc_nulls_last())
-    date = Window.partitionBy("_okey.i", "_okey.d")
-    earlier = date.orderBy(*[F.col(f"_okey.{c}").asc_nulls_last() for c in [*inner, "f", "r"]]).rowsBetween(
-        Window.unboundedPreceding, -1)
+    totals = ((history if history is not None else df).filter(has_id)
+              .groupBy(*[c.alias(n) for c, n in zip(cut, names)])
+              .agg(F.count(F.lit(1)).alias("_c"), F.max(row_col).alias("_m")))
+    person = Window.partitionBy("i").orderBy(F.col("d").asc_nulls_last())
+    date = Window.partitionBy("i", "d")
+    earlier = date.orderBy(*[F.col(n).asc_nulls_last() for n in names[2:]]).rowsBetween(Window.unboundedPreceding, -1)
     buckets = (totals.withColumn("_ep", F.dense_rank().over(person))
-               .select("_okey", "_ep", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
-                       F.sum("_c").over(date).alias("_n"), F.max("_k").over(date).alias("_last")))
+               .select(F.struct(*names, F.lit(None).cast("long").alias("alone")).alias("_okey"), "_ep",
+                       F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
+                       F.sum("_c").over(date).alias("_n"), F.max(order_key(names[2:-2], ("f", "_m"))).over(date).alias("_last")))
 
+    # a row without an id has a key of its own, which matches no bucket and makes no hot one
+    bkey = F.struct(*[c.alias(n) for c, n in zip(cut, names)], F.when(~has_id, F.col(row_col)).alias("alone"))
     j = (df.withColumn("_bkey", bkey).withColumn("_key", order_key(within, provenance))
          .join(buckets, F.col("_bkey") == F.col("_okey"), "left"))
     dated = has_id & has_date

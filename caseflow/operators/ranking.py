@@ -63,16 +63,17 @@ def running_within(df: DataFrame, group: Sequence[str], buckets: Sequence[str],
     group, buckets = list(group), list(buckets)
     g, b = [f"g{i}" for i in range(len(group))], [f"b{i}" for i in range(len(buckets))]
     own = where if where is not None else F.lit(True)
-    bkey = F.struct(*[F.col(c).alias(n) for c, n in zip(group + buckets, g + b)],
-                    row_range(row_col, rows_per_bucket).alias("r"))
+    keys = [*[F.col(c) for c in group + buckets], row_range(row_col, rows_per_bucket)]
+    names = [*g, *b, "r"]
+    keys = [c.alias(n) for c, n in zip(keys, names)]
+    bkey = F.struct(*keys)
     sums = [f"_t_{n}" for n in measures]
 
-    leaf = ((history if history is not None else df).filter(own).groupBy(bkey.alias("_okey"))
-            .agg(*[F.sum(e).alias(t) for e, t in zip(measures.values(), sums)])
-            .select("_okey", "_okey.*", *sums))
+    leaf = ((history if history is not None else df).filter(own).groupBy(*keys)
+            .agg(*[F.sum(e).alias(t) for e, t in zip(measures.values(), sums)]))
     lead = leaf.groupBy(*g, b[0]).agg(*[F.sum(t).alias(t) for t in sums])
     lead = lead.select(F.struct(*g, b[0]).alias("_lkey"), *[_before(g, b[:1], t).alias(f"{t}_a") for t in sums])
-    leaf = leaf.select("_okey", F.struct(*g, b[0]).alias("_lead"),
+    leaf = leaf.select(F.struct(*names).alias("_okey"), F.struct(*g, b[0]).alias("_lead"),
                        *[_before([*g, b[0]], [*b[1:], "r"], t).alias(f"{t}_b") for t in sums])
     offsets = (leaf.join(lead, F.col("_lead") == F.col("_lkey"))
                .select("_okey", *[(F.col(f"{t}_a") + F.col(f"{t}_b")).alias(t) for t in sums]))

@@ -13,7 +13,6 @@ from caseflow.functions.text import recode_values, resolve_country
 from caseflow.operators.episodes import flag_duplicates, initial_renewal, no_branch_rows
 from caseflow.operators.lookup import lookup_left
 from caseflow.operators.profile import drop_uninformative, flag_empty_rows
-from caseflow.sources.sinks import materialize
 
 # columns later steps name; kept even when the profile finds them empty (defect D6)
 REQUIRED = ("unique_alien_id", "ben_country_of_birth", "data_source", "ben_gender", "form_type",
@@ -25,7 +24,7 @@ def clean_cases(staged: DataFrame, codes: DataFrame, form: str = "tps", raw_id:
     """Staged rows of one form -> cleaned rows with duplicate flags.
 
     Steps: drop form columns; drop uninformative columns (profile job); flag fully
-    empty rows; resolve country codes (broadcast lookup, size-checked); recode
+    empty rows; resolve country codes (left lookup, keys checked in the plan); recode
     gender (and TPS form type); id rename; episodes and duplicate flags; drop empty
     rows; DACA also fills in initial/renewal. ``check`` adds the row-count
     reconciliation to the profile pass (no extra job).
@@ -44,6 +43,8 @@ def clean_cases(staged: DataFrame, codes: DataFrame, form: str = "tps", raw_id:
                             must_be_zero=checks)
     df = flag_empty_rows(df, except_cols=PROVENANCE)
     df = df.withColumnRenamed(raw_id, "unique_identifier")
+    # the same rows before the lookup and the flags: totals per person are taken from this narrow scan
+    history = df
 
     if "ben_country_of_birth" in df.columns:
         df = lookup_left(df, codes.select("code", F.col("country").alias("_country")), "ben_country_of_birth")
@@ -55,11 +56,10 @@ def clean_cases(staged: DataFrame, codes: DataFrame, form: str = "tps", raw_id:
     if form == "tps" and "form_type" in df.columns:
         df = df.withColumn("form_type", recode_values("form_type", TPS_FORM_TYPE_LABELS))
 
-    df = flag_duplicates(df, order=form)
+    df = flag_duplicates(df, order=form, history=history)
     df = df.filter(~F.col("row_redacted")).drop("row_redacted")
     if form == "daca":
-        # initial_renewal reads the flagged rows in three branches; without a cut the
-        # episode shuffles above would run once per branch
-        df = initial_renewal(materialize(df, "daca-flagged"))
+        # a flagged empty row has no id and counts for no person, so the history needs no filter
+        df = initial_renewal(df, history=history)
     tail = list(PROVENANCE)
     return df.select(*[c for c in df.columns if c not in tail], *tail)

@@ -274,12 +274,14 @@ UNION ALL SELECT *, form_type AS form_type_filled_in FROM g WHERE data_source =
 def _staged_on_disk(spark, sf_dir):
     """The staging boundary, as in the real workflow: staged records are written once
     as zstd Parquet and the cleaner reads them back (profile, checks and the plan
-    then scan Parquet instead of re-deriving the fixture)."""
+    then scan Parquet instead of re-deriving the fixture). Several files, as a release has
+    them: the one row group of the test table would otherwise be one task throughout."""
     from caseflow.plans.queries_io import scratch
     from caseflow.sources.sinks import write_parquet
     from caseflow.sources.staging import scan_parquet
     path = scratch(spark, "staged")
-    write_parquet(staged_cases(spark, sf_dir), path)
+    files = spark.sparkContext.defaultParallelism
+    write_parquet(staged_cases(spark, sf_dir).repartition(files, "row_original"), path)
     return scan_parquet(spark, path)
 
 

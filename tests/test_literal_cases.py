@@ -268,10 +268,27 @@ def test_lookup_keys_must_be_unique(spark):
     codes = country_code_table(spark, base)
     rows = spark.createDataFrame([(1, "US"), (2, "ESAL"), (3, "ZZ"), (4, None)], "row_original long, raw string")
     assert lookup_left(rows, codes, "raw").count() == 4
-    with pytest.raises(ValueError):
-        lookup_left(rows, codes.unionAll(codes), "raw")
-    with pytest.raises(ValueError):
-        rows_upsert(base, base.unionAll(base), "code")
+    # the check is part of the plan: building it runs no job, running it raises
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    twice = lookup_left(rows, codes.unionAll(codes), "raw")
+    upserted = rows_upsert(base, base.unionAll(base), "code")
+    assert len(tracker.getJobIdsForGroup()) == before
+    with pytest.raises(Exception, match="lookup table repeats a key"):
+        twice.collect()
+    with pytest.raises(Exception, match="lookup table repeats a key"):
+        twice.select("row_original").count()              # no column of the table is read
+    with pytest.raises(Exception, match="overlay repeats a key"):
+        upserted.collect()
+    null_codes = spark.createDataFrame([(None, "x"), (None, "y"), ("US", "USA")], "code string, country string")
+    assert [r.country for r in lookup_left(rows, null_codes, "raw").orderBy("row_original").collect()] == ["USA", None, None, None]
+
+
+def test_fixed_code_tables_have_unique_keys():
+    from caseflow.operators.lookup import COUNTRY_CODE_ALIASES, COUNTRY_CODE_OVERLAY
+    assert len(dict(COUNTRY_CODE_OVERLAY)) == len(COUNTRY_CODE_OVERLAY)
+    assert len(dict(COUNTRY_CODE_ALIASES)) == len(COUNTRY_CODE_ALIASES)
+    assert not dict(COUNTRY_CODE_OVERLAY).keys() & dict(COUNTRY_CODE_ALIASES).keys()
 
 
 def test_junk_cells_become_null(spark):
