@@ -43,14 +43,17 @@ def informative_columns(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def drop_uninformative(df: DataFrame, keep: Sequence[str] = (),
-                       must_be_zero: Mapping[str, Column] | None = None) -> DataFrame:
+                       must_be_zero: Mapping[str, Column] | None = None,
+                       known: Mapping[str, bool] | None = None) -> DataFrame:
     """Drop every column whose values are all NULL / blank / ``NA`` / redacted
     (text) or all NULL (other types). Zero rows drops everything not in ``keep``.
     ``must_be_zero`` counts are taken in the same pass; a non-zero one raises
-    ``quality.CountMismatch``."""
+    ``quality.CountMismatch``. Columns whose answer is ``known`` (from the profiles of an incremental
+    staging) are not read, and if all are, no job runs."""
     from caseflow.operators.quality import CountMismatch
     must_be_zero = dict(must_be_zero or {})
-    prof = informative_columns(df, [c for c in df.columns if c not in keep], must_be_zero)
+    prof = dict(known or {})
+    prof |= informative_columns(df, [c for c in df.columns if c not in keep and c not in prof], must_be_zero)
     bad = {n: prof[n] for n in must_be_zero if prof[n]}
     if bad:
         raise CountMismatch(f"row-count reconciliation failed: {bad}")

@@ -3,7 +3,7 @@ the reference workflow) as one lazy plan plus two cheap profile/check jobs."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +20,16 @@ REQUIRED = ("unique_alien_id", "ben_country_of_birth", "data_source", "ben_gende
 
 
 def clean_cases(staged: DataFrame, codes: DataFrame, form: str = "tps", raw_id: str = "unique_alien_id",
-                keep: Sequence[str] = REQUIRED, check: bool = True) -> DataFrame:
+                keep: Sequence[str] = REQUIRED, check: bool = True,
+                informative: Mapping[str, bool] | None = None) -> DataFrame:
     """Staged rows of one form -> cleaned rows with duplicate flags.
 
     Steps: drop form columns; drop uninformative columns (profile job); flag fully
     empty rows; resolve country codes (left lookup, keys checked in the plan); recode
     gender (and TPS form type); id rename; episodes and duplicate flags; drop empty
     rows; DACA also fills in initial/renewal. ``check`` adds the row-count
-    reconciliation to the profile pass (no extra job).
+    reconciliation to the profile pass (no extra job). ``informative`` holds answers of the profile that are
+    known already, as ``ledger.open_staged`` returns them.
     """
     if form not in ("tps", "daca"):
         raise ValueError(f"form must be 'tps' or 'daca', got {form!r}")
@@ -40,7 +42,7 @@ def clean_cases(staged: DataFrame, codes: DataFrame, form: str = "tps", raw_id:
     if check and form == "daca":
         checks["rows_in_no_branch"] = no_branch_rows(raw_id)
     df = drop_uninformative(df, keep=[*PROVENANCE, *[c for c in keep if c in df.columns]],
-                            must_be_zero=checks)
+                            must_be_zero=checks, known=informative)
     df = flag_empty_rows(df, except_cols=PROVENANCE)
     df = df.withColumnRenamed(raw_id, "unique_identifier")
     # the same rows before the lookup and the flags: totals per person are taken from this narrow scan

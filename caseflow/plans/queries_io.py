@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.columns import FORMS
+from caseflow.columns import FORMS, PROVENANCE, SERIAL_DATE_ORIGIN
 from caseflow.operators.quality import observe_stage
 from caseflow.operators.reshape import clean_names
 from caseflow.plans.bindings import PUBLISHED_DATES, cases, cases_sql, published_wide, published_wide_sql, \
@@ -18,10 +18,12 @@ from caseflow.plans.catalog import register
 from caseflow.plans.clean import clean_cases
 from caseflow.plans.public_facts import public_facts
 from caseflow.session import scratch_folder
+from caseflow.sources.files import file_system
 from caseflow.sources.sinks import write_by_fiscal_year, write_parquet
-from caseflow.sources.staging import open_dataset, read_release, stage_forms
+from caseflow.sources.staging import open_dataset, read_release, released_files, stage_forms
 from caseflow.sources.text import scan_report_lines
 from caseflow.streaming.incremental import incremental_stage, text_schema
+from caseflow.streaming.ledger import open_staged, sync_release
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -147,6 +149,86 @@ def q_csv_row_index(spark, sf_dir):
     return read_release(spark, root, "csv").select("case_number", "row_original")
 
 
+def _csv_parts(df, per_file: int, root: str) -> None:
+    """One CSV file for each ``per_file`` consecutive keys ``_k``, in order of the key; file paths sort by key."""
+    part = F.format_string("%09d", F.floor(F.col("_k") / per_file))
+    (df.withColumn("part", part).repartition("part").sortWithinPartitions("part", "_k").drop("_k")
+       .write.option("header", True).option("escape", '"').partitionBy("part").csv(root))
+
+
+@register("stage_quoted_csv", """SELECT CAST(doc_id AS VARCHAR) AS case_number, text AS notes, lang AS status,
+  row_number() OVER (PARTITION BY doc_id // 400 ORDER BY doc_id) AS row_original FROM documents""")
+def q_stage_quoted_csv(spark, sf_dir):
+    """S1+S6 over CSV with line ends, quotes and commas inside cells: whole texts and row numbers come back."""
+    root = scratch(spark, "quoted")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").cast("string").alias("case_number"), F.col("text").alias("notes"), F.col("lang").alias("status"),
+        F.col("doc_id").alias("_k"))
+    _csv_parts(docs, 400, f"{root}/{_I821}1 redacted.csv")
+    return read_release(spark, root, "csv").select("case_number", "notes", "status", "row_original")
+
+
+@register("stage_mixed_types", """SELECT CAST(o_orderkey AS VARCHAR) AS case_number, CAST(o_orderdate AS DATE) AS rec_date,
+  CAST(1950 + o_custkey % 50 AS INTEGER) AS ben_year_of_birth,
+  CASE WHEN o_orderkey % 4 = 3 THEN o_orderstatus END AS status FROM orders""")
+def q_stage_mixed_types(spark, sf_dir):
+    """S1 over Parquet files that type one column differently (DATE, TIMESTAMP, text, serial number; int,
+    bigint, double, text): all are staged under the types that column names give."""
+    root, k = scratch(spark, "mixed"), F.col("o_orderkey")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day, year = F.col("o_orderdate").cast("date"), F.lit(1950) + F.col("o_custkey") % 50
+    serial = F.datediff(day, F.lit(SERIAL_DATE_ORIGIN).cast("date")).cast("double")
+    layouts = [(k, day, year.cast("int")), (k.cast("string"), day.cast("timestamp_ntz"), year.cast("bigint")),
+               (k, day.cast("string"), year.cast("double")), (k.cast("int"), serial, year.cast("string"))]
+    for i, (number, rec, born) in enumerate(layouts):
+        cols = [number.alias("case_number"), rec.alias("rec_date"), born.alias("ben_year_of_birth")]
+        write_parquet(o.filter(k % 4 == i).select(*cols, *([F.col("o_orderstatus").alias("status")] if i == 3 else [])),
+                      f"{root}/in/{_I821}{i} redacted.parquet")
+    stage_forms(spark, f"{root}/in", f"{root}/out")
+    return open_dataset(spark, f"{root}/out/form_id=i821").select("case_number", "rec_date", "ben_year_of_birth", "status")
+
+
+def _rewrite_in_place(spark, path: str, df) -> None:
+    """Give the CSV file at ``path`` the rows of ``df`` (a few thousand)."""
+    fs, old = file_system(spark, path)
+    new = scratch(spark, "rewritten")
+    _csv_parts(df, 1 << 40, new)
+    _, folder = file_system(spark, f"{new}/part=000000000")
+    made = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".csv"))
+    fs.delete(old, False)
+    fs.rename(made, old)
+
+
+def _staged_in_runs(spark, rows, per_file: int) -> str:
+    """Text ``rows`` (with ``_k``) as a release staged in three runs: the first files, one of them wrong; all files; the
+    wrong one rewritten in place. Returns the folder of the staged data."""
+    root = scratch(spark, "runs")
+    first = F.col("_k") < per_file
+    wrong = rows.filter(first).select(*[F.reverse(c).alias(c) if c != "_k" else F.col(c) for c in rows.columns])
+    release = f"{root}/{_I821}1 redacted"
+    _csv_parts(wrong, per_file, f"{release}/a.csv")
+    sync_release(spark, root, f"{root}/out")
+    _csv_parts(rows.filter(~first), per_file, f"{release}/b.csv")
+    sync_release(spark, root, f"{root}/out")
+    wrong_file = next(r["path"] for r in released_files(spark, root, "csv") if "/a.csv/" in r["path"])
+    _rewrite_in_place(spark, wrong_file, rows.filter(first))
+    done = sync_release(spark, root, f"{root}/out")
+    if len(done.staged) != 1:
+        raise AssertionError(f"one file was rewritten, {len(done.staged)} were staged")
+    return f"{root}/out"
+
+
+@register("incremental_rewrite", """SELECT CAST(o_orderkey AS VARCHAR) AS case_number, o_orderstatus AS status,
+  CAST(o_orderdate AS DATE) AS rec_date,
+  row_number() OVER (PARTITION BY o_orderkey // 20000 ORDER BY o_orderkey) AS row_original FROM orders""")
+def q_incremental_rewrite(spark, sf_dir):
+    """S10 by ledger: a file that is rewritten in place replaces its rows, others are kept as they were staged; row
+    numbers, and types narrowed from the profiles of all files (C8)."""
+    rows = _orders_text(spark, sf_dir).select("case_number", "status", "rec_date", "_k")
+    df, _ = open_staged(spark, _staged_in_runs(spark, rows, 20000), "i821")
+    return df.select("case_number", "status", "rec_date", "row_original")
+
+
 _CLEAN_HEADER = ", ".join(['"Country" AS country'] + [f'"{d}" AS x{d.replace("-", "_")}' for d in PUBLISHED_DATES])
 
 
@@ -189,6 +271,23 @@ def q_incremental_stage(spark, sf_dir):
     return spark.read.parquet(out).select("case_number", "status", "rec_date")
 
 
+def _clean_incremental_sql() -> str:
+    from caseflow.plans.queries_clean import _clean_sql
+    return ("SELECT * EXCLUDE (file_original, row_original) REPLACE (nullif(notes_one, '(b)(6)') AS notes_one) "
+            f"FROM ({_clean_sql('tps')})")
+
+
+@register("clean_tps_incremental", _clean_incremental_sql())
+def q_clean_tps_incremental(spark, sf_dir):
+    """The TPS cleaning plan over records staged in several runs: as over one staging, and P1 is answered by
+    the ledger's profiles."""
+    raw = staged_cases(spark, sf_dir)
+    rows = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns if c not in PROVENANCE],
+                      F.col("row_original").alias("_k"))
+    df, informative = open_staged(spark, _staged_in_runs(spark, rows, 20000), "i821")
+    return clean_cases(df, nation_code_table(spark, sf_dir), form="tps", informative=informative).drop(*PROVENANCE)
+
+
 @register("write_by_fiscal_year", f"""WITH c AS ({cases_sql()}),
 y AS (SELECT CASE WHEN rec_date IS NULL THEN 'TPS FY unknown'
   ELSE 'TPS FY' || CAST(year(rec_date) + CASE WHEN month(rec_date) >= 10 THEN 1 ELSE 0 END AS VARCHAR) END AS sheet FROM c)

@@ -5,8 +5,10 @@ binaries are converted upstream (see README)."""
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,16 +97,23 @@ def open_dataset(spark: SparkSession, path: str, drop: Sequence[str] = ("form_id
     return df.drop(*[c for c in drop if c in df.columns])
 
 
-def form_files(spark: SparkSession, release_dir: str, fmt: str = "parquet",
-               forms: Mapping[str, tuple[str, str]] = FORMS) -> dict[str, dict[str, str]]:
-    """S3: per form, the files below ``release_dir`` with extension ``fmt`` (a ``.bak`` sibling is not
-    read) whose form's prefix starts a segment of their path: scan name -> path. File names only, which
-    any scan lists on the driver."""
+def released_files(spark: SparkSession, release_dir: str, fmt: str = "parquet",
+                   forms: Mapping[str, tuple[str, str]] = FORMS) -> list:
+    """S3: form_id, uri (scan name), path, modified, length of the files below ``release_dir`` with extension
+    ``fmt`` (a ``.bak`` sibling is not read) whose form's prefix starts a segment of their path. File names
+    and times only, which any scan lists on the driver."""
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                   .option("pathGlobFilter", f"*.{fmt}").load(release_dir)
-                  .select("path", F.col("_metadata.file_path").alias("uri")))
+                  .select("path", F.col("_metadata.file_path").alias("uri"), F.col("modificationTime").alias("modified"),
+                          "length"))
+    return route_files(found, forms, "path").select("form_id", "uri", "path", "modified", "length").collect()
+
+
+def form_files(spark: SparkSession, release_dir: str, fmt: str = "parquet",
+               forms: Mapping[str, tuple[str, str]] = FORMS) -> dict[str, dict[str, str]]:
+    """S3: the files of each form: scan name -> path."""
     out: dict[str, dict[str, str]] = {}
-    for r in route_files(found, forms, "path").select("form_id", "uri", "path").collect():
+    for r in released_files(spark, release_dir, fmt, forms):
         out.setdefault(r["form_id"], {})[r["uri"]] = r["path"]
     return {k: dict(sorted(out[k].items())) for k in forms if k in out}
 
@@ -114,60 +123,181 @@ def _literal(paths: Iterable[str]) -> list[str]:
     return [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
 
 
-def _split_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Non-blank lines, their file, the start of their split in it, and an id that follows the order of
-    lines inside one split (it is compared nowhere else)."""
-    return (spark.read.text(_literal(paths)).filter(F.trim("value") != "")
-            .select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("file_original"),
-                    F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")))
+def _split_lines(spark: SparkSession, paths: Iterable[str], line_sep: str | None = None) -> DataFrame:
+    """Lines (without ``line_sep``: non-blank ones), their file, the start of their split in it, and an id that
+    follows the order of lines inside one split (it is compared nowhere else)."""
+    if line_sep is None:
+        lines = spark.read.text(_literal(paths)).filter(F.trim("value") != "")
+    else:
+        lines = spark.read.option("lineSep", line_sep).text(_literal(paths))
+    return lines.select(
+        F.col("value").alias("_line"), F.col("_metadata.file_path").alias("file_original"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+
+
+def _line_rows(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """_line, file_original, _no: non-blank lines numbered from 0 in their file. A line's number is the count
+    of lines in earlier splits of its file plus its place in its own; the counts are one row per split."""
+    rows = _split_lines(spark, paths)
+    earlier = Window.partitionBy("file_original").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (rows.groupBy("file_original", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+                  .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    return (rows.join(splits, ["file_original", "_start"])
+            .select("_line", "file_original", (F.col("_before") + F.col("_at") - F.col("_first")).alias("_no")))
+
+
+def _quotes(c: str) -> Column:
+    return F.length(c) - F.length(F.replace(F.col(c), F.lit('"'), F.lit("")))
+
+
+def _quoted_records(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """_line, file_original, _no: records whose quoted cells may hold line ends, numbered from 0 in their file.
+
+    A line starts a record if the quotes before it in its file are even in number. They are a prefix sum over
+    splits: quotes before the line in its split (a window over one split, sorted by line) plus those of earlier splits
+    (one row per split). Records that begin in a split are counted for both parities it can start with, and the right
+    count is chosen when the parity is known, so the numbers come from the same two steps. Only the lines of records of
+    several lines are then brought together; other lines are records as they are."""
+    inside = Window.partitionBy("file_original", "_start").orderBy("_at")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    lines = (_split_lines(spark, paths, "\n").withColumn("_q", _quotes("_line"))
+             .withColumn("_p", F.coalesce(F.sum("_q").over(before), F.lit(0)) % 2)
+             .withColumn("_text", (F.trim(F.regexp_replace("_line", "\r$", "")) != "").cast("int")))
+    splits = lines.groupBy("file_original", "_start").agg(
+        F.sum("_q").alias("_q"), *[F.sum(F.when(F.col("_p") == p, F.col("_text"))).alias(f"_n{p}") for p in (0, 1)])
+    earlier = Window.partitionBy("file_original").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_g", F.coalesce(F.sum("_q").over(earlier), F.lit(0)) % 2)
+    mine = F.coalesce(F.when(F.col("_g") == 0, F.col("_n0")).otherwise(F.col("_n1")), F.lit(0))
+    splits = splits.select("file_original", "_start", "_g", F.coalesce(F.sum(mine).over(earlier), F.lit(0)).alias("_before"))
+    placed = (lines.join(splits, ["file_original", "_start"])
+              .withColumn("_outside", F.col("_p") == F.col("_g"))
+              .filter(~F.col("_outside") | (F.col("_text") == 1))           # blank lines between records
+              .withColumn("_no", F.col("_before") - 1 + F.sum(F.col("_outside").cast("int")).over(
+                  inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    alone = F.col("_outside") & (F.col("_q") % 2 == 0)
+    whole = placed.filter(alone).select("_line", "file_original", "_no")
+    parts = F.array_sort(F.collect_list(F.when(~alone, F.struct("_start", "_at", "_line"))))
+    joined = (placed.filter(~alone).groupBy("file_original", "_no").agg(parts.alias("_parts"))
+              .select(F.array_join(F.col("_parts._line"), "\n").alias("_line"), "file_original", "_no"))
+    return whole.unionByName(joined).withColumn("_line", F.regexp_replace("_line", "\r$", ""))
+
+
+def csv_headers(spark: SparkSession, files: Mapping[str, str]) -> dict[str, tuple[bool, str]]:
+    """Scan name -> (quoted cells hold line ends, header) of CSV files: one aggregate, one row per file. A file
+    whose quotes are odd in number as a whole has a stray one and is taken line by line."""
+    quotes = _quotes("_line")
+    kinds = (_split_lines(spark, files.values()).groupBy("file_original")
+             .agg(F.max(quotes % 2).alias("odd"), (F.sum(quotes) % 2).alias("stray"),
+                  F.min_by("_line", F.when(F.col("_start") == 0, F.col("_at"))).alias("header")))
+    out = {r["file_original"]: (bool(r["odd"] and not r["stray"]), r["header"]) for r in kinds.collect()}
+    several = sorted(u for u, (quoted, _) in out.items() if quoted)
+    if several:
+        first = _quoted_records(spark, [files[u] for u in several]).filter("_no = 0").collect()
+        out |= {r["file_original"]: (True, r["_line"]) for r in first}
+    return out
+
+
+def header_names(header: str) -> list[str]:
+    names = [c.strip() for c in next(csv.reader(io.StringIO(header.lstrip("\ufeff"))))]
+    if "" in names or len({c.lower() for c in names}) < len(names):
+        raise ValueError(f"a header repeats a column or leaves one without a name: {header!r}")
+    return names
 
 
-def read_csv_files(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
+def read_csv_files(spark: SparkSession, files: Mapping[str, str],
+                   headers: Mapping[str, tuple[bool, str]] | None = None) -> DataFrame:
     """S1/S4 for CSV exports: each of ``files`` (scan name -> path) is read under its own header and
     columns are bound by name (NULL where a file lacks one), all text, with ``file_original`` and the
     1-based data row of the file in ``row_original``.
 
-    One aggregate takes the headers (one row per file). A row's number is the count of lines in earlier
-    splits of its file plus its place in its own, so it does not depend on where files are split; the
-    counts are one row per split. Blank lines are not rows; a quoted cell must not hold a line end."""
-    lines = _split_lines(spark, files.values())
-    first = lines.filter(F.col("_start") == 0).groupBy("file_original").agg(F.min_by("_line", "_at").alias("header"))
-    by_header: dict[str, list[str]] = {}
-    for r in first.collect():
-        by_header.setdefault(r["header"], []).append(r["file_original"])
+    ``headers`` are those of ``csv_headers``. Where no line of a file has an odd number of quotes, a record is a
+    line (``_line_rows``); in other files quoted cells hold line ends (``_quoted_records``). Either way files are read
+    in parallel splits, and rows and numbers do not depend on where they are cut. Quotes inside a quoted
+    cell are doubled. Blank lines between records are not rows."""
+    by_header: dict[tuple[bool, str], list[str]] = {}
+    for uri, kind in (headers if headers is not None else csv_headers(spark, files)).items():
+        by_header.setdefault(kind, []).append(uri)
     parts = []
-    for header, own in sorted(by_header.items()):
-        names = [c.strip() for c in next(csv.reader([header.lstrip("﻿")]))]
-        if "" in names or len({c.lower() for c in names}) < len(names):
-            raise ValueError(f"a header repeats a column or leaves one without a name: {header!r}")
-        rows = _split_lines(spark, [files[u] for u in sorted(own)])
-        earlier = Window.partitionBy("file_original").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-        splits = (rows.groupBy("file_original", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-                      .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    for (quoted, header), own in sorted(by_header.items()):
+        names = header_names(header)
+        rows = (_quoted_records if quoted else _line_rows)(spark, [files[u] for u in sorted(own)])
         schema = ", ".join(f"`{c.replace('`', '``')}` STRING" for c in names)
-        parts.append(rows.join(splits, ["file_original", "_start"])
-                         .withColumn("row_original", F.col("_before") + F.col("_at") - F.col("_first"))
-                         .filter(F.col("row_original") > 0)          # line 0 is the header
-                         .select(F.from_csv("_line", schema).alias("_r"), "file_original", "row_original")
+        parts.append(rows.filter(F.col("_no") > 0)                    # record 0 is the header
+                         .select(F.from_csv("_line", schema, {"escape": '"'}).alias("_r"), "file_original",
+                                 F.col("_no").alias("row_original"))
                          .select("_r.*", "file_original", "row_original"))
     if not parts:
         raise ValueError(f"no file has a header: {sorted(files)}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def schema_groups(spark: SparkSession, paths: Sequence[str]) -> list[list[str]]:
+    """``paths`` (Parquet) in groups whose files agree on the type of every column they share.
+
+    A group's footers are read and merged by one Spark job. Files that don't merge are halved until they do,
+    and a piece then joins the first group that it merges with: a few jobs for every disagreement, none per file."""
+    def merged(part: Sequence[str]):
+        try:
+            return spark.read.option("mergeSchema", "true").parquet(*_literal(part)).schema
+        except Exception as e:  # noqa: BLE001 -- a Java error without a class of its own
+            if "CANNOT_MERGE_SCHEMAS" not in str(e) and "Failed merging schema" not in str(e):
+                raise
+            return None
+
+    def pieces(part: Sequence[str]) -> list:
+        schema = merged(part)
+        if schema is not None or len(part) == 1:
+            return [(list(part), schema)]
+        return pieces(part[:len(part) // 2]) + pieces(part[len(part) // 2:])
+
+    groups: list[tuple[list[str], dict]] = []
+    for part, schema in pieces(sorted(paths)):
+        types = {f.name.lower(): f.dataType for f in (schema.fields if schema is not None else ())}
+        for own, known in groups:
+            if all(known.get(c, t) == t for c, t in types.items()):
+                own += part
+                known.update(types)
+                break
+        else:
+            groups.append((part, types))
+    return [own for own, _ in groups]
+
+
+def read_parquet_files(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
+    """S1/S4 for Parquet files, columns bound by name, with provenance. Where files give one column different types
+    (a DATE here, a TIMESTAMP or text there), each group of agreeing files is read under its own schema and all cells
+    become text, which ``stage_typed`` then types by column name."""
+    groups = schema_groups(spark, list(files.values()))
+    parts = [with_provenance(spark.read.option("mergeSchema", "true").parquet(*_literal(g))) for g in groups]
+    if len(parts) == 1:
+        return parts[0]
+    parts = [p.select(*[F.col(c) if c in PROVENANCE else F.col(c).cast("string").alias(c) for c in p.columns]) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_files(spark: SparkSession, files: Mapping[str, str], fmt: str) -> DataFrame:
+    """The raw rows of ``files`` (scan name -> path) of one form, with provenance."""
+    return read_csv_files(spark, files) if fmt == "csv" else read_parquet_files(spark, files)
+
+
+def read_files_with_columns(spark: SparkSession, files: Mapping[str, str], fmt: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """(rows as ``read_files`` gives them, each file's own columns)."""
+    if fmt == "csv":
+        headers = csv_headers(spark, files)
+        return read_csv_files(spark, files, headers), {u: header_names(h) for u, (_, h) in headers.items()}
+    with ThreadPoolExecutor(16) as pool:                              # one footer each
+        columns = pool.map(lambda p: spark.read.parquet(*_literal([p])).columns, files.values())
+    return read_parquet_files(spark, files), dict(zip(files, columns))
+
+
 def read_forms(spark: SparkSession, release_dir: str, fmt: str = "parquet",
                forms: Mapping[str, tuple[str, str]] = FORMS) -> dict[str, DataFrame]:
     """S3+S4: the raw rows of each form in a release, with provenance. Files of one form may differ in
-    their columns and in the order of these: columns are bound by name, and one missing from a file is NULL
-    there. Parquet files that give one column different types raise."""
+    their columns, in the order of these and in their types: columns are bound by name, and one missing from
+    a file is NULL there."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
-    out = {}
-    for form_id, files in form_files(spark, release_dir, fmt, forms).items():
-        if fmt == "parquet":
-            out[form_id] = with_provenance(spark.read.option("mergeSchema", "true").parquet(*_literal(files.values())))
-        else:
-            out[form_id] = read_csv_files(spark, files)
+    out = {form_id: read_files(spark, files, fmt) for form_id, files in form_files(spark, release_dir, fmt, forms).items()}
     if not out:
         raise FileNotFoundError(f"no {fmt} file of a known form below {release_dir}")
     return out
