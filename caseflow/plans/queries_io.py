@@ -10,16 +10,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.columns import FORMS, PROVENANCE, SERIAL_DATE_ORIGIN
-from caseflow.operators.quality import observe_stage
+from caseflow.operators.quality import ChangeLog, observe_stage
 from caseflow.operators.reshape import clean_names
 from caseflow.plans.bindings import PUBLISHED_DATES, cases, cases_sql, published_wide, published_wide_sql, \
-    report_facts_sql, report_lines, staged_cases, nation_code_table
+    report_facts_sql, report_lines, staged_cases, staged_cases_sql, nation_code_table
 from caseflow.plans.catalog import register
 from caseflow.plans.clean import clean_cases
 from caseflow.plans.public_facts import public_facts
 from caseflow.session import scratch_folder
 from caseflow.sources.files import file_system
-from caseflow.sources.sinks import write_by_fiscal_year, write_parquet
+from caseflow.sources.sinks import publish, read_ordered, write_by_fiscal_year, write_ordered, write_parquet
 from caseflow.sources.staging import open_dataset, read_release, released_files, stage_forms
 from caseflow.sources.text import scan_report_lines
 from caseflow.streaming.incremental import incremental_stage, text_schema
@@ -310,3 +310,36 @@ def q_stage_metrics(spark, sf_dir):
     write_parquet(cleaned, scratch(spark, "cleaned"))
     rows = [("staged", o_in.get["rows"]), ("cleaned", o_out.get["rows"])]
     return spark.createDataFrame(rows, "stage string, n_rows long")
+
+
+def _change_log_sql() -> str:
+    from caseflow.plans.queries_clean import _REDACTED
+    steps = [("staged", "", ""), ("drop_uninformative", "", "notes_blank, notes_redacted"), ("flag_empty_rows", "row_redacted", ""),
+             ("rename", "unique_identifier", "unique_alien_id"), ("resolve_country", "", ""), ("recode_values", "", ""),
+             ("flag_duplicates", "duplicate_drop_row, duplicate_identifier, duplicate_last, duplicate_likely", ""),
+             ("drop_empty_rows", "", "row_redacted")]
+    values = ", ".join(f"({i}, '{v}', '{a}', '{d}')" for i, (v, a, d) in enumerate(steps))
+    return f"""WITH s AS ({staged_cases_sql()}), n AS (SELECT count(*) AS n, count(*) FILTER (WHERE {_REDACTED}) AS e FROM s)
+SELECT step, verb, n.n AS rows_in, n.n - CASE WHEN verb = 'drop_empty_rows' THEN n.e ELSE 0 END AS rows_out, added, dropped,
+  '' AS retyped FROM (VALUES {values}) v(step, verb, added, dropped), n"""
+
+
+@register("change_log", _change_log_sql())
+def q_change_log(spark, sf_dir):
+    """Q2 per verb, Q1: rows and columns before and after every verb of the TPS cleaning plan, from the one audited
+    write that publishes it."""
+    log = ChangeLog()
+    df = clean_cases(staged_cases(spark, sf_dir), nation_code_table(spark, sf_dir), form="tps", check=False, log=log)
+    publish(df, scratch(spark, "published"), log)
+    return log.frame(spark)
+
+
+@register("write_ordered", f"""WITH c AS ({cases_sql()})
+SELECT row_original, row_number() OVER (ORDER BY data_source, rec_date NULLS LAST, file_original, row_original) - 1 AS position
+FROM c""")
+def q_write_ordered(spark, sf_dir):
+    """O1+S8: rows written in an order whose first key has two values, read back with their places in it."""
+    path = scratch(spark, "ordered-sink")
+    write_ordered(cases(spark, sf_dir), path, [F.col("data_source"), F.col("rec_date").asc_nulls_last(),
+                                               F.col("file_original"), F.col("row_original")])
+    return read_ordered(spark, path).select("row_original", "position")

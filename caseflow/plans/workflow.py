@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from caseflow.columns import FORMS
 from caseflow.operators.lookup import country_code_table
 from caseflow.operators.panel import lump_other, panel_vs_published
+from caseflow.operators.quality import ChangeLog
 from caseflow.plans import person_panel as PP
-from caseflow.plans.clean import clean_cases
+from caseflow.plans.clean import clean_cases, output_order
 from caseflow.plans.public_facts import public_facts
-from caseflow.sources.sinks import write_by_fiscal_year, write_parquet
+from caseflow.sources.sinks import publish, write_by_fiscal_year, write_parquet
 from caseflow.sources.staging import open_dataset, stage_forms
 from caseflow.sources.text import scan_report_lines
 
@@ -35,16 +36,19 @@ def stage(spark: SparkSession, release_dir: str, staging_dir: str, fmt: str = "p
 
 
 def clean(spark: SparkSession, staging_dir: str, form_id: str, codes_csv: str, out_dir: str) -> list[str]:
-    """One form's staged records -> ``<out_dir>/<form>-latest`` (zstd Parquet) and
-    ``<out_dir>/<form>-latest-by-fy`` (one unit per fiscal year); returns unit names."""
+    """One form's staged records -> ``<out_dir>/<form>-latest`` (zstd Parquet in the order of
+    ``output_order``, published only if no row was lost) and ``<out_dir>/<form>-latest-by-fy`` (one unit per fiscal
+    year); returns unit names. The change log goes to ``<out_dir>/<form>-changes``."""
     if form_id not in FORMS:
         raise ValueError(f"unknown form {form_id!r}; known: {sorted(FORMS)}")
     form = FORM_OF[form_id]
+    log = ChangeLog()
     cleaned = clean_cases(open_dataset(spark, f"{staging_dir}/form_id={form_id}"),
-                          country_code_table(spark, codes_csv), form=form)
+                          country_code_table(spark, codes_csv), form=form, check=False, log=log)
     latest = f"{out_dir}/{form}-latest"
-    write_parquet(cleaned, latest)
-    return write_by_fiscal_year(spark.read.parquet(latest), f"{out_dir}/{form}-latest-by-fy",
+    publish(cleaned, latest, log, output_order(form))
+    write_parquet(log.frame(spark), f"{out_dir}/{form}-changes")
+    return write_by_fiscal_year(spark.read.parquet(latest).select(*cleaned.columns), f"{out_dir}/{form}-latest-by-fy",
                                 label=UNIT_LABEL[form_id])
 
 

@@ -1,15 +1,19 @@
-"""Sinks (S8, S9): zstd Parquet and fiscal-year output units."""
+"""Sinks (S8, S9, O1, Q1): zstd Parquet, ordered and audited outputs, fiscal-year output units."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.columns import MAX_ROWS_PER_UNIT, PROVENANCE
 from caseflow.functions.dates import fiscal_year
+from caseflow.operators.ordered import in_blocks, positions
+from caseflow.operators.quality import ChangeLog
 from caseflow.operators.ranking import row_number_within
+from caseflow.sources.files import file_system, replace_folder
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
@@ -21,6 +25,39 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, by: Sequence[Column]) -> None:
+    """O1+S8: ``df`` in the order of ``by``: files of sorted ranges, each row with its range and its place in
+    it. ``read_ordered`` gives the order back, however files are listed or split. End ``by`` with the provenance,
+    so that a hot key is cut into several ranges and the order is total."""
+    write_parquet(in_blocks(df, by), path)
+
+
+def read_ordered(spark, path: str, position: str = "position") -> DataFrame:
+    """What ``write_ordered`` wrote, with each row's ``position`` (from 0) over all files: one aggregate of
+    one row per range, no sort."""
+    return positions(spark.read.parquet(path), position)
+
+
+def publish(df: DataFrame, path: str, log: ChangeLog, order_by: Sequence[Column] = ()) -> None:
+    """Q1, write-audit-publish: write ``df`` beside ``path`` under a temporary name, compare the row counts that ``log``
+    observed during this one write (``ChangeLog.reconcile``), and only then give the output its name. If rows were lost or
+    added, or the write fails, nothing is left behind and an earlier output stays as it was. ``order_by`` sorts the
+    audited output (``write_ordered``)."""
+    spark = df.sparkSession
+    pending = [f"{path.rstrip('/')}-pending-{uuid.uuid4().hex}"]
+    try:
+        write_parquet(df, pending[0])
+        log.reconcile(spark.read.parquet(pending[0]).count())              # footers only
+        if order_by:
+            pending.append(f"{pending[0]}-ordered")
+            write_ordered(spark.read.parquet(pending[0]), pending[1], order_by)
+        replace_folder(spark, pending[-1], path)
+    finally:
+        for p in pending:
+            fs, left = file_system(spark, p)
+            fs.delete(left, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage at a point several branches read: write ``df`` once as zstd Parquet
     into the cluster's shared ``spark.checkpoint.dir`` (a new folder per call) and
