@@ -62,8 +62,3 @@ def quarter_sequence(bounds: DataFrame, start_col: str = "start", end_col: str =
     d = add_months_rolling(F.col(start_col), F.col("_i") * step_months)
     return (steps.select(d.alias(out), F.col(end_col))
                  .filter(F.col(out) <= F.col(end_col)).select(out))
-
-
-def date_list(spark: SparkSession, dates, out: str = "report_date") -> DataFrame:
-    """A one-column DATE frame from ISO strings."""
-    return spark.createDataFrame([(d,) for d in dates], [out]).select(F.col(out).cast("date").alias(out))

@@ -40,8 +40,8 @@ def redaction_flag(c) -> Column:
     return F.coalesce(_c(c).rlike(REDACTION_REGEX), F.lit(False))
 
 
-# blank or exactly "NA" once whitespace is squished; or a redaction code anywhere
-_UNINFORMATIVE = r"^[\t\n\f\r\p{Z}]*(?:NA)?[\t\n\f\r\p{Z}]*$|(?i:\(b\)|b\([0-9]\))"
+# blank or exactly "NA" once whitespace is squished; or a redaction code anywhere (its flag ends with the pattern)
+_UNINFORMATIVE = r"^[\t\n\f\r\p{Z}]*(?:NA)?[\t\n\f\r\p{Z}]*$|" + REDACTION_REGEX
 
 
 def is_informative(c) -> Column:

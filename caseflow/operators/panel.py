@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.columns import APPROVED, OTHER_COUNTRIES, PROVENANCE, THRESHOLDS
+from caseflow.functions.dates import days_before
 from caseflow.operators.episodes import order_key
+from caseflow.operators.reshape import columns_of, each
 
 PERSON_ORDER = ("rec_date", "decision_date")
 MEASURES = tuple(name for name, _ in THRESHOLDS)
@@ -89,7 +91,7 @@ def within_counts(per_person: DataFrame, as_of, group_cols: Sequence[str],
     before ``as_of`` (``as_of - n <= latest``, inclusive; NULL never counts)."""
     as_of = F.col(as_of) if isinstance(as_of, str) and as_of in per_person.columns else (
         F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of)
-    aggs = [F.count_if(F.date_sub(as_of, n) <= F.col(latest_col)).alias(name) for name, n in thresholds]
+    aggs = [F.count_if(days_before(as_of, n) <= F.col(latest_col)).alias(name) for name, n in thresholds]
     return per_person.groupBy(*group_cols).agg(*aggs)
 
 
@@ -120,12 +122,6 @@ def _events(df: DataFrame, id_col, country_col, decision_col, date_col, provenan
                       _approved(decision_col).alias("_appr"), _person_key(provenance).alias("_k")))
 
 
-def snapshot_dates(dates: DataFrame) -> DataFrame:
-    """The distinct snapshot dates, sent to every task: DATE values, so the calendar bounds their
-    number (a century of daily snapshots is 36,525 rows of 4 bytes)."""
-    return F.broadcast(dates.select(F.col(dates.columns[0]).cast("date")).distinct())
-
-
 def snapshot_calendar(dates: DataFrame) -> Column:
     """The sorted snapshot dates ``at`` and, for each day from the first of them to the last, the 1-based
     place ``place`` of the first one on or after it: one value (a scalar subquery) of a size that the
@@ -152,13 +148,19 @@ def dates_between(calendar: Column, start: Column, end: Column) -> Column:
     return F.slice(at, place_of(start), F.greatest(stop - place_of(start), F.lit(0)))
 
 
+def with_dates_between(df: DataFrame, dates: DataFrame, start: Column, end: Column, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` of each row, once for every snapshot date in [start, end). The calendar is bound by one
+    projection, so the plan holds its subquery once."""
+    bound = df.select("*", snapshot_calendar(dates).alias("_calendar"))
+    return bound.select(*keep, F.explode(dates_between(F.col("_calendar"), start, end)).alias(dates.columns[0]))
+
+
 def snapshot_join(df: DataFrame, dates: DataFrame, date_col: str = "decision_date") -> DataFrame:
     """Every row paired with each snapshot date on or after its decision date
-    (NULL dates never pair). ``dates`` are broadcast (the calendar bounds them), so the
-    join never shuffles the rows."""
-    v = dates.columns[0]
-    d = snapshot_dates(dates)
-    return df.join(d, F.col(date_col) <= d[v], "inner")
+    (NULL dates never pair). The dates are a slice of the sorted calendar, so rows are neither shuffled
+    nor compared with dates that they don't pair with."""
+    decided = df.filter(F.col(date_col).isNotNull())
+    return with_dates_between(decided, dates, F.col(date_col), F.lit(None).cast("date"), df.columns)
 
 
 def _day_states(ev: DataFrame, id_col: str, country_col: str, date_col: str, mode: str) -> DataFrame:
@@ -191,9 +193,8 @@ def asof_state(df: DataFrame, dates: DataFrame, id_col: str = "unique_identifier
     country of the first such row, latest decision date, ever approved."""
     states = _day_states(_events(df, id_col, country_col, decision_col, date_col, provenance),
                          id_col, country_col, date_col, mode)
-    at = dates_between(snapshot_calendar(dates), F.col("_from"), F.col("_to"))
-    return states.select(*[c for c in states.columns if c not in ("_from", "_to")],
-                         F.explode(at).alias(dates.columns[0]))
+    rest = [c for c in states.columns if c not in ("_from", "_to")]
+    return with_dates_between(states, dates, F.col("_from"), F.col("_to"), rest)
 
 
 def _panel_explode(ev: DataFrame, dates: DataFrame, id_col, country_col, date_col, mode, thresholds):
@@ -235,9 +236,9 @@ def _panel_sweep(ev: DataFrame, dates: DataFrame, id_col, country_col, date_col,
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = days.select(F.col(country_col), F.col("t"), F.lead("t").over(w).alias("_next"),
                        *[F.coalesce(F.sum(name).over(run), F.lit(0)).cast("long").alias(name) for name in names])
-    at = dates_between(snapshot_calendar(dates), F.col("t"), F.col("_next"))
-    return (held.filter(F.col("_present") > 0)
-                .select(country_col, F.explode(at).alias(v), *[name for name, _ in thresholds]))
+    panel = with_dates_between(held.filter(F.col("_present") > 0), dates, F.col("t"), F.col("_next"),
+                               [country_col, *[name for name, _ in thresholds]])
+    return panel.select(country_col, v, *[name for name, _ in thresholds])
 
 
 def snapshot_panel(df: DataFrame, dates: DataFrame, id_col: str = "unique_identifier",
@@ -263,16 +264,14 @@ def lump_other(panel: DataFrame, keep: DataFrame, country_col: str = "ben_countr
     integer measure is re-summed (NULLs ignored). ``measures`` defaults to all
     integral columns that are not keys, chosen from the schema."""
     if measures is None:
-        keys = {country_col, *group_cols}
-        measures = [f.name for f in panel.schema.fields
-                    if f.name not in keys and isinstance(f.dataType, (T.IntegerType, T.LongType,
-                                                                      T.ShortType, T.ByteType))]
+        measures = columns_of(panel, T.IntegerType, T.LongType, T.ShortType, T.ByteType,
+                              but=[country_col, *group_cols])
     k = keep.select(F.col(keep.columns[0]).alias("_keep")).filter(F.col("_keep").isNotNull()).distinct()
     j = panel.join(k, panel[country_col] == k["_keep"], "left")
     country = F.when(F.col("_keep").isNotNull(), F.col(country_col)).otherwise(F.lit(other))
     return (j.withColumn(out_col, country)
              .groupBy(out_col, *group_cols)
-             .agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in measures]))
+             .agg(*each(measures, lambda m: F.coalesce(F.sum(m), F.lit(0)).cast("long"))))
 
 
 def person_profile(df: DataFrame, cols: Sequence[str], id_col: str = "unique_identifier",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,25 @@ def informative_columns(df: DataFrame, cols: Sequence[str] | None = None,
     return out
 
 
+def footer_profile(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> dict[str, bool]:
+    """What the footers of Parquet files decide of P1 without reading data: a column without a value is not
+    informative, one of another type than text with a value is. Text columns with values are left out (their cells have
+    to be read). The files are of one schema, as a staging step writes them. Counts are aggregates pushed into the scan, in a session of their own whose Parquet source can do that."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.sources.useV1SourceList", "")
+    s.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    plain = [f.name for f in schema.fields if isinstance(f.dataType, T.AtomicType)]
+    counts = footer_counts(s, paths, schema, plain).first() if plain else []
+    text = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
+    return {c: bool(n) for c, n in zip(plain, counts) if not n or c not in text}      # no footer at all: NULL
+
+
+def footer_counts(s: SparkSession, paths: str | Sequence[str], schema: T.StructType, cols: Sequence[str]) -> DataFrame:
+    """One row: how many values each column has."""
+    df = s.read.schema(schema).option("recursiveFileLookup", "true").parquet(*([paths] if isinstance(paths, str) else paths))
+    return df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(cols)])
+
+
 def drop_uninformative(df: DataFrame, keep: Sequence[str] = (),
                        must_be_zero: Mapping[str, Column] | None = None,
                        known: Mapping[str, bool] | None = None) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Sort, stack and unpivot (O1, O2, U1-U4) plus header normalisation."""
+"""Sort, stack and unpivot (O1, O2, U1-U4), many columns at once (P6), header normalisation."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,25 @@ def unpivot_compound(df: DataFrame, ids: Sequence[str], sep: str = ".",
     return long.select(*ids, parts[0].alias(names[0]), parts[1].alias(names[1]), F.col(value_col))
 
 
+def columns_of(df: DataFrame, *types: type, but: Sequence[str] = ()) -> list[str]:
+    """The columns of ``df`` whose type is one of ``types``, in order."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, types) and f.name not in but]
+
+
+def each(cols: Sequence[str], fn: Callable[[str], Column], names: str = "{}") -> list[Column]:
+    """``fn`` of every column, under its name (or one made from it)."""
+    return [fn(c).alias(names.format(c)) for c in cols]
+
+
+def across(df: DataFrame, cols: Sequence[str], fn: Callable[[str], Column], names: str = "{}") -> DataFrame:
+    """One expression over many columns: each of ``cols`` that ``df`` has becomes ``fn(column)`` in its place, or
+    with ``names`` other than ``{}`` gets a new column beside the old ones."""
+    mine = [c for c in df.columns if c in set(cols)]
+    if names != "{}":
+        return df.select("*", *each(mine, fn, names))
+    return df.select(*[fn(c).alias(c) if c in set(mine) else F.col(c) for c in df.columns])
+
+
 def explode_list(df: DataFrame, list_col: str, out: str | None = None) -> DataFrame:
     """U4: one row per element of an array column (rows with empty lists vanish)."""
     return df.withColumn(out or list_col, F.explode(F.col(list_col)))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.columns import TPS_FORM_TYPE_LABELS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from caseflow.sources.staging import scan_parquet
@@ -93,8 +95,7 @@ GROUP BY o_orderpriority"""
 
 
 MOJIBAKE_IVORY = "Côte d'Ivoire".encode("utf-8").decode("latin-1")   # "CÃ´te d'Ivoire"
-TPS_FORM_LONG = ("This is my annual registration/re-registration application",
-                 "This is my first application")
+TPS_FORM_LONG = tuple(TPS_FORM_TYPE_LABELS)                          # re-registration, first application
 
 
 def _q(s: str) -> str:

@@ -14,7 +14,7 @@ from caseflow.functions.text import recode_values, resolve_country
 from caseflow.operators.episodes import (flag_duplicates, initial_renewal, no_branch_rows,
                                           running_approvals, surrogate_key)
 from caseflow.operators.lookup import lookup_left
-from caseflow.operators.profile import drop_uninformative, flag_empty_rows
+from caseflow.operators.profile import drop_uninformative, flag_empty_rows, footer_profile
 from caseflow.operators.quality import count_checks
 from caseflow.plans.bindings import (MOJIBAKE_IVORY, TPS_FORM_LONG, _q, cases, cases_sql,
                                      nation_code_table, nation_code_table_sql, staged_cases,
@@ -215,6 +215,16 @@ def q_drop_uninformative(spark, sf_dir):
     return drop_uninformative(staged_cases(spark, sf_dir), keep=PROVENANCE)
 
 
+@register("footer_profile", f"""WITH s AS ({staged_cases_sql()})
+SELECT {", ".join(_KEPT)}, file_original, row_original FROM s""")
+def q_footer_profile(spark, sf_dir):
+    """P1 by metadata: Parquet footers decide columns without values and those of other types than text; the data
+    scan of the profile reads the others only."""
+    df = _staged_on_disk(spark, sf_dir)
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    return drop_uninformative(df, keep=PROVENANCE, known=footer_profile(spark, path, df.schema))
+
+
 @register("flag_empty_rows", f"""WITH s AS ({staged_cases_sql()})
 SELECT row_original, {_REDACTED} AS row_redacted FROM s""")
 def q_flag_empty_rows(spark, sf_dir):

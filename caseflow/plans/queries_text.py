@@ -11,7 +11,7 @@ from caseflow.functions.dates import serial_to_date
 from caseflow.functions.reports import fiscal_year_from_name, grid_data_rows, parse_report_line, quarter_from_period
 from caseflow.functions.text import redaction_flag, repair_mojibake, squish, suppressed_value, suppression_code, to_int
 from caseflow.operators.profile import narrow_datetime, profile_all
-from caseflow.operators.reshape import sort_nulls_last, union_by_name, unpivot_compound
+from caseflow.operators.reshape import across, columns_of, explode_list, sort_nulls_last, union_by_name, unpivot_compound
 from caseflow.plans.bindings import (cases, cases_sql, report_facts_sql, report_grid, report_lines,
                                      table)
 from caseflow.plans.catalog import register
@@ -201,15 +201,15 @@ SELECT row_original, upper(unique_identifier) AS unique_identifier, upper(decisi
 def q_across_typed(spark, sf_dir):
     """One expression over every column of a type (text upper-cased, dates +1 day)."""
     c = cases(spark, sf_dir)
-    out = []
-    for f in c.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            out.append(F.upper(f.name).alias(f.name))
-        elif isinstance(f.dataType, T.DateType):
-            out.append(F.date_add(f.name, 1).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return c.select(*out)
+    c = across(c, columns_of(c, T.StringType), F.upper)
+    return across(c, columns_of(c, T.DateType), lambda d: F.date_add(d, 1))
+
+
+@register("explode_list", """SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL""")
+def q_explode_list(spark, sf_dir):
+    """U4: one row per element of a list column (the lines of a text)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    return explode_list(docs, "lines", "line").select("doc_id", "line")
 
 
 @register("filter_multi", f"""WITH c AS ({cases_sql()})

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from caseflow.columns import FORMS
 from caseflow.operators.lookup import country_code_table
 from caseflow.operators.panel import lump_other, panel_vs_published
+from caseflow.operators.profile import footer_profile
 from caseflow.operators.quality import ChangeLog
 from caseflow.plans import person_panel as PP
 from caseflow.plans.clean import clean_cases, output_order
@@ -42,9 +43,10 @@ def clean(spark: SparkSession, staging_dir: str, form_id: str, codes_csv: str, o
     if form_id not in FORMS:
         raise ValueError(f"unknown form {form_id!r}; known: {sorted(FORMS)}")
     form = FORM_OF[form_id]
-    log = ChangeLog()
-    cleaned = clean_cases(open_dataset(spark, f"{staging_dir}/form_id={form_id}"),
-                          country_code_table(spark, codes_csv), form=form, check=False, log=log)
+    log, source = ChangeLog(), f"{staging_dir}/form_id={form_id}"
+    staged = open_dataset(spark, source)
+    cleaned = clean_cases(staged, country_code_table(spark, codes_csv), form=form, check=False, log=log,
+                          informative=footer_profile(spark, source, staged.schema))
     latest = f"{out_dir}/{form}-latest"
     publish(cleaned, latest, log, output_order(form))
     write_parquet(log.frame(spark), f"{out_dir}/{form}-changes")

@@ -18,6 +18,7 @@ from caseflow.columns import DATE_COLS, FORMS, NULL_MARKERS, PROVENANCE, SERIAL_
 from caseflow.functions.dates import serial_number
 from caseflow.functions.text import to_int
 from caseflow.operators.profile import narrow_datetime
+from caseflow.operators.reshape import across
 
 
 def null_markers(c, markers: Sequence[str] = NULL_MARKERS) -> Column:
@@ -45,19 +46,10 @@ def stage_typed(df: DataFrame, date_cols: Sequence[str] = DATE_COLS, year_cols:
     TIMESTAMP (then DATE when the whole dataset is at midnight), year columns -> int
     (truncated), everything else text; marker and blank cells -> NULL. Columns in
     ``keep`` (provenance) pass through unchanged."""
-    out = []
-    for c in df.columns:
-        if c in keep:
-            out.append(F.col(c))
-            continue
-        v = null_markers(F.col(c).cast("string"), markers)
-        if c in date_cols:
-            v = parse_datetime(v)
-        elif c in year_cols:
-            v = to_int(v)
-        out.append(v.alias(c))
-    typed = df.select(*out)
+    typed = across(df, [c for c in df.columns if c not in keep], lambda c: null_markers(F.col(c).cast("string"), markers))
     present = [c for c in date_cols if c in typed.columns and c not in keep]
+    typed = across(typed, present, parse_datetime)
+    typed = across(typed, [c for c in year_cols if c not in keep], to_int)
     return narrow_datetime(typed, present) if narrow and present else typed
 
 
