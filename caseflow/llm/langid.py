@@ -201,23 +201,26 @@ def train(rows: list[tuple[str, str]], bits: int = 16, dim: int = 12, epochs: in
     return model
 
 
-def labelled_sample(df: DataFrame, label: str, learn: Column, per_class: int, window: int,
-                    max_classes: int = 200) -> list[tuple[str, str]]:
-    """At most about ``per_class`` labelled rows of each of the ``max_classes`` most frequent labels,
-    chosen by a hash of the id, each a window of at most ``window`` characters at a hashed place."""
-    rows = df.filter(learn & F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = (rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "label").limit(max_classes).collect())
+def labelled_sample(df: DataFrame, label: str, learn: Column, per_class: int, window: int) -> list[tuple[str, str]]:
+    """About ``per_class`` labelled rows of every label, each a window of at most ``window`` characters.
+
+    Row and window are chosen by a hash of id and text, so an id that many texts share is drawn like
+    others, and copies of a row with its id count once. The order of the hash cuts the sample at twice the size, which
+    it does not reach but by chance; it is the same in every run."""
+    rows = df.filter(learn & F.col(label).isNotNull() & F.col("text").isNotNull()).select(
+        "doc_id", "text", F.col(label).cast("string").alias("label"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).collect()      # every label has its column in the model
     if not counts:
         return []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, per_class / r["n"])))])
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.greatest(F.length("text") - window + 1, F.lit(1))) + 1
-    got = (rows.filter(dice < F.element_at(share, F.col(label).cast("string")))
-           .select("doc_id", F.substring("text", place.cast("int"), F.lit(window)).alias("text"),
-                   F.col(label).cast("string").alias("label"))
-           .limit(2 * per_class * len(counts)).collect())
-    return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: (r["doc_id"] or 0, r["text"], r["label"]))]
+    shares = df.sparkSession.createDataFrame([(r["label"], float(per_class << 52) / r["n"]) for r in counts], "label string, _most double")
+
+    def dice(seed: int) -> Column:
+        return F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52))
+    place = dice(29) % F.greatest(F.length("text") - window + 1, F.lit(1)) + 1
+    drawn = rows.withColumn("_dice", dice(17)).join(F.broadcast(shares), "label").filter(F.col("_dice") < F.col("_most"))
+    got = (drawn.select("_dice", F.substring("text", place.cast("int"), F.lit(window)).alias("text"), "label").distinct()
+           .orderBy("_dice", "text", "label").limit(2 * per_class * len(counts)).collect())
+    return [(r["text"], r["label"]) for r in got]
 
 
 def fit(df: DataFrame, learn: Column, per_class: int = 500, window: int = 1200, **kw) -> Model:

@@ -13,14 +13,16 @@ the text only. Statistics read whole texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.frames import texts_in_slices
+from caseflow.llm.frames import keep, texts_in_slices
 
 CUT = 0.3
 # byte classes: 0 other, 1 white space, 2 symbol, 3 upper case, 4 lower case, 5 digit,
@@ -74,8 +76,9 @@ class Ranker:
 
 
 def learn(x: np.ndarray, y: np.ndarray, bad_share: float, pairs: int = 20000, steps: int = 400, rate: float = 0.5,
-          l2: float = 1e-3, seed: int = 11) -> Ranker | None:
-    """Fit on feature rows ``x`` with labels ``y`` (1 good, 0 bad); None without both labels."""
+          l2: float = 1e-3, seed: int = 11, cut: Callable[[Ranker], float] | None = None) -> Ranker | None:
+    """Fit on feature rows ``x`` with labels ``y`` (1 good, 0 bad); None without both labels. ``cut`` gives the threshold
+    for the weights; without it, it is the weighted quantile of the rows themselves."""
     good, bad = x[y == 1], x[y == 0]
     if not len(good) or not len(bad):
         return None
@@ -92,10 +95,13 @@ def learn(x: np.ndarray, y: np.ndarray, bad_share: float, pairs: int = 20000, st
     u = r.utility(x)
     # quantile at the share of bad rows among all labelled ones, whatever the sample's own shares are
     w = np.where(y == 0, bad_share / len(bad), (1 - bad_share) / len(good))
-    o = np.argsort(u, kind="stable")
-    at = int(np.searchsorted(np.cumsum(w[o]), bad_share))
-    at = min(max(at, 0), len(o) - 2) if len(o) > 1 else 0
-    r.cut = float((u[o[at]] + u[o[min(at + 1, len(o) - 1)]]) / 2)
+    if cut is None:
+        o = np.argsort(u, kind="stable")
+        at = int(np.searchsorted(np.cumsum(w[o]), bad_share))
+        at = min(max(at, 0), len(o) - 2) if len(o) > 1 else 0
+        r.cut = float((u[o[at]] + u[o[min(at + 1, len(o) - 1)]]) / 2)
+    else:
+        r.cut = cut(r)
     grid = np.exp(np.linspace(np.log(0.1), np.log(10), 40))
 
     def loss(s: float) -> float:
@@ -106,36 +112,52 @@ def learn(x: np.ndarray, y: np.ndarray, bad_share: float, pairs: int = 20000, st
     return r
 
 
+def _feature_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, dice (a hash of id and text) and the features of every whole text."""
+    names = [f"f{k}" for k in range(N_FEATURES)]
+
+    def run(batches):
+        for batch in batches:
+            for i, j, part in texts_in_slices(batch, "text", 1 << 22, binary=True):
+                x = np.array([features(t or b"") for t in part])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in (0, 1)] + [pa.array(x[:, k]) for k in range(N_FEATURES)],
+                                                 names=["doc_id", "dice", *names])
+
+    dice = F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1 << 52))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), dice.alias("dice"), "text").mapInArrow(
+        run, f"doc_id long, dice long, {', '.join(f'{c} double' for c in names)}")
+
+
 def fit(docs: DataFrame, labels: DataFrame, not_learned: "F.Column", per_class: int = 1500, **kw) -> Ranker | None:
-    """Learn from labelled documents outside the held-out fold: about ``per_class`` rows of either
-    label, chosen by a hash of the id, whole texts. One label per id: the largest."""
+    """Learn from labelled documents outside the held-out fold. One label per id: the largest.
+
+    Weights come from about ``per_class`` documents of either label, drawn by a hash of id and text (copies of a
+    row with its id count once; the hash's order cuts the sample at twice the size, which it does not reach but by chance).
+    The threshold is the quantile of the scores of all labelled documents outside the fold at the share of bad ones among
+    them, an aggregate of bounded size over all of them (``percentile_approx``, ranks right to 1 in 10,000). Labels meet
+    features, not texts, so the join moves a hundred bytes a document."""
+    names = [f"f{k}" for k in range(N_FEATURES)]
     lab = (labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~not_learned)
-           .groupBy("doc_id").agg(F.max("quality").alias("y")))
-    counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
+           .groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")))
+    every = keep(_feature_rows(docs).join(lab, "doc_id").select("dice", "y", *names), "quality-features")
+    counts = {r["y"]: r["n"] for r in every.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.when(F.col("y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
-    picked = lab.filter(dice < share).limit(4 * per_class)       # a bounded number of short rows
-    schema = f"doc_id long, y int, {', '.join(f'f{i} double' for i in range(N_FEATURES))}"
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(8 * per_class)
+    share = F.when(F.col("y") == 1, per_class / counts[1]).otherwise(per_class / counts[0])
+    rows = (every.filter(F.col("dice") < share * F.lit(float(1 << 52))).distinct()
+            .orderBy("dice", "y", *names).limit(4 * per_class).collect())
+    if not rows:
+        return None
+    x, y = np.array([r[2:] for r in rows], float), np.array([r[1] for r in rows])
+    bad_share = counts[0] / (counts[0] + counts[1])
 
-    def run(batches):
-        for batch in batches:
-            for i, j, texts in texts_in_slices(batch, "text", 1 << 22, binary=True):
-                x = np.array([features(t or b"") for t in texts])
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32())]
-                    + [pa.array(x[:, k]) for k in range(N_FEATURES)],
-                    names=["doc_id", "y"] + [f"f{k}" for k in range(N_FEATURES)])
+    def cut(r: Ranker) -> float:
+        parts = [F.greatest(F.least((F.col(c) - float(m)) / float(s), F.lit(8.0)), F.lit(-8.0)) * float(w)
+                 for c, m, s, w in zip(names, r.mean, r.scale, r.weight)]
+        at = F.percentile_approx(reduce(lambda a, b: a + b, parts), F.lit(bad_share), F.lit(10000))
+        return float(every.agg(at.alias("at")).first()["at"])
 
-    rows = sample.select("doc_id", "y", "text").mapInArrow(run, schema).collect()
-    rows = sorted(tuple(r) for r in rows)
-    x, y = np.array([r[2:] for r in rows], float), np.array([r[1] for r in rows])
-    if not len(rows):
-        return None
-    return learn(x, y, counts[0] / (counts[0] + counts[1]), **kw)
+    return learn(x, y, bad_share, cut=cut, **kw)
 
 
 def rate(docs: DataFrame, model: Ranker | None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Segments are the parts of ``SEGMENT`` characters of a benchmark item, at every ``stride``-th place of
-it and at its end. With ``stride`` 1, as the query and the pipeline have it, every part is one; a larger
+it and at its end. With ``stride`` 1, the default, every part is one; a larger
 one is faster and misses copied regions that hold no whole segment. A document region within ``k`` edits of a segment of ``m`` characters shares at least
 ``m - q + 1 - k*q`` character q-grams with it, all on diagonals (document place minus item place)
 that differ by at most ``k``. Every q-gram of an item is indexed once. Shared ones are collected per
@@ -35,7 +35,7 @@ SEGMENT = 64           # characters of a segment
 EDIT_RATE = 0.05       # k = 3 edits a segment
 BLOCK_CHARS = 4 << 20  # benchmark characters per block
 PIECE = 1 << 18        # characters of document text handled at once
-STRIDE = 32            # of callers that name none
+STRIDE = 1             # of callers that name none: a segment at every place of an item
 GAP = 2 * SEGMENT      # places between texts that are handled together
 ALIGNED = 1 << 13      # segments that are aligned at once
 _SPACE = np.zeros(256, bool)

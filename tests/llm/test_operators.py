@@ -160,7 +160,7 @@ def test_qgram_filter_finds_what_alignment_finds(spark):
         docs.append((i, t))
     docs += [(100, None), (101, ""), (102, "say SHORT  one here\nok now"), (None, items[1][1]), (103, prose(rng, 60000) + items[2][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = qgram_filter.search(frame(spark, docs), bench, block_chars=300)
+    got = qgram_filter.search(frame(spark, docs), bench, block_chars=300, stride=32)
     found = {(r.doc_id, r.item_id) for r in got.collect()}
     flat = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t.lower())
     want = set()
@@ -178,7 +178,7 @@ def test_qgram_filter_finds_what_alignment_finds(spark):
                 if least_edits(p, flat(t)) <= k:
                     want.add((d, i))
     assert {f for f in found if f[0] != 103} == want and (103, 2) in found
-    clean = qgram_filter.drop_contaminated(frame(spark, docs), bench)
+    clean = qgram_filter.drop_contaminated(frame(spark, docs), bench, stride=32)
     assert clean.columns == frame(spark, docs).columns
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want} - {103}
 
@@ -196,8 +196,8 @@ def test_qgram_filter_finds_fragments_at_every_place(spark):
             docs.append((len(docs), prose(rng, 12) + " " + "".join(f) + " " + prose(rng, 12)))
     docs += [(len(docs) + i, x) for i, x in enumerate([items[3][1], prose(rng, 10) + items[3][1].upper() + "x", prose(rng, 80)])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = {(r.doc_id, r.item_id) for r in qgram_filter.search(frame(spark, docs), bench, stride=1).collect()}
-    clean = {r.doc_id for r in qgram_filter.drop_contaminated(frame(spark, docs), bench, stride=1).collect()}
+    found = {(r.doc_id, r.item_id) for r in qgram_filter.search(frame(spark, docs), bench).collect()}
+    clean = {r.doc_id for r in qgram_filter.drop_contaminated(frame(spark, docs), bench).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in found}
 
     def edits(k, x):
