@@ -29,6 +29,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SPREAD = 32      # parts of a key's rows
+
+
+def onto(rows: DataFrame, facts: DataFrame, keys: list[str], salt: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row a key). Facts are first joined to the parts that a
+    key's rows are spread over by column ``salt``, so no task gets all rows of a hot key. ``rows`` is read twice."""
+    part = F.pmod(F.xxhash64(salt), F.lit(SPREAD)).alias("part")
+    spread = rows.select(*keys, part).distinct().join(facts, keys)
+    return rows.withColumn("part", part).join(spread, [*keys, "part"], how).drop("part")
+
+
 def slices(lengths, limit: int):
     """(from, to) row ranges whose lengths sum to at most ``limit``; a longer row stands alone."""
     start = total = 0

@@ -16,7 +16,9 @@ sets form one class (a *node*); classes are joined exactly:
    components; a list whose members are then in one component is done, in the others the members
    outside the largest component are paired with those of other components. A pair left out lies
    within a component already, so no link between components is lost, and a large group of near
-   copies costs a pair a member, not all pairs.
+   copies costs a pair a member, not all pairs. Size and tokens left of two members tell whether they
+   may link, so a list is first reduced to its distinct (size, left), these are compared, and members
+   meet only where theirs passed: many texts that share a passage just under the threshold never meet.
 4. Pairs are verified by size, then by parity bitmaps (the bits that differ are at most the
    symmetric difference, so no link is lost), then by intersecting the whole sets.
 
@@ -30,12 +32,14 @@ identified by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.frames import keep, released, texts_in_slices
+from caseflow.llm.frames import keep, onto, released, texts_in_slices
 from caseflow.llm.textops import mix, shingle_sets
 
 SHINGLE = 5
@@ -221,12 +225,31 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     return raw.repartition(place).sortWithinPartitions("key", "node").mapInArrow(released(shared_keys), schema)
 
 
+def _fits() -> Column:
+    """Whether sets of nx and ny tokens, of which rx and ry are left from the shared one on, may link: they
+    need 3/7 of nx + ny in common."""
+    return (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny")) & (7 * F.least("rx", "ry") >= 3 * (F.col("nx") + F.col("ny")))
+
+
 def _as_pairs(df: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of columns x, y whose set sizes nx, ny, and tokens left from the shared one
-    on (rx, ry), allow a link: sets of nx and ny tokens link only with 3/7 of nx + ny in common."""
-    return (df.filter((F.col("x") != F.col("y")) & (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny"))
-                      & (7 * F.least("rx", "ry") >= 3 * (F.col("nx") + F.col("ny"))))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    """Distinct pairs a < b of columns x, y that may link by nx, ny, rx and ry."""
+    return (df.filter((F.col("x") != F.col("y")) & _fits()).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def open_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs a < b that may link, of members of different components of a list, one of them outside its
+    main component. ``lists`` has key, node, n, left, label, main, heavy, kind."""
+    # sizes that may link, a factor of 4/3 apart at most, lie in neighbouring bands; one more against rounding
+    band = F.floor(F.log(F.col("n")) / math.log(4 / 3))
+    near = F.explode(F.sequence(band - 2, band + 2)).alias("band")
+    alike = ["n", "left", "heavy", "kind"]
+    groups = lists.groupBy("key", *alike).agg(F.max(F.col("label") != F.col("main")).alias("other"))
+    one = lambda c: [F.col(x).alias(f"{x[0] if x != 'left' else 'r'}{c}") for x in alike]
+    meet = (groups.filter("other").select("key", near, *one("x")).join(groups.select("key", band.alias("band"), *one("y")), ["key", "band"])
+            .filter(_fits() & ((F.col("kx") != SINGLE) | F.col("hx") | F.col("hy"))).drop("band"))
+    side = lambda df, c: df.select("key", F.col("node").alias(c), *one(c), F.col("label").alias(f"l{c}"))
+    x = side(lists.filter("label != main"), "x").join(meet, ["key", "nx", "rx", "hx", "kx"])
+    return _as_pairs(x.join(side(lists, "y"), ["key", "ny", "ry", "hy", "ky"]).filter("lx != ly"))
 
 
 def _by_parity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -305,9 +328,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = (both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node")
                 .agg(F.min("label").alias("near")))
-        one = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        one = keep(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "near")
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = keep(one.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        labels = keep(onto(one, up, ["label"], "node").select("node", "old", F.least("label", "up").alias("label")), "labels")
         if labels.filter("label != old").isEmpty():
             return labels.select("node", "label")
 
@@ -342,11 +365,7 @@ def link_components(docs: DataFrame, prof: DataFrame) -> DataFrame:
     main = (count.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("groups"),
                                      F.max("h").alias("h"), F.max("kind").alias("kind"))
             .filter(f"groups > 1 and (kind != {SINGLE} or h)").select("key", "main"))
-    open_lists = now.join(main, "key")
-    side = lambda df, c: df.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("left").alias(f"r{c}"),
-                                   F.col("label").alias(f"l{c}"), F.col("heavy").alias(f"h{c}"), F.col("kind").alias(f"k{c}"))
-    rest = _as_pairs(side(open_lists.filter("label != main"), "x").join(side(open_lists, "y"), "key").filter(
-        (F.col("lx") != F.col("ly")) & ((F.col("kx") != SINGLE) | F.col("hx") | F.col("hy"))))
+    rest = open_pairs(now.join(main, "key"))
     second = _verified(keep(rest, "rest"), nodes, docs)
     return components(first.unionAll(second))
 

@@ -19,7 +19,7 @@ Defined results: a null url, or one without ``://``, has an empty host and path
 by the template of empty paths. Segments are what stands between slashes, empty ones left out. Repeated rows
 count as often as they occur.
 
-Tables of totals are joined to rows by (key, ``SPREAD`` parts of it), so a host or path with a third of all
+Tables of totals are joined to rows by (key, ``frames.SPREAD`` parts of it), so a host or path with a third of all
 rows is spread; windows hold the branches of one node.
 """
 
@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.frames import keep
+from caseflow.llm.frames import keep, onto
 
 # fixed values: (verdict, host, path) rules
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -38,7 +38,6 @@ RARE = 20
 Z = 2.0
 PURITY = 0.9
 WILD = "?*"          # no segment holds ? or #
-SPREAD = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,14 +65,6 @@ def different(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return F.coalesce(gap * gap * n > Z * Z * x * (n - x) * n1 * n2, F.lit(False))
 
 
-def _onto(rows: DataFrame, facts: DataFrame, keys: list[str], salt: str, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``facts`` (one row a key). Facts are first joined to the parts that a
-    key's rows are spread over, so no task gets all rows of a hot key."""
-    part = F.pmod(F.xxhash64(salt), F.lit(SPREAD)).alias("part")
-    spread = rows.select(*keys, part).distinct().join(facts, keys)
-    return rows.withColumn("part", part).join(spread, [*keys, "part"], how).drop("part")
-
-
 def branches(child: DataFrame) -> DataFrame:
     """host, t, name, to (template of the merged branch), alone (whether one path goes on below it), from
     the children of all nodes: host, t, name, c, b, a, e (pages that end there), more (paths that go on)."""
@@ -108,10 +99,10 @@ def templates(paths: DataFrame) -> DataFrame:
             F.count_if(~F.col("last")).alias("more"))
         node = child.groupBy("host", "t").agg(F.sum("c").alias("nc"))
         rare = (RARE * F.col("c") < F.col("nc")) | (F.col("c") < 2)
-        child = keep(_onto(child, node, ["host", "t"], "seg")
+        child = keep(onto(child, node, ["host", "t"], "seg")
                      .withColumn("name", F.when(rare, WILD).otherwise(F.col("seg"))).drop("nc"), "children")
-        to = _onto(child.select("host", "t", "seg", "name"), branches(child), ["host", "t", "name"], "seg")
-        df = _onto(df, to, ["host", "t", "seg"], "path")
+        to = onto(child.select("host", "t", "seg", "name"), branches(child), ["host", "t", "name"], "seg")
+        df = onto(df, to, ["host", "t", "seg"], "path")
         # below a node with one path nothing varies or merges: its segments stand, a single page's are wild
         left = F.slice("segs", level + 2, F.size("segs"))
         rest = F.when(F.col("alone"), F.concat_ws("", F.transform(
@@ -131,8 +122,8 @@ def rejected(t: DataFrame) -> DataFrame:
     says = t.groupBy("host", "w").agg(*sums).filter(n > 0).join(hosts, "host", "left_semi")
     prior = says.groupBy("w").agg(((F.count_if(F.col("b") >= PURITY * n) + 1) / (F.count("*") + 2)).alias("prior"))
     m = 2 + (F.col("c") - n) / 4
-    leaf = _onto(t.select("host", "t", "w").distinct(), t.groupBy("host", "t").agg(*sums), ["host", "t"], "w")
-    leaf = _onto(leaf, prior, ["w"], "host", "left").withColumn("prior", F.coalesce("prior", F.lit(0.5)))
+    leaf = onto(t.select("host", "t", "w").distinct(), t.groupBy("host", "t").agg(*sums), ["host", "t"], "w")
+    leaf = onto(leaf, prior, ["w"], "host", "left").withColumn("prior", F.coalesce("prior", F.lit(0.5)))
     return leaf.filter((F.col("b") + m * F.col("prior")) / (n + m) >= PURITY).select("host", "t", "w")
 
 
@@ -146,9 +137,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     paths = p.groupBy("host", "path").agg(F.count("*").alias("c"), F.count_if(F.col("said") == "block").alias("b"),
                                           F.count_if(F.col("said") == "allow").alias("a"))
     t = keep(templates(paths), "templates")
-    bad = (_onto(t.select("host", "path", "t", "w"), rejected(t), ["host", "t", "w"], "path")
+    bad = (onto(t.select("host", "path", "t", "w"), rejected(t), ["host", "t", "w"], "path")
            .select("host", "path", F.lit(True).alias("bad")))
-    return _onto(p, bad, ["host", "path"], "page_id", "left").select(
+    return onto(p, bad, ["host", "path"], "page_id", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce(F.col("said"), F.when(F.col("bad"), "block"), F.lit("allow")).alias("verdict"))
 
