@@ -379,9 +379,9 @@ def _labelled(prof: DataFrame, docs: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, node (equal for equal sets) of every document."""
-    ids = _labelled(keep(profile(docs), "profile"), docs)
+    ids = keep(_labelled(keep(profile(docs), "profile"), docs), "components")
     least = ids.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return ids.join(least, "label", "left").select(
+    return onto(ids, least, ["label"], "doc_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"), "node")
 
@@ -396,7 +396,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     words = ids.filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
     first = words.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("of")).filter("of > 1")
-    gone = (words.join(first, "label").filter(~order.eqNullSafe(F.col("first")))
+    gone = (onto(words, first, ["label"], "doc_id").filter(~order.eqNullSafe(F.col("first")))
             .select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     out = docs.join(gone, same, "left_anti")
