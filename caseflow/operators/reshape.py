@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,12 @@ def sort_nulls_last(df: DataFrame, *cols: str, descending: Sequence[str] = ()) -
     return df.orderBy(*keys)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all tasks of a shuffle, where a few tasks would do heavy work: rows of one file with few row
+    groups, before each of them becomes many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def union_by_name(frames: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:
     """O2: bag union matching columns by name."""
     out = frames[0]
@@ -68,12 +74,15 @@ def unpivot_dates(df: DataFrame, id_col: str = "country", prefix: str = "x",
 
 
 def unpivot_compound(df: DataFrame, ids: Sequence[str], sep: str = ".",
-                     names: Sequence[str] = ("period", "metric"), value_col: str = "value") -> DataFrame:
-    """Columns named ``<a><sep><b>`` -> rows (a, b, value)."""
-    values = [c for c in df.columns if c not in ids]
-    long = df.unpivot(list(ids), [F.col(f"`{c}`").alias(c) for c in values], "_name", value_col)
-    parts = F.split(F.col("_name"), re.escape(sep), 2)
-    return long.select(*ids, parts[0].alias(names[0]), parts[1].alias(names[1]), F.col(value_col))
+                     names: Sequence[str] = ("period", "metric"), value_col: str = "value",
+                     derive: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """Columns named ``<a><sep><b>`` -> rows (a, b, value). ``derive`` adds columns made from (a, b). All these are
+    expressions of the column's name alone, so they are constants of the plan: no row splits a name."""
+    def row(c: str) -> Column:
+        parts = F.split(F.lit(c), re.escape(sep), 2)
+        more = [fn(parts[0], parts[1]).alias(n) for n, fn in (derive or {}).items()]
+        return F.struct(parts[0].alias(names[0]), parts[1].alias(names[1]), *more, F.col(f"`{c}`").alias(value_col))
+    return df.select(*ids, F.inline(F.array(*[row(c) for c in df.columns if c not in ids])))
 
 
 def columns_of(df: DataFrame, *types: type, but: Sequence[str] = ()) -> list[str]:

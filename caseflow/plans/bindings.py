@@ -7,10 +7,11 @@ them. Each Spark view has a SQL twin (DuckDB dialect) used by the oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.columns import TPS_FORM_TYPE_LABELS
+from caseflow.operators.reshape import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,22 +211,27 @@ codes AS (SELECT al.code, up.country FROM al LEFT JOIN up ON al.canonical = up.c
 REPORT_FILES = ("i821_radp_fy22.txt", "I821_RADP_FY2023_Q4.txt")
 
 
-def _tokens():
-    """Spark array of the 20 value tokens of a part's report line."""
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, over many tasks: the table is short, but each row becomes 20 cells."""
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
+
+
+def _tokens() -> list[Column]:
+    """The 20 value tokens of a part's report line."""
     k = F.col("p_partkey")
 
     def tok(i):
         m = (k + i) % 23
         num = F.format_number((k * (i + 1) * 37) % 100000, 0)
         return F.when(m == 0, F.lit("D")).when(m == 1, F.lit("H")).when(m == 2, F.lit("-")).otherwise(num)
-    return F.transform(F.sequence(F.lit(0), F.lit(19)), tok)
+    return [tok(i) for i in range(20)]
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text line per part: the part name, then 20 value tokens. Some lines have
     19 tokens, some 21 (a leading count, or a leading ``D`` that belongs to the
     label); spacing varies (tabs, runs of spaces)."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", _tokens().alias("_toks"))
+    p = _parts(spark, sf_dir).select("*", F.array(*_tokens()).alias("_toks"))
     k, size, toks = F.col("p_partkey"), F.col("p_size"), F.col("_toks")
     sep = F.when(k % 5 == 0, F.lit("  \t ")).otherwise(F.lit(" "))
     body = (F.when(size % 10 == 0, F.slice(toks, 1, 19))
@@ -241,8 +247,8 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 21-cell text grid per part (as read from a sheet with no header typing):
     data rows, plus title/header/footnote rows whose 2nd cell is not a value."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", _tokens().alias("_toks"))
-    k, size, toks = F.col("p_partkey"), F.col("p_size"), F.col("_toks")
+    p = _parts(spark, sf_dir)
+    k, size, toks = F.col("p_partkey"), F.col("p_size"), _tokens()
     second = (F.when(size % 10 == 3, F.lit("Received")).when(size % 10 == 4, F.lit(None))
                .otherwise(toks[0]))
     cells = [F.col("p_name").alias("c1"), second.alias("c2")] + [toks[i].alias(f"c{i + 2}") for i in range(1, 20)]

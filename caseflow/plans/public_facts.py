@@ -1,6 +1,6 @@
 """Published quarterly report text/grids -> tidy facts (the fourth stage of the
-reference workflow). Narrow transformations only; the optional sort is the
-single shuffle."""
+reference workflow). Narrow transformations only; the optional sort shuffles the
+parsed lines once and the facts once."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.reports import (fiscal_year_from_name, grid_data_rows, parse_report_line,
                                         quarter_from_period)
 from caseflow.functions.text import squish, suppressed_value, suppression_code
-from caseflow.operators.reshape import sort_nulls_last, union_by_name, unpivot_compound
+from caseflow.operators.reshape import sort_nulls_last, spread, union_by_name, unpivot_compound
 
 FACT_COLS = ("fiscal_year", "quarter", "period", "country", "metric", "value", "code", "source_file")
 
@@ -31,10 +31,15 @@ def public_facts(lines: DataFrame | None = None, grid: DataFrame | None = None,
     wide = wide.select(squish("country").alias("country"),
                        fiscal_year_from_name("source_file").alias("fiscal_year"), "source_file",
                        *[F.col(f"`{c}`").alias(c) for c in cells])
-    long = unpivot_compound(wide, ["country", "fiscal_year", "source_file"], names=("period", "metric"))
-    facts = long.select(
-        "fiscal_year", quarter_from_period("period").alias("quarter"),
-        "period", "country", "metric",
+    if sort:
+        # a range sort reads its input twice, once for a sample: parsed lines are shuffled in between, so that both read those
+        wide = spread(wide)
+    long = unpivot_compound(wide, ["country", "fiscal_year", "source_file"], names=("period", "metric"),
+                            derive={"quarter": lambda period, _: quarter_from_period(period)})
+    if sort:
+        long = sort_nulls_last(long, "fiscal_year", "quarter", "country", "metric")
+    # after the sort, whose rows are then the short text cells
+    return long.select(
+        "fiscal_year", "quarter", "period", "country", "metric",
         suppressed_value("value").alias("value"), suppression_code("value").alias("code"),
         "source_file")
-    return sort_nulls_last(facts, "fiscal_year", "quarter", "country", "metric") if sort else facts
